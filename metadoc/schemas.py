@@ -32,7 +32,7 @@ RESPONSES = _struct(
 )
 
 DESCRIBE_ROWS = _struct(
-    catalog=_S, schema=_S, table=_S, pos=_L, col_name=_S, data_type=_S,
+    catalog_name=_S, schema_name=_S, table_name=_S, pos=_L, col_name=_S, data_type=_S,
 )
 
 # Longest text each bounded column may hold.
