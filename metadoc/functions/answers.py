@@ -4,52 +4,43 @@ from pyspark.sql import functions as F
 
 from metadoc.functions.text import blank_to_null, or_empty, strip
 
-
-def _number(value):
-    """Numeric value of a variant, null for texts."""
-    return F.when(
-        ~F.to_json(value).startswith('"'), F.try_variant_get(value, "$", "double")
-    )
-
-
-def _falsy(value):
-    """False, null, zero and empty; a missing key or a non-empty text is not."""
-    return F.coalesce(
-        F.to_json(value).isin("null", "false", '""', "[]") | F.coalesce(_number(value) == 0, F.lit(False)),
-        F.lit(False),
-    )
-
-
-def audit_json(raw):
-    """The first brace pair without inner braces, after removing a code fence; else the text."""
-    text = strip(raw)
-    unfenced = F.btrim(text, F.lit("`"))
-    unfenced = F.when(
-        F.lower(unfenced).startswith("json"), strip(F.substr(unfenced, F.lit(5)))
-    ).otherwise(unfenced)
-    text = F.when(text.startswith("```"), unfenced).otherwise(text)
-    return F.coalesce(blank_to_null(F.regexp_extract(text, r"\{[^{}]*\}", 0)), text)
-
-
-def audit_verdict(raw):
-    """struct(ok, criterio, detalles) as claimed; whatever cannot be read counts as fine."""
-    data = F.try_parse_json(audit_json(or_empty(raw)))
-    failed = _falsy(F.try_variant_get(data, "$.ok", "variant"))
-    criterion = F.try_variant_get(data, "$.criterio", "string")
-    details = blank_to_null(strip(F.try_variant_get(data, "$.detalles", "string")))
-    return F.struct(
-        (~failed).alias("ok"),
-        F.when(failed, criterion).alias("criterio"),
-        F.when(failed, details).alias("detalles"),
+# JSON texts of a value that counts as false, and of one that equals the number one.
+_FALSY = r'\A(false|null|""|\[\]|-?0+(\.0+)?([eE][+-]?[0-9]+)?)\z'
+_ONE = r"\A(true|1(\.0+)?)\z"
+
+
+def _json_text(data, key):
+    return F.to_json(F.try_variant_get(data, f"$.{key}", "variant"))
+
+
+def with_audit_verdict(rows, raw="text"):
+    """Add ``ok``, ``criterio`` and ``detalles`` as the auditor claims them.
+
+    Read is the first brace pair without inner braces. An answer without one holds no JSON object,
+    with or without a code fence around it, and whatever cannot be read counts as fine; so does a
+    missing ``ok``. The steps are columns of their own so that the answer is parsed once.
+    """
+    block = F.regexp_extract(or_empty(F.col(raw)), r"\{[^{}]*\}", 0)
+    parsed = rows.withColumn("data", F.try_parse_json(block))
+    data = F.col("data")
+    read = parsed.withColumns({
+        "failed": F.coalesce(_json_text(data, "ok").rlike(_FALSY), F.lit(False)),
+        "criterio": F.try_variant_get(data, "$.criterio", "string"),
+        "detalles": blank_to_null(strip(F.try_variant_get(data, "$.detalles", "string"))),
+    })
+    return read.select(
+        *rows.columns, (~F.col("failed")).alias("ok"),
+        F.when(F.col("failed"), F.col("criterio")).alias("criterio"),
+        F.when(F.col("failed"), F.col("detalles")).alias("detalles"),
     )
 
 
-def judge_flags(raw, keys):
-    """One 0/1 column per key: 1 only for the JSON number one or true."""
-    data = F.try_parse_json(F.regexp_extract(or_empty(raw), r"(?s)\{.*\}", 0))
-    flags = []
-    for key in keys:
-        value = F.try_variant_get(data, f"$.{key}", "variant")
-        holds = (F.to_json(value) == "true") | F.coalesce(_number(value) == 1, F.lit(False))
-        flags.append(F.coalesce(holds, F.lit(False)).cast("int").alias(f"judge_{key}"))
-    return flags
+def with_judge_flags(rows, keys, raw="judge_text"):
+    """Add a 0/1 column ``judge_<key>`` per key: 1 only for the JSON number one or true."""
+    block = F.regexp_extract(or_empty(F.col(raw)), r"(?s)\{.*\}", 0)
+    parsed = rows.withColumn("data", F.try_parse_json(block))
+    flags = {
+        f"judge_{key}": F.coalesce(_json_text(F.col("data"), key).rlike(_ONE), F.lit(False)).cast("int")
+        for key in keys
+    }
+    return parsed.withColumns(flags).drop("data")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
-from metadoc.functions.answers import audit_verdict
+from metadoc.functions.answers import with_audit_verdict
 from metadoc.operators.prompts import audit_prompt
 from metadoc.operators.relevance import contexts, with_context
 from metadoc.operators.results import level_of
@@ -16,9 +16,7 @@ def criteria_frame(spark):
 
 def claimed_verdicts(answers, raw="text"):
     """Answers with ``ok``, ``criterio`` and ``detalles`` as the auditor claims them."""
-    return answers.withColumn("verdict", audit_verdict(F.col(raw))).select(
-        *answers.columns, "verdict.ok", "verdict.criterio", "verdict.detalles"
-    )
+    return with_audit_verdict(answers, raw)
 
 
 def known_failures(claimed, criteria):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
-from metadoc.functions.answers import judge_flags
+from metadoc.functions.answers import with_judge_flags
 from metadoc.functions.scorers import deterministic_scores, exact_ratio
 from metadoc.operators.prompts import judge_keys
 
@@ -61,9 +61,10 @@ def scored_items(generated, judged, stability, max_chars):
     keys = ["model", "object_id"]
     rows = generated.filter(F.col("comment").isNotNull())
     rows = rows.join(judged.select(*keys, "judge_text"), keys, "left").join(stability, keys, "left")
+    rows = with_judge_flags(rows, judge_keys())
     return rows.select(
         *keys, "is_sensitive", *deterministic_scores(F.col("comment"), max_chars),
-        *judge_flags(F.col("judge_text"), judge_keys()),
+        *judge_metrics(),
         F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
         "latency_ms", F.coalesce("tokens_in", F.lit(0)).alias("tokens_in"),
         F.coalesce("tokens_out", F.lit(0)).alias("tokens_out"),

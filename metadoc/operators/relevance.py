@@ -4,8 +4,8 @@ An object's score for a source is the source's static score plus a boost when th
 or table name occurs in the source's head. Scoring every object against every source would be
 quadratic; this module never does that:
 
-1. names are looked up by equality: every position of a head yields a tail, its first characters
-   meet the dictionary of name beginnings, and the cut to the name's length must equal a name;
+1. names are looked up by equality: the places of a head where a name could begin yield tails, their
+   first characters meet the dictionary of name beginnings, and the cut must equal a name;
 2. per name (and per schema-table pair found in the same head) only the sources that can still fit
    into the budget are kept, in static order; the same for all sources without any name;
 3. an object's candidates are the union of those few lists, ranked and packed.
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from metadoc import fixed_values as fv
 from metadoc.functions.relevance import haystack, source_header, static_score
 from metadoc.functions.text import blank_to_null, or_empty
-from metadoc.runtime import broadcast_if_small, materialize
+from metadoc.runtime import BROADCAST_ROWS, broadcast_if_small, materialize, spread
 
 ANCHOR_CHARS = 4
 SALTS = 32
 
+_ENTRY = ("ord", "static", "header_len", "size")
+
 # No header is shorter than the one with the shorter label and no name or description.
 SHORTEST_HEADER = min(
     len(fv.SOURCE_HEADER.format(label=label, name="", description=""))
@@ -52,16 +54,24 @@ def source_index(sources, keywords=fv.GENERATOR_KEYWORDS):
     )
 
 
-def object_names(objects):
-    """Distinct lower-case names to look for, flagged by the role they play."""
+def context_keys(objects):
+    """Objects with equal lower-case schema and table names have the same context."""
+    return objects.select(
+        F.lower("schema_name").alias("schema_key"),
+        F.lower(F.coalesce("table_name", F.lit(""))).alias("table_key"),
+    ).distinct()
+
+
+def object_names(keys):
+    """Distinct names to look for, flagged by the role they play."""
     roles = F.explode(F.array(
-        F.struct(F.lower("schema_name").alias("name"), F.lit(True).alias("is_schema"),
+        F.struct(F.col("schema_key").alias("name"), F.lit(True).alias("is_schema"),
                  F.lit(False).alias("is_table")),
-        F.struct(F.lower(F.coalesce("table_name", F.lit(""))).alias("name"),
-                 F.lit(False).alias("is_schema"), F.lit(True).alias("is_table")),
+        F.struct(F.col("table_key").alias("name"), F.lit(False).alias("is_schema"),
+                 F.lit(True).alias("is_table")),
     ))
     return (
-        objects.select(roles.alias("role")).select("role.*")
+        keys.select(roles.alias("role")).select("role.*")
         .filter(blank_to_null(F.col("name")).isNotNull())
         .groupBy("name")
         .agg(F.max("is_schema").alias("is_schema"), F.max("is_table").alias("is_table"))
@@ -71,35 +81,38 @@ def object_names(objects):
 def name_hits(index, names):
     """(name, source) pairs where the name occurs in the source's head, without comparing all pairs.
 
-    ``names`` should be materialized: it is profiled first.
+    Every place of the head where a name could begin yields the text from there on, as long as the
+    longest name. The names are counted first: few enough are broadcast, more join by shuffle.
     """
     profile = names.agg(
-        F.max(F.length("name")).alias("longest"),
+        F.count("*").alias("names"), F.max(F.length("name")).alias("longest"),
         F.collect_set(F.least(F.length("name"), F.lit(ANCHOR_CHARS))).alias("anchors"),
+        F.collect_set(F.substring("name", 1, 1)).alias("initials"),
     ).first()
-    longest = profile["longest"] or 1
-    anchors = F.array(*[F.lit(size) for size in sorted(profile["anchors"]) or [ANCHOR_CHARS]])
-
+    if not profile["names"]:
+        return index.select(
+            F.lit("").alias("name"), F.lit(False).alias("is_schema"), F.lit(False).alias("is_table"),
+            *_ENTRY,
+        ).limit(0)
     beginnings = names.groupBy(F.substring("name", 1, ANCHOR_CHARS).alias("anchor")).agg(
         F.collect_set(F.length("name")).alias("lengths")
     )
-    positions = F.sequence(F.lit(1), F.greatest(F.length("haystack"), F.lit(1)))
-    tails = index.select(
-        "ord", "static", "header_len", "size",
-        F.explode(
-            F.transform(positions, lambda at: F.substr("haystack", at, F.lit(longest)))
-        ).alias("tail"),
-    )
-    grams = tails.select(
-        "*", F.explode(F.transform(anchors, lambda n: F.substr("tail", F.lit(1), n))).alias("anchor")
+    if profile["names"] <= BROADCAST_ROWS:
+        names, beginnings = F.broadcast(names), F.broadcast(beginnings)
+    initials = "".join(f"\\x{{{ord(char):x}}}" for char in sorted(profile["initials"]))
+    tail_at = rf"(?s)(?=([{initials}].{{0,{profile['longest'] - 1}}}))"
+    tails = spread(index).select(
+        *_ENTRY, F.explode(F.regexp_extract_all("haystack", F.lit(tail_at), 1)).alias("tail")
     )
-    begun = grams.join(broadcast_if_small(beginnings), "anchor").select(
-        "ord", "static", "header_len", "size", "tail", F.explode("lengths").alias("length")
+    anchors = F.array(*[F.substring("tail", 1, size) for size in sorted(profile["anchors"])])
+    grams = tails.select("*", F.explode(anchors).alias("anchor"))
+    begun = grams.join(beginnings, "anchor").select(
+        *_ENTRY, "tail", F.explode("lengths").alias("length")
     )
     return (
         begun.withColumn("name", F.substr("tail", F.lit(1), F.col("length")))
-        .join(broadcast_if_small(names), "name")
-        .select("name", "is_schema", "is_table", "ord", "static", "header_len", "size")
+        .join(names, "name")
+        .select("name", "is_schema", "is_table", *_ENTRY)
         .dropDuplicates(["name", "ord"])
     )
 
@@ -128,13 +141,6 @@ def fitting_head(rows, keys, max_chars):
     return salted.drop("salt")
 
 
-_ENTRY = ("ord", "static", "header_len", "size")
-
-
-def _lists(rows, keys):
-    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*_ENTRY)).alias("entries"))
-
-
 def _unboosted_list(index, max_chars):
     """One row: the best sources by static score, cut at the budget. Bounded by most_entries."""
     best = index.select(*_ENTRY).orderBy(F.desc("static"), "ord").limit(most_entries(max_chars))
@@ -143,41 +149,48 @@ def _unboosted_list(index, max_chars):
     return kept.agg(F.collect_list(F.struct(*_ENTRY)).alias("entries"))
 
 
-def context_keys(objects):
-    """Objects with equal lower-case schema and table names have the same context."""
-    return objects.select(
-        F.lower("schema_name").alias("schema_key"),
-        F.lower(F.coalesce("table_name", F.lit(""))).alias("table_key"),
-    ).distinct()
-
-
-def candidates(index, keys, names, max_chars=fv.MAX_CONTEXT_CHARS):
-    """(schema_key, table_key, ord, score, header_len, size) for every source that may be chosen."""
-    hits = materialize(name_hits(index, names), "hits")
-    by_name = _lists(
-        fitting_head(hits.drop("is_schema", "is_table"), ["name"], max_chars), ["name"]
-    )
+def _boosted_lists(hits, keys, max_chars):
+    """(first, second, entries): the lists of single names (second is '') and of name pairs."""
+    single = hits.select(F.col("name").alias("first"), F.lit("").alias("second"), *_ENTRY)
     # A head holds a bounded number of names, so pairing them within one source stays bounded.
-    in_schema = hits.filter("is_schema").select(F.col("name").alias("schema_key"), *_ENTRY)
-    in_table = hits.filter("is_table").select(F.col("name").alias("table_key"), "ord")
-    pair = ["schema_key", "table_key"]
-    both = in_schema.join(in_table, "ord").join(keys, pair, "left_semi")
-    by_pair = _lists(fitting_head(both, pair, max_chars), pair)
+    schemas = hits.filter("is_schema").select(F.col("name").alias("schema_key"), *_ENTRY)
+    tables = hits.filter("is_table").select(F.col("name").alias("table_key"), "ord")
+    pairs = schemas.join(tables, "ord").join(keys, ["schema_key", "table_key"], "left_semi").select(
+        F.col("schema_key").alias("first"), F.col("table_key").alias("second"), *_ENTRY
+    )
+    kept = fitting_head(single.unionByName(pairs), ["first", "second"], max_chars)
+    return kept.groupBy("first", "second").agg(F.collect_list(F.struct(*_ENTRY)).alias("entries"))
 
-    def boosted(lists, points):
-        return lists.select(*pair, F.explode("entries").alias("entry")).select(
-            *pair, "entry.ord", (F.col("entry.static") + points).alias("score"),
-            "entry.header_len", "entry.size",
-        )
 
-    schema_lists = by_name.withColumnRenamed("name", "schema_key")
-    table_lists = by_name.withColumnRenamed("name", "table_key")
-    unboosted = keys.withColumn("entries", _unboosted_list(index, max_chars).scalar())
+def candidates(index, keys, max_chars=fv.MAX_CONTEXT_CHARS):
+    """(schema_key, table_key, ord, score, header_len, size) for every source that may be chosen.
+
+    ``index`` and ``keys`` are read several times and should be materialized.
+    """
+    pair = ["schema_key", "table_key"]
+    hits = materialize(name_hits(index, object_names(keys)), "hits")
+    lists = _boosted_lists(hits, keys, max_chars)
+    schema, table, none = F.col("schema_key"), F.col("table_key"), F.lit("")
+
+    def lookup(present, first, second, points):
+        return F.when(present, F.struct(
+            first.alias("first"), second.alias("second"), F.lit(points).alias("points")
+        ))
+
+    lookups = keys.select(*pair, F.explode(F.array_compact(F.array(
+        lookup(schema != "", schema, none, fv.SCORE_SCHEMA),
+        lookup(table != "", table, none, fv.SCORE_TABLE),
+        lookup((schema != "") & (table != ""), schema, table, fv.SCORE_SCHEMA + fv.SCORE_TABLE),
+    ))).alias("lookup")).select(*pair, "lookup.*")
+    boosted = lookups.join(lists, ["first", "second"])
+    unboosted = keys.withColumn("entries", _unboosted_list(index, max_chars).scalar()).withColumn(
+        "points", F.lit(0.0)
+    )
     found = (
-        boosted(unboosted, 0.0)
-        .unionByName(boosted(keys.join(schema_lists, "schema_key"), fv.SCORE_SCHEMA))
-        .unionByName(boosted(keys.join(table_lists, "table_key"), fv.SCORE_TABLE))
-        .unionByName(boosted(keys.join(by_pair, pair), fv.SCORE_SCHEMA + fv.SCORE_TABLE))
+        boosted.select(*pair, "points", "entries").unionByName(unboosted.select(*pair, "points", "entries"))
+        .select(*pair, "points", F.explode("entries").alias("entry"))
+        .select(*pair, "entry.ord", (F.col("entry.static") + F.col("points")).alias("score"),
+                "entry.header_len", "entry.size")
     )
     # One shuffle on the key serves both this aggregation and the ranking after it.
     return found.repartition(*pair).groupBy(*pair, "ord").agg(
@@ -209,12 +222,15 @@ def rank_and_pack(found, max_chars=fv.MAX_CONTEXT_CHARS):
     )
 
 
+def _pick(sources, keys, keywords, max_chars):
+    index = materialize(source_index(sources, keywords), "source-index")
+    return rank_and_pack(candidates(index, keys, max_chars), max_chars)
+
+
 def pick_sources(sources, objects, keywords=fv.GENERATOR_KEYWORDS, max_chars=fv.MAX_CONTEXT_CHARS):
     """Ranked and packed sources of every distinct object name pair."""
-    index = materialize(source_index(sources, keywords), "source-index")
-    names = materialize(object_names(objects), "names")
-    keys = context_keys(objects)
-    return rank_and_pack(candidates(index, keys, names, max_chars), max_chars)
+    keys = materialize(context_keys(objects), "context-keys")
+    return _pick(sources, keys, keywords, max_chars)
 
 
 def context_texts(picks, sources, max_chars=fv.MAX_CONTEXT_CHARS):
@@ -234,7 +250,7 @@ def context_texts(picks, sources, max_chars=fv.MAX_CONTEXT_CHARS):
         chosen.select("context_id", "cuts").dropDuplicates(["context_id"])
         .select("context_id", F.explode("cuts").alias("cut")).select("context_id", "cut.*")
     )
-    wanted = broadcast_if_small(materialize(used.select("ord").distinct(), "wanted"))
+    wanted = broadcast_if_small(used.select("ord").distinct())
     name, kind = F.col("name"), F.col("kind")
     entries = sources.join(wanted, "ord", "left_semi").select(
         "ord",
@@ -257,11 +273,11 @@ def context_texts(picks, sources, max_chars=fv.MAX_CONTEXT_CHARS):
 
 def contexts(sources, objects, keywords=fv.GENERATOR_KEYWORDS, max_chars=fv.MAX_CONTEXT_CHARS):
     """(schema_key, table_key, context) for every distinct object name pair; '' without sources."""
-    picks = materialize(pick_sources(sources, objects, keywords, max_chars), "picks")
+    keys = materialize(context_keys(objects), "context-keys")
+    picks = materialize(_pick(sources, keys, keywords, max_chars), "picks")
     chosen, texts = context_texts(picks, sources, max_chars)
     return (
-        context_keys(objects)
-        .join(chosen, ["schema_key", "table_key"], "left")
+        keys.join(chosen, ["schema_key", "table_key"], "left")
         .join(texts, "context_id", "left")
         .select("schema_key", "table_key", or_empty(F.col("context")).alias("context"))
     )

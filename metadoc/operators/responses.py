@@ -11,78 +11,91 @@ from pyspark.sql import functions as F
 from metadoc import schemas
 from metadoc.functions.text import strip
 from metadoc.operators.prompts import prompt_id
-from metadoc.runtime import shared_dir
+from metadoc.runtime import materialize, shared_dir
+
+_ANSWER = ("text", "latency_ms", "tokens_in", "tokens_out", "error")
 
 
 def tokens_from_usage(usage, key):
     """A token count out of a JSON usage block, 0 when it is missing."""
-    return F.coalesce(F.try_to_number(F.get_json_object(usage, f"$.{key}"), F.lit("9999999999"))
-                      .cast("int"), F.lit(0))
+    count = F.try_variant_get(F.try_parse_json(usage), f"$.{key}", "int")
+    return F.coalesce(count, F.lit(0))
 
 
 def answered(prompts, responses):
     """Prompts with their answers, matched by the hash of the text; unanswered ones have nulls."""
-    known = responses.select("prompt_id", "text", "latency_ms", "tokens_in", "tokens_out", "error")
+    known = responses.select("prompt_id", *_ANSWER)
     return prompts.withColumn("prompt_id", prompt_id(F.col("prompt"))).join(known, "prompt_id", "left")
 
 
-def _respond(responder):
-    columns = ["prompt_id", "text", "latency_ms", "tokens_in", "tokens_out", "error"]
+def _calls(responder):
+    """mapInPandas function over (prompt_id, model, prompt); failures become error values."""
+    columns = ["prompt_id", *_ANSWER]
 
-    def one_by_one(texts, failure):
+    def one_by_one(respond, texts):
         import pandas as pd
 
         frames = []
         for text in texts:
             try:
-                frames.append(responder(pd.Series([text])))
+                frames.append(respond(pd.Series([text])))
             except Exception as problem:
-                frames.append(pd.DataFrame([{"error": str(problem)[:200] or repr(failure)[:200]}]))
+                frames.append(pd.DataFrame([{"error": (str(problem) or repr(problem))[:200]}]))
         return pd.concat(frames, ignore_index=True)
 
-    def run(batches):
+    def call(batches):
         for batch in batches:
-            try:
-                answers = responder(batch["prompt"]).reset_index(drop=True)
-            except Exception as failure:  # find the prompts at fault, keep the others
-                answers = one_by_one(batch["prompt"], failure)
-            answers["prompt_id"] = batch["prompt_id"].reset_index(drop=True)
-            answers = answers.reindex(columns=columns)
-            for name in ("tokens_in", "tokens_out"):
-                answers[name] = answers[name].fillna(0).astype("int32")
-            answers["latency_ms"] = answers["latency_ms"].astype("float64")
-            yield answers
-
-    return run
-
-
-def ask(prompts, responder, answers_path=None, concurrency=None):
-    """Send every distinct unanswered prompt to ``responder`` once and keep the answers.
-
-    Answers are appended to a table before anything reads them: lost executors or a rerun do not ask
-    again what was written. ``answers_path`` names that table; a new one in the shared folder is used
-    if it is left out. ``concurrency`` bounds the number of tasks that call at the same time.
+            for model, group in batch.groupby("model", sort=False):
+                respond = responder[model] if isinstance(responder, dict) else responder
+                texts = group["prompt"].reset_index(drop=True)
+                try:
+                    answers = respond(texts).reset_index(drop=True)
+                except Exception:  # find the prompts at fault, keep the others
+                    answers = one_by_one(respond, texts)
+                answers["prompt_id"] = group["prompt_id"].reset_index(drop=True)
+                answers = answers.reindex(columns=columns)
+                for name in ("tokens_in", "tokens_out"):
+                    answers[name] = answers[name].fillna(0).astype("int32")
+                answers["latency_ms"] = answers["latency_ms"].astype("float64")
+                yield answers.astype({"text": object, "error": object}).where(answers.notna(), None)
+
+    return call
+
+
+def ask(objects, key, build, responder, answers_path=None, concurrency=None, identity=()):
+    """(key, prompt_id, answer columns) for every row of ``objects``.
+
+    ``build`` adds a ``prompt`` column to (a part of) ``objects``. Each distinct prompt is sent once;
+    ``identity`` names columns, such as the run, that make equal texts distinct. ``responder`` is a
+    function, or a dict of functions by the ``model`` column. ``concurrency`` bounds the number of
+    tasks that call at the same time.
+
+    Prompts are long, so they are never shuffled: hashes decide what is to be asked, and the prompts
+    are built again in the stage that sends them. Answers are appended to a table before anything
+    reads them; a rerun with the same ``answers_path`` asks only what has no good answer yet.
     """
-    spark = prompts.sparkSession
+    spark, key = objects.sparkSession, list(key)
     path = answers_path or f"{shared_dir(spark)}/metadoc/answers-{uuid.uuid4().hex}"
     spark.createDataFrame([], schemas.RESPONSES).write.mode("append").parquet(path)
+    model = F.col("model") if "model" in objects.columns else F.lit("")
+    parts = [F.col(name).cast("string") for name in identity]
+    identified = F.concat_ws("\n", model, *parts, "prompt") if identity or "model" in objects.columns \
+        else F.col("prompt")
+    ids = materialize(build(objects).select(*key, prompt_id(identified).alias("prompt_id")), "prompt-ids")
     known = spark.read.schema(schemas.RESPONSES).parquet(path).filter(F.col("error").isNull())
-    asked = (
-        prompts.select(prompt_id(F.col("prompt")).alias("prompt_id"), "prompt")
-        .dropDuplicates(["prompt_id"])
-        .join(known.select("prompt_id"), "prompt_id", "left_anti")
-    )
+    todo = ids.dropDuplicates(["prompt_id"]).join(known.select("prompt_id"), "prompt_id", "left_anti")
+    calls = build(objects.join(todo, key)).select("prompt_id", model.alias("model"), "prompt")
     if concurrency:
-        asked = asked.coalesce(concurrency)
-    asked.mapInPandas(_respond(responder), schemas.RESPONSES).write.mode("append").parquet(path)
-    return latest_answers(spark.read.schema(schemas.RESPONSES).parquet(path))
+        calls = calls.coalesce(concurrency)
+    calls.mapInPandas(_calls(responder), schemas.RESPONSES).write.mode("append").parquet(path)
+    answers = latest_answers(spark.read.schema(schemas.RESPONSES).parquet(path))
+    return ids.join(answers, "prompt_id", "left")
 
 
 def latest_answers(responses):
     """One answer per prompt: a good one if there is any."""
     return responses.groupBy("prompt_id").agg(
-        F.min_by(F.struct("text", "latency_ms", "tokens_in", "tokens_out", "error"),
-                 F.col("error").isNotNull()).alias("answer")
+        F.min_by(F.struct(*_ANSWER), F.col("error").isNotNull()).alias("answer")
     ).select("prompt_id", "answer.*")
 
 

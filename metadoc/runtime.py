@@ -58,3 +58,12 @@ def broadcast_if_small(df, max_rows=BROADCAST_ROWS):
     Meant for materialized frames. Larger ones are returned unchanged and join by shuffle.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df):
+    """Rows of a plain scan with fewer splits than the cluster has cores, dealt out to all of them.
+
+    For narrow frames ahead of a step that costs much more than reading them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
