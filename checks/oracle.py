@@ -589,18 +589,24 @@ oracle("pii_hits", [], f"""
     SELECT doc_id, CAST({matches(LONG)} AS INTEGER) AS long_number,
            CAST({matches(EMAIL)} AS INTEGER) AS email, CAST({matches(CARD)} AS INTEGER) AS card
     FROM documents_all""", [("documents_all", "SELECT * FROM documents")])
-oracle("style_faults", ["v_golden"], f"""
-    SELECT object_id,
-           CAST(length(context_text) > CASE object_level WHEN 'column' THEN 300 ELSE 500 END AS INTEGER)
-               AS too_long,
-           CAST(regexp_matches(context_text, '["“”«»]') AS INTEGER) AS has_quotes,
-           CAST(contains(context_text, '**') OR contains(context_text, '__') OR contains(context_text, '`')
-                OR regexp_matches(context_text, '(^|\\n)(#{{1,6}}|[-*]) ') AS INTEGER) AS has_markdown,
-           CAST(regexp_matches(lower(context_text),
-                '^[\\s]*(definición|definicion|comentario|descripción|descripcion)\\s*:') AS INTEGER)
-               AS has_prefix,
-           CAST(NOT {matches(SPANISH, 'lower(context_text)')} AS INTEGER) AS not_spanish
-    FROM v_golden""")
+
+
+def style(column, level):
+    return f"""
+        CAST(length({column}) > CASE {level} WHEN 'column' THEN 300 ELSE 500 END AS INTEGER) AS too_long,
+        CAST(regexp_matches({column}, '["“”«»]') AS INTEGER) AS has_quotes,
+        CAST(contains({column}, '**') OR contains({column}, '__') OR contains({column}, '`')
+             OR regexp_matches({column}, '(^|\\n)(#{{1,6}}|[-*]) ') AS INTEGER) AS has_markdown,
+        CAST(regexp_matches(lower({column}),
+             '^\\s*(definición|definicion|comentario|descripción|descripcion)\\s*:') AS INTEGER) AS has_prefix,
+        CAST(NOT {matches(SPANISH, f'lower({column})')} AS INTEGER) AS not_spanish"""
+
+
+oracle("style_faults", ["v_golden"],
+       f"SELECT object_id, {style('context_text', 'object_level')} FROM v_golden")
+oracle("stream_flags", ["v_results"], f"""
+    SELECT id_resultado, {DET}, {style('text', 'level')}
+    FROM (SELECT id_resultado, comentario AS text, {LEVEL} AS level FROM v_results)""")
 
 
 def judged(key):

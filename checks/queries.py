@@ -740,3 +740,31 @@ def kpis_filtered(spark, d):
         tables=["tab`1", "tab`2", "tab`3", "__esquema__"], status=fv.STATUS_APPROVED,
     )
     return kpis.kpis(chosen)
+
+
+# --- stream -------------------------------------------------------------------------------------
+
+
+@query
+def stream_flags(spark, d):
+    """All documents as result rows of a stream, checked batch by batch until none is left."""
+    import uuid
+
+    from metadoc.runtime import shared_dir
+    from metadoc.streaming.audit_stream import (
+        current, flagged, result_stream, run_available, write_batches,
+    )
+
+    folder = f"{shared_dir(spark)}/metadoc/stream-{uuid.uuid4().hex}"
+    documents = result_stream(
+        spark, d, table(spark, d, "documents").schema, pathGlobFilter="documents.parquet"
+    )
+    part = F.col("doc_id") % 10
+    rows = documents.select(
+        F.col("doc_id").alias("id_resultado"), F.col("text").alias("comentario"),
+        F.when(part == 0, fv.SCHEMA_SENTINEL).otherwise("tab").alias("nombre_tabla"),
+        F.when(part == 0, fv.SCHEMA_SENTINEL).when(part < 3, fv.TABLE_SENTINEL).otherwise("col")
+        .alias("nombre_columna"),
+    )
+    run_available(write_batches(flagged(rows), f"{folder}/flags"), f"{folder}/checkpoint")
+    return current(spark, f"{folder}/flags")

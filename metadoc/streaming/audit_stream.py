@@ -1,8 +1,8 @@
 """Checking comments as they arrive.
 
-Appended result rows are read as a stream and get their deterministic flags; every micro-batch
-replaces the rows of its ids, so a replayed batch changes nothing. The state is the id alone, hence
-no watermark.
+Appended result rows are read as a stream; every micro-batch is checked and written to a folder of
+its own, and the newest row per id counts. A replayed batch writes the same folder again, so nothing
+changes. The id alone decides, hence no watermark and no state.
 """
 
 from pyspark.sql import functions as F
@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from metadoc.functions.levels import object_level
 from metadoc.functions.scorers import deterministic_scores, style_flags
 
-FLAGS = ("det_non_empty", "det_within_len", "det_no_pii", "det_is_spanish", "too_long", "has_quotes",
-         "has_markdown", "has_prefix", "not_spanish")
-
 
 def result_stream(spark, path, schema, **options):
     """New files of result rows below ``path``."""
@@ -28,27 +25,27 @@ def flagged(rows, key="id_resultado", max_chars=500):
     )
 
 
-def write_flags(flags, path):
-    """foreachBatch sink: each batch overwrites its own folder, so a replay writes the same again."""
+def write_batches(rows, path, check=None):
+    """foreachBatch sink. ``check`` turns a batch of rows into what is stored, for instance verdicts
+    of ``plans.audit.audit``; by default the rows are stored as they are."""
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        found = batch if check is None else check(batch)
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return flags.writeStream.foreachBatch(write)
+    return rows.writeStream.foreachBatch(write)
 
 
-def run_available(flags, path, checkpoint):
+def run_available(writer, checkpoint):
     """Process everything that is there and stop."""
-    query = write_flags(flags, path).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start()
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def current_flags(spark, path, schema, key="id_resultado"):
-    """The newest flags per id out of all batches."""
-    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema)\
-        .parquet(path)
-    newest = F.max_by(F.struct(*FLAGS), "batch").alias("flags")
-    return rows.groupBy(key).agg(newest).select(key, "flags.*")
+def current(spark, path, key="id_resultado"):
+    """The newest row per id out of all batches."""
+    rows = spark.read.parquet(path)
+    values = [name for name in rows.columns if name not in (key, "batch")]
+    newest = F.max_by(F.struct(*values), "batch").alias("newest")
+    return rows.groupBy(key).agg(newest).select(key, "newest.*")
