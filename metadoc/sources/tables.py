@@ -47,9 +47,8 @@ def rows_text(rows, group, shown=fv.CONTEXT_TABLE_ROWS, width=fv.CONTEXT_CELL_CH
         "columns", F.max(F.when((F.col("part") == 0) & (F.col("nth") == 1), F.size("cells")))
         .over(Window.partitionBy(*group))
     )
-    line = F.array_join(
-        F.transform(F.slice("cells", F.lit(1), F.col("columns")), lambda c: cell(c, width)), " | "
-    )
+    at = F.sequence(F.lit(0), F.col("columns") - 1)
+    line = F.array_join(F.transform(at, lambda i: cell(F.get("cells", i), width)), " | ")
     line = F.when(
         (F.col("part") == 0) & long & (F.col("nth") == half + 1), F.concat(line, F.lit("\n..."))
     ).otherwise(line)

@@ -1,10 +1,15 @@
+import os
 import sys
 import tempfile
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = Path(__file__).resolve().parent
+sys.path.insert(0, str(HERE.parent))
+# Python workers import the package and the responders of the tests.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH", "")])
 
 SMALL = "/root/testdata/sf0.001"
 
