@@ -104,10 +104,11 @@ oracle("source_hints", ["v_sources"], f"""
            array_to_string({hint_list(fv.HINT_COLUMNS_PATTERN)}, '|') AS columns FROM v_sources""")
 
 oracle("manifest_entries", ["v_manifests"], f"""
-    SELECT manifest, line_no, section AS kind, name, md5(description) AS description_md5
-    FROM (SELECT manifest, line_no, section, line,
+    SELECT manifest, position, section AS kind, name, md5(description) AS description_md5,
+           array_to_string({hint_list(fv.HINT_TABS_PATTERN)}, '|') AS tabs
+    FROM (SELECT manifest, position, section, line,
                  {strip("trim(" + strip("split_part(line, ':', 1)") + ", '`')")} AS name,
-                 {strip("substr(line, position(':' IN line) + 1)")} AS description FROM carried)
+                 {strip("substr(line, position(':' IN line) + 1)")} AS description FROM placed)
     WHERE NOT starts_with(line, '#') AND section <> '' AND contains(line, ':') AND name <> ''
       AND description <> ''
       AND CASE section WHEN 'archivo' THEN contains(name, '.')
@@ -123,9 +124,15 @@ oracle("manifest_entries", ["v_manifests"], f"""
                         WHEN contains(lower(ltrim(line, '#')), 'tabla') THEN 'tabla' ELSE '' END END AS mark
         FROM lines"""),
     ("carried", """
-        SELECT *, last_value(mark IGNORE NULLS) OVER (
-                   PARTITION BY manifest ORDER BY line_no
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM marked"""),
+        SELECT *, last_value(mark IGNORE NULLS) OVER w AS section, count(mark) OVER w AS headings
+        FROM marked WINDOW w AS (PARTITION BY manifest ORDER BY line_no
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+    # Sections are numbered from 0; text ahead of the first heading is one as well.
+    ("placed", """
+        SELECT *, (headings - 1 + CASE WHEN bool_or(line_no = 0 AND mark IS NULL) OVER (
+                       PARTITION BY manifest) THEN 1 ELSE 0 END) * 67108864
+                  + line_no - min(line_no) OVER (PARTITION BY manifest, headings) AS position
+        FROM carried"""),
 ])
 
 oracle("sources_merged", ["v_entries"], f"""

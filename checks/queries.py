@@ -117,10 +117,9 @@ def source_hints(spark, d):
 
 @query
 def manifest_entries(spark, d):
-    lines = manifests.manifest_lines(view(spark, d, "v_manifests"))
-    return manifests.manifest_entries(lines).select(
-        "manifest", F.col("line_no").cast("long").alias("line_no"), "kind", "name",
-        F.md5("description").alias("description_md5"),
+    return manifests.manifest_entries(view(spark, d, "v_manifests")).select(
+        "manifest", "position", "kind", "name", F.md5("description").alias("description_md5"),
+        F.array_join("hint_tabs", "|").alias("tabs"),
     )
 
 
@@ -248,11 +247,10 @@ def _schema_comments(spark, d):
     )
 
 
-def _table_comments(spark, d):
-    """A generated comment for the tables whose rows are few, by a rule; none for the others."""
-    per_table = _columns(spark, d).groupBy(*scope.TARGET).agg(F.count("*").alias("n"))
+def _table_comments(columns):
+    """A generated comment for two of the tables; none for the others."""
     generated = F.concat(F.lit("Tabla generada "), F.col("table_name"))
-    return per_table.select(
+    return columns.select(*scope.TARGET).distinct().select(
         *scope.TARGET,
         F.when(F.col("table_name").isin("BUILDING", "HOUSEHOLD"), generated)
         .alias("generated_table_comment"),
@@ -260,9 +258,8 @@ def _table_comments(spark, d):
 
 
 def _children(spark, d):
-    return prompts.child_context(
-        _columns(spark, d), _schema_comments(spark, d), _table_comments(spark, d)
-    )
+    columns = _columns(spark, d)
+    return prompts.child_context(columns, _schema_comments(spark, d), _table_comments(columns))
 
 
 @query
@@ -292,20 +289,21 @@ def prompts_schema(spark, d):
     )
 
 
+def _sampled(rows, spark, d):
+    """Rows with their table's sample; joined before the much longer context."""
+    return rows.join(_samples(spark, d), ["schema_name", "table_name"], "left")
+
+
 @query
 def prompts_table(spark, d):
-    children = _children(spark, d).select(*scope.TARGET, "schema_comment").distinct()
-    rows = relevance.with_context(children, _contexts(spark, d)).join(
-        _samples(spark, d), ["schema_name", "table_name"], "left"
-    )
+    rows = _children(spark, d).select(*scope.TARGET, "schema_comment").distinct()
+    rows = relevance.with_context(_sampled(rows, spark, d), _contexts(spark, d))
     return rows.withColumn("prompt", prompts.table_prompt()).select(*scope.TARGET, *_digest("prompt"))
 
 
 @query
 def prompts_column(spark, d):
-    rows = relevance.with_context(_children(spark, d), _contexts(spark, d)).join(
-        _samples(spark, d), ["schema_name", "table_name"], "left"
-    )
+    rows = relevance.with_context(_sampled(_children(spark, d), spark, d), _contexts(spark, d))
     return rows.withColumn("prompt", prompts.column_prompt()).select(
         *scope.TARGET, "column_name", *_digest("prompt")
     )

@@ -6,6 +6,10 @@ that differ between the engines are written ``<word>`` and listed in DIALECT.
 
 import re
 
+from metadoc.runtime import spread
+
+TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -258,12 +262,16 @@ def duckdb_with(names, more=()):
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; long texts in few splits are dealt out to all cores before anything else."""
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(frame, *TEXT_KEYS[name]) if name in TEXT_KEYS else frame
 
 
 def view(spark, sf_dir, name):
     views = _in_order([name])
-    used = {t for v in views for t in _needs(VIEWS[v], TABLES)}
-    parts = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in sorted(used)]
+    parts = []
+    for base in sorted({t for v in views for t in _needs(VIEWS[v], TABLES)}):
+        table(spark, sf_dir, base).createOrReplaceTempView(f"given_{base}")
+        parts.append(f"{base} AS (SELECT * FROM given_{base})")
     parts += [f"{v} AS ({_text(v, 'spark')})" for v in views]
     return spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")

@@ -6,6 +6,7 @@ from metadoc import fixed_values as fv
 from metadoc.functions.answers import with_judge_flags
 from metadoc.functions.scorers import deterministic_scores, exact_ratio
 from metadoc.operators.prompts import judge_keys
+from metadoc.runtime import deal
 
 DET = ("det_non_empty", "det_within_len", "det_no_pii", "det_is_spanish")
 USAGE = ("latency_ms", "tokens_in", "tokens_out")
@@ -45,6 +46,7 @@ def consistency(runs, ratio=None):
         F.min("run").alias("base_run"), F.min_by("text", "run").alias("base_text")
     )
     pairs = good.join(base, keys).filter(F.col("run") > F.col("base_run"))
+    pairs = deal(pairs, *keys, "run")  # also splits an object with very many runs
     means = pairs.select(*keys, ratio(F.col("base_text"), F.col("text")).alias("ratio")).groupBy(
         *keys
     ).agg(F.avg("ratio").alias("mean_ratio"))

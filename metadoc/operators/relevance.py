@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from metadoc import fixed_values as fv
 from metadoc.functions.relevance import haystack, source_header, static_score
 from metadoc.functions.text import blank_to_null, or_empty
-from metadoc.runtime import BROADCAST_ROWS, broadcast_if_small, materialize, spread
+from metadoc.runtime import BROADCAST_ROWS, materialize, spread
 
 ANCHOR_CHARS = 4
 SALTS = 32
@@ -233,6 +233,22 @@ def pick_sources(sources, objects, keywords=fv.GENERATOR_KEYWORDS, max_chars=fv.
     return _pick(sources, keys, keywords, max_chars)
 
 
+def _entries_in_use(sources, wanted, max_chars):
+    """(ord, header, body) of the wanted sources, bodies cut to the budget.
+
+    Few wanted ones are broadcast and filter the scan; else the cut bodies, never whole contents, are
+    shuffled once for this join and the one that follows on the same column.
+    """
+    name, kind = F.col("name"), F.col("kind")
+    entry = [
+        "ord", source_header(name, or_empty(F.col("description")), kind).alias("header"),
+        F.substring(or_empty(F.col("content")), 1, max_chars).alias("body"),
+    ]
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return sources.join(F.broadcast(wanted), "ord", "left_semi").select(*entry)
+    return sources.select(*entry).repartition("ord").join(wanted, "ord", "left_semi")
+
+
 def context_texts(picks, sources, max_chars=fv.MAX_CONTEXT_CHARS):
     """The context of every key in ``picks``, which should be materialized.
 
@@ -250,13 +266,7 @@ def context_texts(picks, sources, max_chars=fv.MAX_CONTEXT_CHARS):
         chosen.select("context_id", "cuts").dropDuplicates(["context_id"])
         .select("context_id", F.explode("cuts").alias("cut")).select("context_id", "cut.*")
     )
-    wanted = broadcast_if_small(used.select("ord").distinct())
-    name, kind = F.col("name"), F.col("kind")
-    entries = sources.join(wanted, "ord", "left_semi").select(
-        "ord",
-        source_header(name, or_empty(F.col("description")), kind).alias("header"),
-        F.substring(or_empty(F.col("content")), 1, max_chars).alias("body"),
-    )
+    entries = _entries_in_use(sources, used.select("ord").distinct(), max_chars)
     body = F.when(F.col("taken").isNull(), F.col("body")).otherwise(
         F.concat(F.substr("body", F.lit(1), F.col("taken")), F.lit(fv.TRUNCATION_MARK))
     )

@@ -4,7 +4,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def session(name="metadoc", master=None, shuffle_partitions=None, **settings):
@@ -49,21 +48,27 @@ def materialize(df, label):
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Narrow frames are broadcast only after counting that they have no more rows than this; larger ones
+# join by shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df, max_rows=BROADCAST_ROWS):
-    """Broadcast ``df`` only after counting that it has at most ``max_rows`` (narrow) rows.
+def spread(df, *keys):
+    """Rows of a plain scan with fewer splits than the cluster has cores, dealt out to all of them.
 
-    Meant for materialized frames. Larger ones are returned unchanged and join by shuffle.
+    For frames ahead of a step that costs much more than reading them. A scan with enough splits, as
+    any large one has, is returned as it is.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def spread(df):
-    """Rows of a plain scan with fewer splits than the cluster has cores, dealt out to all of them.
+def deal(df, *keys):
+    """Rows dealt out by ``keys`` over all shuffle partitions, for a costly step per row.
 
-    For narrow frames ahead of a step that costs much more than reading them.
+    The number is given, so that AQE does not merge partitions that are small but slow.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)

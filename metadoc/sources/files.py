@@ -39,6 +39,10 @@ def _any_case(extension):
     return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
+def unix_lines(text):
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def text_files(spark, folder, present=None):
     """UTF-8 texts, whole. Of files that are not valid UTF-8, those with a text extension give null
     content (an error for the caller) and the others give the empty text."""
@@ -50,8 +54,7 @@ def text_files(spark, folder, present=None):
         frames.append(files.filter(file_extension(F.col("name")) == ext))
     if not frames:
         return spark.createDataFrame([], "name string, content string")
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    text = unix_lines(F.try_validate_utf8(F.col("content").cast("string")))
     known = file_extension(F.col("name")).isin(*TEXT_EXTENSIONS)
     files = frames[0]
     for frame in frames[1:]:

@@ -1,82 +1,52 @@
 """Manifests: lists of context files and tables with their purpose."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
-from metadoc.functions.text import hint_columns, hint_tabs, is_three_part, or_empty, strip
+from metadoc.functions.text import WHITESPACE, hint_columns, hint_tabs, is_three_part, strip
 
-CHUNK = 4_096
+# A line that starts, after blanks, with a hash opens a section.
+_SECTION_START = "(?dm)^(?=[" + WHITESPACE.replace("\n", "") + "]*#)"
+_LINES_PER_SECTION = 1 << 26
 
 
-def manifest_lines(manifests):
-    """(manifest, line_no, line) out of whole manifest texts ``(manifest, text)``."""
-    lines = F.posexplode(F.split("text", "\n"))
-    return manifests.select("manifest", lines.alias("line_no", "line"))
+def manifest_entries(manifests, skip_html_comments=False):
+    """Entries of whole manifest texts ``(manifest, text)``.
 
+    Returns (manifest, position, kind, name, description, hint_tabs, hint_columns), ``position``
+    rising in the order of the lines. Headings switch the section; other lines are entries when they
+    hold a name, a colon and a purpose. HTML comments are no comments here unless asked for:
+    commented examples are entries.
 
-def carry_forward(rows, group, position, value, chunk=CHUNK):
-    """Fill ``value`` with the last non-null one before it, per group in order of ``position``.
-
-    A group is cut into chunks that are filled on their own; only one row per chunk is ordered over
-    the whole group, so no task sees a large group.
-    """
-    rows = rows.withColumn("chunk", F.floor(F.col(position) / chunk))
-    within = Window.partitionBy(*group, "chunk").orderBy(position)
-    rows = rows.withColumn("local", F.last(value, ignorenulls=True).over(within))
-    ends = rows.groupBy(*group, "chunk").agg(
-        F.max(F.when(F.col(value).isNotNull(), F.struct(position, value)))[value].alias("end")
-    )
-    earlier = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(
-        *group, "chunk", F.last("end", ignorenulls=True).over(earlier).alias("start")
-    )
-    filled = rows.join(starts, [*group, "chunk"], "left")
-    return filled.withColumn(value, F.coalesce("local", "start")).drop("chunk", "local", "start")
-
-
-def manifest_entries(lines, skip_html_comments=False):
-    """(manifest, line_no, kind, name, description, hint_tabs, hint_columns).
-
-    Headings switch the section; other lines are entries when they hold a name, a colon and a
-    purpose. HTML comments are no comments here unless asked for: commented examples are entries.
+    A text is cut at its headings first, so every piece carries its own section and nothing has to
+    be ordered or shuffled.
     """
-    line = strip(F.col("line"))
-    rows = lines.select("manifest", "line_no", line.alias("line")).filter(F.col("line") != "")
+    text = F.col("text")
     if skip_html_comments:
-        rows = _without_html_comments(rows)
-    heading = F.lower(F.regexp_replace("line", r"\A#+", ""))
-    section = (
-        F.when(heading.contains("archivo"), fv.KIND_FILE)
-        .when(heading.contains("tabla"), fv.KIND_TABLE)
-        .otherwise("")
-    )
-    rows = rows.withColumn("section", F.when(F.col("line").startswith("#"), section))
-    rows = carry_forward(rows, ["manifest"], "line_no", "section")
+        text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    pieces = manifests.select("manifest", F.posexplode(F.split(text, _SECTION_START)).alias("piece_no", "piece"))
+    heading = F.lower(strip(F.substring_index("piece", "\n", 1)))
+    kind = F.when(heading.startswith("#"), F.when(heading.contains("archivo"), fv.KIND_FILE)
+                  .when(heading.contains("tabla"), fv.KIND_TABLE))
+    sections = pieces.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    lines = sections.select(
+        "manifest", "kind", "piece_no", F.posexplode(F.split("piece", "\n")).alias("line_no", "line")
+    ).filter((F.col("line_no") > 0) & F.col("line").contains(":"))
     colon = F.instr("line", ":")
-    name = F.substr("line", F.lit(1), F.col("colon") - 1)
-    name = strip(F.btrim(strip(name), F.lit("`")))
-    parsed = (
-        rows.filter(~F.col("line").startswith("#") & (or_empty(F.col("section")) != ""))
-        .withColumn("colon", colon).filter("colon > 0")
-        .select(
-            "manifest", "line_no", F.col("section").alias("kind"), name.alias("name"),
-            strip(F.substr("line", F.col("colon") + 1)).alias("description"),
-        )
+    name = strip(F.btrim(strip(F.substr("line", F.lit(1), colon - 1)), F.lit("`")))
+    # inline keeps the two texts from being worked out again in every condition below
+    parsed = lines.select(
+        "manifest",
+        (F.col("piece_no").cast("long") * _LINES_PER_SECTION + F.col("line_no")).alias("position"),
+        "kind",
+        F.inline(F.array(F.struct(
+            name.alias("name"), strip(F.substr("line", colon + 1)).alias("description")
+        ))),
     )
-    named = F.when(F.col("kind") == fv.KIND_FILE, F.col("name").contains(".")).otherwise(
+    right = F.when(F.col("kind") == fv.KIND_FILE, F.col("name").contains(".")).otherwise(
         is_three_part(F.col("name"))
     )
-    return parsed.filter((F.col("name") != "") & (F.col("description") != "") & named).select(
+    return parsed.filter((F.col("name") != "") & (F.col("description") != "") & right).select(
         "*", hint_tabs(F.col("description")).alias("hint_tabs"),
         hint_columns(F.col("description")).alias("hint_columns"),
     )
-
-
-def _without_html_comments(rows):
-    """Drop lines from one that opens ``<!--`` up to the one that closes it."""
-    opens, closes = F.col("line").contains("<!--"), F.col("line").contains("-->")
-    state = F.when(closes, "shut").when(opens, "open")
-    rows = carry_forward(rows.withColumn("state", state), ["manifest"], "line_no", "state")
-    outside = (or_empty(F.col("state")) != "open") & ~opens & ~closes
-    return rows.filter(outside).drop("state")

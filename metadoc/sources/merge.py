@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
 from metadoc.runtime import materialize, shared_dir
-from metadoc.sources.files import _binary, file_contents
-from metadoc.sources.manifests import manifest_entries, manifest_lines
+from metadoc.sources.files import _binary, file_contents, unix_lines
+from metadoc.sources.manifests import manifest_entries
 from metadoc.sources.tables import table_text
 
 
@@ -29,11 +29,11 @@ def merged_sources(entries):
 
 
 def with_order(entries, manifest_order):
-    """Number entries by manifest, then files before tables, then line."""
+    """Number entries by manifest, then files before tables, then position."""
     at = F.array_position(F.array(*[F.lit(name) for name in manifest_order]), F.col("manifest")) - 1
     table = F.when(F.col("kind") == fv.KIND_TABLE, 1).otherwise(0)
     return entries.withColumn(
-        "ord", (at * 2 + table).cast("long") * F.lit(1 << 40) + F.col("line_no").cast("long")
+        "ord", (at * 2 + table).cast("long") * F.lit(1 << 52) + F.col("position")
     )
 
 
@@ -71,8 +71,10 @@ def load_sources(spark, folder, manifests):
     ``(manifest, name, error)``.
     """
     listed = _binary(spark, folder).filter(F.col("name").isin(*manifests))
-    texts = listed.select(F.col("name").alias("manifest"), F.col("content").cast("string").alias("text"))
-    entries = with_order(manifest_entries(manifest_lines(texts)), manifests)
+    texts = listed.select(
+        F.col("name").alias("manifest"), unix_lines(F.col("content").cast("string")).alias("text")
+    )
+    entries = with_order(manifest_entries(texts), manifests)
     entries = materialize(entries, "manifest-entries")
     files = entries.filter(F.col("kind") == fv.KIND_FILE)
     # With several hints for one workbook the last entry decides, as it does for the values.

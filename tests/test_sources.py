@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from metadoc.sources.files import (
     docx_files, file_contents, missing_sheets, text_files, workbook_files, workbook_rows, delimited_files,
 )
-from metadoc.sources.manifests import carry_forward, manifest_entries, manifest_lines
+from metadoc.sources.manifests import manifest_entries
 from metadoc.sources.merge import load_sources, merged_sources
 from metadoc.sources.tables import table_text
 
@@ -32,7 +32,7 @@ def plain_entries(text):
 
 def entries_of(spark, texts, **options):
     frame = spark.createDataFrame(list(texts.items()), "manifest string, text string")
-    rows = manifest_entries(manifest_lines(frame), **options).orderBy("manifest", "line_no").collect()
+    rows = manifest_entries(frame, **options).orderBy("manifest", "position").collect()
     return {name: [(r["kind"], r["name"], r["description"]) for r in rows if r["manifest"] == name]
             for name in texts}
 
@@ -41,7 +41,7 @@ def test_manifests(spark):
     rng = random.Random(3)
     pieces = ["# Archivos", "## TABLAS ", "#Notas", "### archivo y tabla", "`a.md`: texto", " ` b.txt ` : x: y ",
               "main.s.t: [columnas: a]", "s.t: dos", "a.b.c.d: tres", "sin dos puntos", "x:", ": y", "", "c: z",
-              "<!-- Ejemplos:", "-->", "\tq.csv:\t1"]
+              "<!-- Ejemplos:", "-->", "\tq.csv:\t1", " \u2003# archivos", "x.y:\u2028# tabla", "p.md: a\x85# tablas"]
     texts = {f"m{i}": "\n".join(rng.choices(pieces, k=rng.randint(0, 30))) for i in range(150)}
     got = entries_of(spark, texts)
     for name, text in texts.items():
@@ -70,17 +70,6 @@ def test_commented_examples_are_entries_unless_asked_for(spark):
     assert entries_of(spark, {"m": TEMPLATE}, skip_html_comments=True)["m"] == []
 
 
-def test_carry_forward_over_chunks(spark):
-    rng = random.Random(5)
-    rows = [(g, p, rng.choice([None, None, None, f"v{p}"])) for g in "ab" for p in range(500)]
-    frame = spark.createDataFrame(rows, "g string, p int, v string")
-    got = {(r["g"], r["p"]): r["v"] for r in carry_forward(frame, ["g"], "p", "v", chunk=7).collect()}
-    last = {}
-    for g, p, v in rows:
-        last[g] = v if v is not None else last.get(g)
-        assert got[g, p] == last[g]
-
-
 def test_merge_keeps_first_position_and_last_values(spark):
     rows = [(10, "a", "a1"), (20, "b", "b1"), (30, "a", "a2"), (40, "c", "c1"), (50, "a", "a3")]
     frame = spark.createDataFrame(rows, "ord long, name string, content string")
