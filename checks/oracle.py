@@ -156,6 +156,12 @@ oracle("delimited_text", [], f"""
            p_partkey || ' | ' || p_name || ' | ' || p_brand || ' | ' || p_type || ' | ' || p_size ||
            ' | ' || p_retailprice AS line FROM part""")])
 
+oracle("text_file_content", [], f"""
+    SELECT conv_id, {digest('content', 'content')}
+    FROM (SELECT conv_id, string_agg(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))
+                                     || chr(10), '' ORDER BY turn) AS content
+          FROM turns_all GROUP BY conv_id)""", [("turns_all", "SELECT * FROM conversations")])
+
 SIZES = ("sizes", """
     SELECT schema_name, table_name, count(*) AS row_count,
            CASE WHEN count(*) <= 500 THEN count(*)

@@ -1,10 +1,12 @@
 """Every registered query: the package's operators on frames derived from the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.views import table, view
 from metadoc import fixed_values as fv
-from metadoc.functions.levels import level_label, level_limit, object_level
+from metadoc.functions.levels import level_label, level_limit
 from metadoc.functions.relevance import static_score
 from metadoc.functions.scorers import (
     deterministic_scores, flag, native_ratio, pii_card, pii_email, pii_long_number, style_flags,
@@ -15,8 +17,12 @@ from metadoc.functions.text import (
 )
 from metadoc.operators import audit, evaluation, kpis, prompts, quality, relevance, results
 from metadoc.operators import responses, review, sampling
-from metadoc.runtime import materialize
+from metadoc.runtime import materialize, shared_dir
 from metadoc.sources import catalog, manifests, merge, scope, tables
+from metadoc.sources.files import delimited_files, text_files
+from metadoc.streaming.audit_stream import (
+    current, flagged, result_stream, run_available, write_batches,
+)
 
 MODELS = ("click", "error", "purchase", "signup", "view")
 PRICES = {"click": (3.0, 15.0), "purchase": (0.5, 2.0), "signup": (1.25, 10.0), "otro": (9.0, 9.0)}
@@ -140,10 +146,6 @@ def context_table_text(spark, d):
 @query
 def delimited_text(spark, d):
     """One CSV file per brand, written by Spark and read back as context files."""
-    from metadoc.runtime import shared_dir
-    from metadoc.sources.files import delimited_files
-    import uuid
-
     folder = f"{shared_dir(spark)}/metadoc/csv-{uuid.uuid4().hex}"
     part = table(spark, d, "part")
     fields = part.withColumn("brand", F.col("p_brand"))
@@ -155,6 +157,20 @@ def delimited_text(spark, d):
     )
 
 
+@query
+def text_file_content(spark, d):
+    """One text file per conversation, written by Spark and read back as context files."""
+    folder = f"{shared_dir(spark)}/metadoc/texts-{uuid.uuid4().hex}"
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").drop("turn").write.partitionBy(
+        "conv_id"
+    ).text(folder)
+    return text_files(spark, folder).select(
+        F.regexp_extract("name", r"conv_id=([0-9]+)", 1).cast("long").alias("conv_id"),
+        *_digest("content"),
+    )
+
+
 @query
 def sample_sizes(spark, d):
     return sampling.sample_sizes(view(spark, d, "v_rows"), ["schema_name", "table_name"], 10)
@@ -258,7 +274,7 @@ def _table_comments(columns):
 
 
 def _children(spark, d):
-    columns = _columns(spark, d)
+    columns = materialize(_columns(spark, d), "columns")
     return prompts.child_context(columns, _schema_comments(spark, d), _table_comments(columns))
 
 
@@ -746,13 +762,6 @@ def kpis_filtered(spark, d):
 @query
 def stream_flags(spark, d):
     """All documents as result rows of a stream, checked batch by batch until none is left."""
-    import uuid
-
-    from metadoc.runtime import shared_dir
-    from metadoc.streaming.audit_stream import (
-        current, flagged, result_stream, run_available, write_batches,
-    )
-
     folder = f"{shared_dir(spark)}/metadoc/stream-{uuid.uuid4().hex}"
     documents = result_stream(
         spark, d, table(spark, d, "documents").schema, pathGlobFilter="documents.parquet"

@@ -20,11 +20,13 @@ DIALECT = {
         "t0": "TIMESTAMP_NTZ'2026-01-01 00:00:00'",
         "props_k": "get_json_object(props, '$.k')",
         "plain_text": "regexp_replace(text, '[^A-Za-z0-9 ]', '')",
+        "detail_rows": "explode(array(90, 92, 95, 96))",
     },
     "duckdb": {
         "t0": "TIMESTAMP '2026-01-01 00:00:00'",
         "props_k": "json_extract_string(props, '$.k')",
         "plain_text": "regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')",
+        "detail_rows": "unnest([90, 92, 95, 96])",
     },
 }
 
@@ -56,15 +58,15 @@ VIEWS = {
                     JOIN v_known k ON k.catalog_name = r_name AND k.schema_name = n_name
                                   AND k.table_name = c_mktsegment
         GROUP BY k.catalog_name, k.schema_name, k.table_name, o_orderpriority
-        UNION ALL SELECT catalog_name, schema_name, table_name, CAST(90 AS BIGINT),
-               CASE WHEN table_name < 'G' THEN '' ELSE '# Partition Information' END, '' FROM v_known
-        UNION ALL SELECT catalog_name, schema_name, table_name, CAST(92 AS BIGINT), '5-LOW', 'bigint'
-               FROM v_known
-        UNION ALL SELECT catalog_name, schema_name, table_name, CAST(95 AS BIGINT),
-               '# Detailed Table Information', '' FROM v_known
-        UNION ALL SELECT catalog_name, schema_name, table_name, CAST(96 AS BIGINT), 'Comment',
-               CASE WHEN table_name < 'H' THEN 'Registros de ' || table_name || ' en ' || schema_name
-                    ELSE '' END FROM v_known""",
+        UNION ALL
+        SELECT catalog_name, schema_name, table_name, CAST(pos AS BIGINT),
+               CASE pos WHEN 90 THEN CASE WHEN table_name < 'G' THEN '' ELSE '# Partition Information' END
+                        WHEN 92 THEN '5-LOW' WHEN 95 THEN '# Detailed Table Information'
+                        ELSE 'Comment' END,
+               CASE WHEN pos = 92 THEN 'bigint'
+                    WHEN pos = 96 AND table_name < 'H'
+                    THEN 'Registros de ' || table_name || ' en ' || schema_name ELSE '' END
+        FROM (SELECT catalog_name, schema_name, table_name, <detail_rows> AS pos FROM v_known)""",
     # Comments the schemas already have.
     "v_schema_comments": """
         SELECT r_name AS catalog_name, n_name AS schema_name,
@@ -261,10 +263,17 @@ def duckdb_with(names, more=()):
     return "WITH " + ",\n".join(parts)
 
 
+_GIVEN = {}
+
+
 def table(spark, sf_dir, name):
-    """A given table; long texts in few splits are dealt out to all cores before anything else."""
-    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(frame, *TEXT_KEYS[name]) if name in TEXT_KEYS else frame
+    """A given table, opened once per session; long texts in few splits are dealt out to all cores
+    before anything else."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _GIVEN:
+        frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _GIVEN[key] = spread(frame, *TEXT_KEYS[name]) if name in TEXT_KEYS else frame
+    return _GIVEN[key]
 
 
 def view(spark, sf_dir, name):

@@ -86,6 +86,7 @@ def name_hits(index, names):
     """
     profile = names.agg(
         F.count("*").alias("names"), F.max(F.length("name")).alias("longest"),
+        F.countDistinct(F.substring("name", 1, ANCHOR_CHARS)).alias("beginnings"),
         F.collect_set(F.least(F.length("name"), F.lit(ANCHOR_CHARS))).alias("anchors"),
         F.collect_set(F.substring("name", 1, 1)).alias("initials"),
     ).first()
@@ -97,8 +98,10 @@ def name_hits(index, names):
     beginnings = names.groupBy(F.substring("name", 1, ANCHOR_CHARS).alias("anchor")).agg(
         F.collect_set(F.length("name")).alias("lengths")
     )
+    if profile["beginnings"] <= BROADCAST_ROWS:
+        beginnings = F.broadcast(beginnings)
     if profile["names"] <= BROADCAST_ROWS:
-        names, beginnings = F.broadcast(names), F.broadcast(beginnings)
+        names = F.broadcast(names)
     initials = "".join(f"\\x{{{ord(char):x}}}" for char in sorted(profile["initials"]))
     tail_at = rf"(?s)(?=([{initials}].{{0,{profile['longest'] - 1}}}))"
     tails = spread(index).select(

@@ -146,7 +146,7 @@ def run_summary(outcomes, scope_name, scope_counts, group=("id_ejecucion",)):
     """(group, counts, estado, resultado) out of one row per handled object.
 
     ``outcomes`` has ``level``, ``message`` (null when fine) and ``position``; ``scope_counts`` has
-    ``group``, ``scope_schemas`` and ``scope_tables``.
+    ``group``, ``scope_schemas`` and ``scope_tables``, one row per run, also for runs without outcomes.
     """
     group = list(group)
     fine = F.col("message").isNull()
@@ -156,7 +156,9 @@ def run_summary(outcomes, scope_name, scope_counts, group=("id_ejecucion",)):
         F.count("message").alias("errors"),
     )
     messages = first_errors(outcomes.filter(~fine), group, fv.SUMMARY_ERRORS)
-    joined = counts.join(messages, group, "left").join(scope_counts, group, "left")
+    joined = scope_counts.join(counts, group, "left").join(messages, group, "left").fillna(
+        0, ["schemas", "tables", "columns", "errors"]
+    )
     numbers = {
         name: F.col(name).cast("string")
         for name in ("schemas", "tables", "columns", "errors", "scope_schemas", "scope_tables")

@@ -7,6 +7,7 @@ written before the next one starts.
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from metadoc.operators.prompts import (
 )
 from metadoc.operators.relevance import contexts, with_context
 from metadoc.operators.responses import ask, split_answers
-from metadoc.operators.results import result_rows, run_summary
+from metadoc.operators.results import level_of, result_rows, run_summary
 from metadoc.operators.sampling import table_sample_text
-from metadoc.runtime import materialize, shared_dir
+from metadoc.runtime import append_each, materialize, shared_dir
 from metadoc.sinks.control_tables import append_results, log_state
 from metadoc.sources.catalog import (
     described_columns, missing_tables, read_describe, read_schema_comments,
@@ -44,19 +45,24 @@ class Generation:
 
 
 def table_samples(spark, tables, pct, seed):
-    """(catalog_name, schema_name, table_name, sample); one small job per table, results appended."""
+    """(catalog_name, schema_name, table_name, sample), one row per table, many tables per job."""
     schema = "catalog_name string, schema_name string, table_name string, sample string"
     path = f"{shared_dir(spark)}/metadoc/samples-{uuid.uuid4().hex}"
     spark.createDataFrame([], schema).write.parquet(path)
-    for names in tables.select(*TARGET).toLocalIterator():
-        labels = [F.lit(value).alias(name) for name, value in zip(TARGET, names)]
-        try:
-            source = spark.table(".".join(f"`{part.replace('`', '``')}`" for part in names))
-            row = table_sample_text(source, pct, seed).select(*labels, "sample")
-            row.write.mode("append").parquet(path)
-        except Exception as problem:
-            failed = F.lit(f"(error al obtener muestra: {str(problem)[:100]})").alias("sample")
-            spark.range(1).select(*labels, failed).write.mode("append").parquet(path)
+
+    def labels(names):
+        return [F.lit(value).alias(name) for name, value in zip(TARGET, names)]
+
+    def sample_of(names):
+        source = spark.table(".".join(f"`{part.replace('`', '``')}`" for part in names))
+        return table_sample_text(source, pct, seed).select(*labels(names), "sample")
+
+    def failed(names, problem):
+        text = f"(error al obtener muestra: {str(problem)[:100]})"
+        return spark.range(1).select(*labels(names), F.lit(text).alias("sample"))
+
+    wanted = tables.select(*TARGET).toLocalIterator()
+    append_each(spark, path, ((tuple(t), lambda t=t: sample_of(t)) for t in wanted), failed)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -72,8 +78,11 @@ def _label(*names):
 
 
 def generate(spark, config, sources, responder, answers_path=None, concurrency=None,
-             execution_id=None, at=None):
-    """Comments for every schema, table and column in scope, as result rows without id."""
+             execution_id=None, at=None, progress=lambda text: None):
+    """Comments for every schema, table and column in scope, as result rows without id.
+
+    ``progress`` is told which wave begins.
+    """
     execution_id = execution_id or str(uuid.uuid4())
     at = at or utc_now()
     targets = materialize(scope_targets(
@@ -103,6 +112,7 @@ def generate(spark, config, sources, responder, answers_path=None, concurrency=N
     def schema_build(rows):
         return with_context(rows, packed).withColumn("prompt", schema_prompt())
 
+    progress("Procesando esquemas")
     schema_rows = schemas.withColumn("table_name", F.lit(""))
     good_schemas, bad_schemas = wave(schema_rows, list(SCHEMA_KEY), schema_build)
     generated = good_schemas.select(*SCHEMA_KEY, F.col("comentario").alias("generated_schema_comment"))
@@ -120,11 +130,13 @@ def generate(spark, config, sources, responder, answers_path=None, concurrency=N
         "schema_comment",
         effective_schema_comment(F.col("existing_schema_comment"), F.col("generated_schema_comment")),
     ).select(*TARGET, "schema_comment")
+    progress("Procesando tablas")
     good_tables, bad_tables = wave(table_rows, list(TARGET), child_build(table_prompt()))
     table_notes = materialize(
         good_tables.select(*TARGET, F.col("comentario").alias("generated_table_comment")), "table-notes"
     )
 
+    progress("Procesando columnas")
     column_rows = child_context(columns, schema_notes, table_notes)
     column_key = [*TARGET, "column_name"]
     good_columns, bad_columns = wave(column_rows, column_key, child_build(column_prompt()))
@@ -150,8 +162,6 @@ def generate(spark, config, sources, responder, answers_path=None, concurrency=N
 
 def _outcomes(results, bad_schemas, bad_tables, bad_columns, execution_id):
     """(id_ejecucion, level, message, position): the failed objects with reasons, the others without."""
-    from metadoc.operators.results import level_of
-
     fine = level_of(results).select(
         "level", F.lit(None).cast("string").alias("message"), F.lit("").alias("position")
     )
@@ -172,20 +182,21 @@ def run(spark, config, sources, responder, events_table, results_table, answers_
         concurrency=None):
     """``generate`` with the execution log and the results table kept up to date."""
     execution_id = str(uuid.uuid4())
+    steps = count()
 
-    def log(state, result, seq):
-        log_state(spark, events_table, execution_id, state, result, utc_now(), seq)
+    def log(state, result):
+        log_state(spark, events_table, execution_id, state, result, utc_now(), next(steps))
 
-    log(fv.RUN_STARTED, None, 0)
+    log(fv.RUN_STARTED, None)
     try:
-        done = generate(spark, config, sources, responder, answers_path, concurrency, execution_id)
+        done = generate(
+            spark, config, sources, responder, answers_path, concurrency, execution_id,
+            progress=lambda text: log(fv.RUN_WORKING, text),
+        )
         append_results(spark, results_table, done.results)
         summary = done.summary.first()
-        if summary is None:
-            log(fv.RUN_DONE, None, 1)
-        else:
-            log(summary["estado"], summary["resultado"], 1)
+        log(summary["estado"], summary["resultado"])
     except Exception as problem:
-        log(fv.RUN_FAILED, f"Error inesperado: {str(problem)[:500]}", 1)
+        log(fv.RUN_FAILED, f"Error inesperado: {str(problem)[:500]}")
         raise
     return done

@@ -48,6 +48,43 @@ def materialize(df, label):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def append_each(spark, path, makers, failed, batch=32):
+    """Append one small frame per maker to the table at ``path``, many frames per Spark job.
+
+    ``makers`` yields (label, function without arguments). A job that fails leaves nothing behind; its
+    frames are then written one by one, and ``failed(label, problem)`` makes the row of a failing one.
+    """
+
+    def write(frames):
+        whole = frames[0]
+        for frame in frames[1:]:
+            whole = whole.unionByName(frame)
+        whole.write.mode("append").parquet(path)
+
+    def write_each(pending):
+        for label, make in pending:
+            try:
+                write([make()])
+            except Exception as problem:
+                write([failed(label, problem)])
+
+    pending = []
+
+    def flush():
+        if pending:
+            try:
+                write([make() for _, make in pending])
+            except Exception:
+                write_each(pending)
+            pending.clear()
+
+    for maker in makers:
+        pending.append(maker)
+        if len(pending) >= batch:
+            flush()
+    flush()
+
+
 # Narrow frames are broadcast only after counting that they have no more rows than this; larger ones
 # join by shuffle.
 BROADCAST_ROWS = 200_000

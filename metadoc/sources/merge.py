@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
-from metadoc.runtime import materialize, shared_dir
+from metadoc.runtime import append_each, materialize, shared_dir
 from metadoc.sources.files import _binary, file_contents, unix_lines
 from metadoc.sources.manifests import manifest_entries
 from metadoc.sources.tables import table_text
@@ -46,21 +46,25 @@ def table_contents(spark, entries):
     path = f"{shared_dir(spark)}/metadoc/context-tables-{uuid.uuid4().hex}"
     schema = "name string, hint_columns array<string>, content string, error string"
     spark.createDataFrame([], schema).write.parquet(path)
-    for entry in entries.select("name", "hint_columns").distinct().toLocalIterator():
-        hint = F.lit(list(entry["hint_columns"])).cast("array<string>")
-        try:
-            quoted = ".".join(f"`{part}`" for part in entry["name"].split("."))
-            row = table_text(spark.table(quoted), entry["hint_columns"]).select(
-                F.lit(entry["name"]).alias("name"), hint.alias("hint_columns"), "content",
-                F.lit(None).cast("string").alias("error"),
-            )
-            row.write.mode("append").parquet(path)
-        except Exception as problem:
-            spark.range(1).select(
-                F.lit(entry["name"]).alias("name"), hint.alias("hint_columns"),
-                F.lit(None).cast("string").alias("content"),
-                F.lit(str(problem)[:200]).alias("error"),
-            ).write.mode("append").parquet(path)
+
+    def labels(name, hint):
+        return [F.lit(name).alias("name"),
+                F.lit(list(hint)).cast("array<string>").alias("hint_columns")]
+
+    def text_of(name, hint):
+        quoted = ".".join(f"`{part}`" for part in name.split("."))
+        return table_text(spark.table(quoted), hint).select(
+            *labels(name, hint), "content", F.lit(None).cast("string").alias("error")
+        )
+
+    def failed(label, problem):
+        return spark.range(1).select(
+            *labels(*label), F.lit(None).cast("string").alias("content"),
+            F.lit(str(problem)[:200]).alias("error"),
+        )
+
+    wanted = entries.select("name", "hint_columns").distinct().toLocalIterator()
+    append_each(spark, path, ((tuple(e), lambda e=e: text_of(*e)) for e in wanted), failed)
     return spark.read.schema(schema).parquet(path)
 
 

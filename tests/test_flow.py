@@ -225,6 +225,19 @@ def test_all_fine_summary(spark, control, sources):
                                 f"'{CONTROL}.alcance'.")
 
 
+def test_nothing_accessible(spark, control, sources):
+    spark.createDataFrame([("spark_catalog", "nada", "t")], "catalogo string, esquema string, tabla string").write\
+        .mode("overwrite").saveAsTable(f"{CONTROL}.alcance_nada")
+    config = GenerationConfig(**{**CONFIG, "scope_table": f"{CONTROL}.alcance_nada"})
+    done = generation.run(spark, config, sources, writer, EVENTS, RESULTS)
+    last = executions(spark, EVENTS).filter(F.col("id_ejecucion") == done.execution_id).first()
+    assert (last["estado"], last["resultado"][:50]) == (
+        "COMPLETADO", "Exitoso. 0 esquema(s), 0 tabla(s) y 0 columna(s) d")
+    states = [r["estado"] for r in spark.table(EVENTS).filter(F.col("id_ejecucion") == done.execution_id)
+              .orderBy("seq").collect()]
+    assert states == ["INICIADO", "EN_PROCESO", "EN_PROCESO", "EN_PROCESO", "COMPLETADO"]
+
+
 def test_kpis_and_views(spark, done):
     row = kpis(filter_results(spark.table(RESULTS), done.execution_id)).first()
     assert (row["executions"], row["comments"], row["catalogs"], row["schemas"], row["tables"]) == (1, 20, 1, 2, 6)

@@ -11,7 +11,7 @@ GLOBAL_ROWS = {  # queries whose answer is a handful of rows ordered or counted
 }
 LIGHT = [n for n in QUERIES if n not in GLOBAL_ROWS and n not in {
     "relevance_pairs", "relevance_rank", "context_budget", "context_text", "prompts_schema", "prompts_table",
-    "prompts_column", "prompts_audit", "responder_answers", "delimited_text", "stream_flags"}]
+    "prompts_column", "prompts_audit", "responder_answers", "delimited_text", "text_file_content", "stream_flags"}]
 
 
 def plan_of(frame):
