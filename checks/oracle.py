@@ -180,7 +180,7 @@ SAMPLES = ("samples", """
            'o_orderkey | o_orderstatus | o_orderpriority | o_totalprice | o_orderdate' || chr(10) ||
            string_agg(line, chr(10) ORDER BY nth) AS sample
     FROM drawn GROUP BY schema_name, table_name""")
-oracle("sample_sizes", ["v_rows"], "SELECT * FROM sizes", [SIZES])
+oracle("sample_size", ["v_rows"], "SELECT * FROM sizes", [SIZES])
 oracle("table_sample", ["v_rows"], "SELECT * FROM drawn", [SIZES, DRAWN])
 oracle("sample_text", ["v_rows"],
        f"SELECT schema_name, table_name, {digest('sample', 'sample')} FROM samples",
@@ -389,8 +389,8 @@ LEVELLED = ("levelled", f"""
     SELECT *, {LEVEL} AS level, coalesce(nombre_catalogo, 'None') AS c,
            coalesce(nombre_esquema, 'None') AS s, coalesce(nombre_tabla, 'None') AS t,
            coalesce(nombre_columna, 'None') AS k FROM v_results""")
-oracle("object_level_and_target", ["v_results"],
-       f"SELECT id_resultado, level, {TARGET} AS target FROM levelled", [LEVELLED])
+oracle("object_level", ["v_results"], "SELECT id_resultado, level FROM levelled", [LEVELLED])
+oracle("target_label", ["v_results"], f"SELECT id_resultado, {TARGET} AS target FROM levelled", [LEVELLED])
 oracle("results_rows", ["v_results"], f"""
     SELECT 'run-1' AS id_ejecucion, '2026-02-03 04:05:06' AS fecha, {', '.join(N)},
            {digest('comentario', 'comentario')}, coalesce(status, 'aprobado') AS status,
@@ -615,7 +615,7 @@ def style(column, level):
         CAST(NOT {matches(SPANISH, f'lower({column})')} AS INTEGER) AS not_spanish"""
 
 
-oracle("style_faults", ["v_golden"],
+oracle("style_flags", ["v_golden"],
        f"SELECT object_id, {style('context_text', 'object_level')} FROM v_golden")
 oracle("stream_flags", ["v_results"], f"""
     SELECT id_resultado, {DET}, {style('text', 'level')}
@@ -630,7 +630,7 @@ def judged(key):
         AS judge_{key}"""
 
 
-oracle("judge_scores", ["v_judge_answers"],
+oracle("judge_flags", ["v_judge_answers"],
        f"SELECT object_id, {', '.join(judged(key) for key in KEYS)} FROM parsed", [
     ("blocks", r"""SELECT object_id, regexp_extract(coalesce(judge_text, ''), '(?s)\{.*\}', 0) AS block
                    FROM v_judge_answers"""),
@@ -740,7 +740,7 @@ KPIS = """
            count(*) FILTER (WHERE status = 'aprobado') AS approved,
            count(*) FILTER (WHERE status = 'por revisar') AS to_review,
            count(*) FILTER (WHERE status = 'rechazado') AS rejected FROM """
-oracle("kpis_all", ["v_results"], KPIS + "v_results")
+oracle("kpis", ["v_results"], KPIS + "v_results")
 oracle("kpis_filtered", ["v_results", "v_executions"], KPIS + """(
     SELECT r.* FROM v_results r JOIN v_executions e ON e.id_ejecucion = r.id_ejecucion
     WHERE CAST(e.fecha_ejecucion AS DATE) BETWEEN DATE '2026-01-01' AND DATE '2027-12-31'

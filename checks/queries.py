@@ -34,7 +34,8 @@ QUERIES = {}
 
 
 def query(function):
-    QUERIES[function.__name__] = function
+    """Register under the function's name, without the ``query_`` that keeps it apart from an import."""
+    QUERIES[function.__name__.removeprefix("query_")] = function
     return function
 
 
@@ -172,7 +173,7 @@ def text_file_content(spark, d):
 
 
 @query
-def sample_sizes(spark, d):
+def sample_size(spark, d):
     return sampling.sample_sizes(view(spark, d, "v_rows"), ["schema_name", "table_name"], 10)
 
 
@@ -387,10 +388,13 @@ def responder_answers(spark, d):
 
 
 @query
-def object_level_and_target(spark, d):
-    return review.with_level_and_target(view(spark, d, "v_results")).select(
-        "id_resultado", "level", "target"
-    )
+def object_level(spark, d):
+    return results.level_of(view(spark, d, "v_results")).select("id_resultado", "level")
+
+
+@query
+def target_label(spark, d):
+    return review.with_level_and_target(view(spark, d, "v_results")).select("id_resultado", "target")
 
 
 @query
@@ -632,14 +636,14 @@ def pii_hits(spark, d):
 
 
 @query
-def style_faults(spark, d):
+def query_style_flags(spark, d):
     return view(spark, d, "v_golden").select(
         "object_id", *style_flags(F.col("context_text"), F.col("object_level"))
     )
 
 
 @query
-def judge_scores(spark, d):
+def judge_flags(spark, d):
     return with_judge_flags(view(spark, d, "v_judge_answers"), prompts.judge_keys()).drop("judge_text")
 
 
@@ -742,7 +746,7 @@ def calibration_sample(spark, d):
 
 
 @query
-def kpis_all(spark, d):
+def query_kpis(spark, d):
     return kpis.kpis(view(spark, d, "v_results"))
 
 

@@ -270,7 +270,7 @@ def table(spark, sf_dir, name):
     """A given table, opened once per session; long texts in few splits are dealt out to all cores
     before anything else."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _GIVEN:
+    if key not in _GIVEN or _GIVEN[key].sparkSession is not spark:
         frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         _GIVEN[key] = spread(frame, *TEXT_KEYS[name]) if name in TEXT_KEYS else frame
     return _GIVEN[key]

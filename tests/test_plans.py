@@ -5,7 +5,7 @@ import pytest
 from checks.queries import QUERIES
 
 GLOBAL_ROWS = {  # queries whose answer is a handful of rows ordered or counted as a whole
-    "scope_totals", "audit_totals", "applied_counts", "kpis_all", "kpis_filtered", "judge_agreement",
+    "scope_totals", "audit_totals", "applied_counts", "kpis", "kpis_filtered", "judge_agreement",
     "best_model", "scorecard", "scorecard_alt", "normalized", "calibration_sample", "context_table_text",
     "assign_ids", "results_with_execution",
 }
