@@ -28,6 +28,18 @@ def _binary(spark, folder, glob=None):
     return reader.load(folder).withColumn("name", _relative(F.col("path"), folder))
 
 
+def named_texts(spark, folder, names):
+    """(name, text) of the few given files, as far as they exist; no other file is read."""
+    listed = _binary(spark, folder).filter(F.col("name").isin(*names)).select("path").collect()
+    if not listed:
+        return spark.createDataFrame([], "name string, text string")
+    files = spark.read.format("binaryFile").load([row["path"] for row in listed])
+    return files.select(
+        _relative(F.col("path"), folder).alias("name"),
+        unix_lines(F.col("content").cast("string")).alias("text"),
+    )
+
+
 def extensions(spark, folder):
     """Extensions present below ``folder``: a listing, no content is read."""
     found = _binary(spark, folder).select(file_extension(F.col("name")).alias("ext")).distinct()
@@ -63,20 +75,31 @@ def text_files(spark, folder, present=None):
 
 
 def delimited_rows(spark, folder, extension):
-    """(name, row_no, cells) of every record of the files with ``extension``, header included."""
+    """(name, row_no, cells) of every record of the files with ``extension``, header included.
+
+    Lines are looked at once: for the widest record, and for one with an odd number of quotes. Only
+    if there is such a line can a record span lines; otherwise large files are read in splits.
+    """
     separator, glob = DELIMITERS[extension], _any_case(extension)
     options = {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
     lines = spark.read.options(**options).text(folder)
-    widest = lines.agg(F.max(F.size(F.split("value", separator)))).first()[0] or 1
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    widest, spanning = lines.agg(
+        F.max(F.size(F.split("value", separator))), F.max(quotes % 2 == 1)
+    ).first()
+    widest = widest or 1
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(widest)])
     records = spark.read.schema(schema).options(
-        sep=separator, header="false", multiLine="true", quote='"', escape='"', **options
+        sep=separator, header="false", multiLine=str(bool(spanning)), quote='"', escape='"', **options
     ).csv(folder)
     path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     cells = F.array(*[F.col(f"c{i}") for i in range(widest)])
+    # A split is read by one task, in order, and splits are ordered by where they start.
+    row_no = F.struct(
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")
+    )
     return records.select(
-        _relative(path, folder).alias("name"),
-        F.monotonically_increasing_id().alias("row_no"),  # a file is read by one task, in order
+        _relative(path, folder).alias("name"), row_no.alias("row_no"),
         _without_trailing_nulls(cells).alias("cells"),
     )
 
@@ -92,20 +115,26 @@ def delimited_files(spark, folder, extension):
     return rows_text(delimited_rows(spark, folder, extension), ["name"])
 
 
-def _decoder(rows_of, schema):
-    """mapInPandas function that turns each file into rows; unreadable files give an error row."""
+def _decoder(rows_of, columns, batch=5_000):
+    """mapInPandas function that turns each file into rows; an unreadable file gives an error row."""
 
     def decode(batches):
+        from itertools import islice
+
         import pandas as pd
 
         for files in batches:
             for name, content in zip(files["name"], files["content"]):
+                error = None
                 try:
-                    rows = [(name, *row, None) for row in rows_of(bytes(content))]
+                    found = ((name, *row, None) for row in rows_of(bytes(content)))
+                    while part := list(islice(found, batch)):
+                        yield pd.DataFrame(part, columns=columns)
                 except Exception as problem:
-                    width = len(schema) - 2
-                    rows = [(name, *([None] * width), str(problem)[:200])]
-                yield pd.DataFrame(rows, columns=schema)
+                    error = str(problem)[:200] or repr(problem)
+                if error:
+                    blank = [None] * (len(columns) - 2)
+                    yield pd.DataFrame([(name, *blank, error)], columns=columns)
 
     return decode
 
@@ -208,12 +237,14 @@ def workbook_files(rows, entries):
     ``entries`` holds ``(name, hint_tabs)``. Hinted sheets that do not exist are left out; see
     ``missing_sheets``.
     """
+    broken = rows.filter(F.col("error").isNotNull()).select("name").distinct()
+    rows = rows.join(broken, "name", "left_anti")
     hinted = entries.select("name", F.posexplode_outer("hint_tabs").alias("at", "sheet"))
     whole = hinted.filter(F.col("sheet").isNull()).select("name")
-    single = rows.filter((F.col("sheet_no") == 0) & F.col("error").isNull()).join(whole, "name", "left_semi")
+    single = rows.filter("sheet_no = 0").join(whole, "name", "left_semi")
     first = rows_text(single.select("name", "row_no", "cells"), ["name"])
     wanted = hinted.filter(F.col("sheet").isNotNull())
-    chosen = rows.filter(F.col("error").isNull()).join(wanted, ["name", "sheet"]).select(
+    chosen = rows.join(wanted, ["name", "sheet"]).select(
         "name", "at", "sheet", "row_no", "cells"
     )
     titled = rows_text(chosen, ["name", "at", "sheet"]).select(

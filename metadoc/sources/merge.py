@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
 from metadoc.runtime import append_each, materialize, shared_dir
-from metadoc.sources.files import _binary, file_contents, unix_lines
+from metadoc.sources.files import file_contents, named_texts
 from metadoc.sources.manifests import manifest_entries
 from metadoc.sources.tables import table_text
 
@@ -74,10 +74,7 @@ def load_sources(spark, folder, manifests):
     A missing manifest counts as empty. Returns ``(sources, failed)``; ``failed`` has
     ``(manifest, name, error)``.
     """
-    listed = _binary(spark, folder).filter(F.col("name").isin(*manifests))
-    texts = listed.select(
-        F.col("name").alias("manifest"), unix_lines(F.col("content").cast("string")).alias("text")
-    )
+    texts = named_texts(spark, folder, manifests).withColumnRenamed("name", "manifest")
     entries = with_order(manifest_entries(texts), manifests)
     entries = materialize(entries, "manifest-entries")
     files = entries.filter(F.col("kind") == fv.KIND_FILE)

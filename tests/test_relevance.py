@@ -62,9 +62,12 @@ def random_sources(seed, count):
     return sources
 
 
-@pytest.mark.parametrize("seed,count,budget", [(1, 150, 30_000), (2, 150, 4_000), (3, 40, 1_200),
-                                               (4, 300, 9_000), (5, 3, 30_000)])
-def test_contexts_equal_plain_loop(spark, seed, count, budget):
+@pytest.mark.parametrize("seed,count,budget,broadcast", [
+    (1, 150, 30_000, True), (2, 150, 4_000, True), (3, 40, 1_200, True), (4, 300, 9_000, True),
+    (5, 3, 30_000, True), (6, 150, 6_000, False)])
+def test_contexts_equal_plain_loop(spark, monkeypatch, seed, count, budget, broadcast):
+    if not broadcast:  # nothing is small enough: everything joins by shuffle
+        monkeypatch.setattr(relevance, "BROADCAST_ROWS", 0)
     sources = random_sources(seed, count)
     rng = random.Random(seed + 100)
     objects = [("c", s, t) for s in ["", *NAMES] for t in ["", *rng.sample(NAMES, 5)]]

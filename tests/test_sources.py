@@ -151,6 +151,21 @@ def test_delimited_files(spark, folder):
     assert as_dict(delimited_files(spark, str(folder), ".tsv")) == {"c.tsv": "p | q\n1,5 | z"}
 
 
+def test_large_delimited_file_in_splits(spark, folder):
+    """No record spans lines, so the file is split; the first and last rows are still the right ones."""
+    with open(folder / "big.csv", "w") as out:
+        out.write("n,t\n")
+        out.writelines(f'{i},"a, {i}"\n' for i in range(300_000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500000")
+    try:
+        text = as_dict(delimited_files(spark, str(folder), ".csv"))["big.csv"].split("\n")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert text == ["n | t", *[f"{i} | a, {i}" for i in range(100)], "...",
+                    *[f"{i} | a, {i}" for i in range(299_900, 300_000)]]
+
+
 def test_documents(spark, folder):
     (folder / "a.docx").write_bytes(docx("Uno", "  ", "Dos"))
     (folder / "empty.docx").write_bytes(docx())
@@ -163,8 +178,9 @@ def test_workbooks(spark, folder):
     book = xlsx(uno=[["a", "b"], ["x", 1], [None, 2.5]], dos=[["c"], ["z"]])
     for name in ("first.xlsx", "some.xlsx"):
         (folder / name).write_bytes(book)
+    (folder / "broken.xlsx").write_bytes(book[:200])
     entries = spark.createDataFrame(
-        [("first.xlsx", []), ("some.xlsx", ["dos", "tres", "uno"])], "name string, hint_tabs array<string>")
+        [("first.xlsx", []), ("some.xlsx", ["dos", "tres", "uno"]), ("broken.xlsx", [])], "name string, hint_tabs array<string>")
     rows = workbook_rows(spark, str(folder))
     first = "a | b\nx | 1\nNULL | 2.5"
     assert as_dict(workbook_files(rows, entries)) == {
