@@ -250,7 +250,9 @@ def _contexts(spark, d, objects=None, keywords=fv.GENERATOR_KEYWORDS):
 
 @query
 def context_text(spark, d):
-    return _contexts(spark, d).select("schema_key", "table_key", *_digest("context"))
+    return relevance.context_rows(_contexts(spark, d)).select(
+        "schema_key", "table_key", *_digest("context")
+    )
 
 
 # --- prompts ------------------------------------------------------------------------------------

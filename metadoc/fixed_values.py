@@ -87,6 +87,13 @@ GOLDEN_COLUMNS = (
     "object_id", "object_level", "context_text", "gold_comment", "domain", "is_sensitive",
 )
 
+# Answer length in tokens and temperature a responder is meant to use, per kind of prompt; the
+# temperature of an evaluation is a parameter of the run.
+CALL_SETTINGS = {
+    "schema": (500, 0.2), "table": (500, 0.2), "column": (400, 0.2), "audit": (400, 0.0),
+    "judge": (300, 0.0), "evaluation": (1024, None),
+}
+
 # --- fixed values: audit criteria ---------------------------------------------------------------
 # {manifests} is filled with the names of the manifests that were loaded.
 

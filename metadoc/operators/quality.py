@@ -1,7 +1,5 @@
 """The rules of the control tables, as checks that return the rows in violation."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
@@ -68,11 +66,3 @@ def checked_golden(golden):
     if golden.isEmpty():
         raise ValueError("the golden set is empty")
     return golden
-
-
-def clean_results(results):
-    """Results that meet the not-null, length and domain rules; what a strict store would accept."""
-    rules = [F.col(name).isNotNull() for name in NOT_NULL["results"]]
-    rules += [F.coalesce(F.length(name) <= most, F.lit(True)) for name, most in RESULT_LENGTHS.items()]
-    rules += [F.col(name).isin(*values) for name, values in DOMAINS["results"].items()]
-    return results.filter(reduce(lambda a, b: a & b, rules))

@@ -15,7 +15,9 @@ than, the sources ahead of it, so whatever lies past the point where the list al
 budget also lies past the point where the object's full ranking overflows.
 """
 
-from pyspark.sql import Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
@@ -27,6 +29,7 @@ ANCHOR_CHARS = 4
 SALTS = 32
 
 _ENTRY = ("ord", "static", "header_len", "size")
+_PAIR = ["schema_key", "table_key"]
 
 # No header is shorter than the one with the shorter label and no name or description.
 SHORTEST_HEADER = min(
@@ -284,22 +287,43 @@ def context_texts(picks, sources, max_chars=fv.MAX_CONTEXT_CHARS):
     return chosen.select("schema_key", "table_key", "context_id"), texts
 
 
+class Contexts(NamedTuple):
+    """``keys`` (schema_key, table_key, context_id) and ``texts`` (context_id, context).
+
+    Apart, because many objects share a text: it is stored and shuffled once, not once per object.
+    """
+
+    keys: DataFrame
+    texts: DataFrame
+
+
 def contexts(sources, objects, keywords=fv.GENERATOR_KEYWORDS, max_chars=fv.MAX_CONTEXT_CHARS):
-    """(schema_key, table_key, context) for every distinct object name pair; '' without sources."""
+    """The contexts of every distinct object name pair; keys without any source have no text."""
     keys = materialize(context_keys(objects), "context-keys")
     picks = materialize(_pick(sources, keys, keywords, max_chars), "picks")
     chosen, texts = context_texts(picks, sources, max_chars)
-    return (
-        keys.join(chosen, ["schema_key", "table_key"], "left")
-        .join(texts, "context_id", "left")
-        .select("schema_key", "table_key", or_empty(F.col("context")).alias("context"))
+    return Contexts(keys.join(chosen, _PAIR, "left"), texts)
+
+
+def stored(found):
+    """The same contexts written once, for several readers."""
+    return Contexts(materialize(found.keys, "context-ids"), materialize(found.texts, "context-texts"))
+
+
+def context_rows(found):
+    """(schema_key, table_key, context), '' without sources."""
+    return found.keys.join(found.texts, "context_id", "left").select(
+        *_PAIR, or_empty(F.col("context")).alias("context")
     )
 
 
-def with_context(objects, context_frame):
-    """Attach contexts to rows with ``schema_name`` and ``table_name``."""
+def with_context(objects, found):
+    """Attach contexts to rows with ``schema_name`` and ``table_name`` columns.
+
+    The text is joined last. Where very many rows share a context, AQE splits them over tasks.
+    """
     keyed = objects.withColumns({
         "schema_key": F.lower("schema_name"), "table_key": F.lower(F.coalesce("table_name", F.lit(""))),
     })
-    joined = keyed.join(context_frame, ["schema_key", "table_key"], "left")
-    return joined.withColumn("context", or_empty(F.col("context"))).drop("schema_key", "table_key")
+    joined = keyed.join(found.keys, _PAIR, "left").join(found.texts, "context_id", "left")
+    return joined.withColumn("context", or_empty(F.col("context"))).drop(*_PAIR, "context_id")

@@ -8,7 +8,7 @@ from metadoc.operators.audit import (
     settled_verdicts,
 )
 from metadoc.operators.prompts import audit_prompt
-from metadoc.operators.relevance import contexts, with_context
+from metadoc.operators.relevance import contexts, stored, with_context
 from metadoc.operators.responses import ask
 from metadoc.operators.results import filter_results
 from metadoc.runtime import materialize
@@ -24,7 +24,7 @@ def audit(spark, results, sources, responder, manifests, config=None, answers_pa
         results, config.execution_id, config.only_approved
     )
     rows = audit_objects(chosen)
-    packed = materialize(contexts(sources, rows, fv.AUDITOR_KEYWORDS), "audit-contexts")
+    packed = stored(contexts(sources, rows, fv.AUDITOR_KEYWORDS))
 
     def build(part):
         return with_context(part, packed).withColumn("prompt", audit_prompt(manifests))

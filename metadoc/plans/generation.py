@@ -17,7 +17,7 @@ from metadoc.functions.text import or_empty
 from metadoc.operators.prompts import (
     child_context, column_prompt, effective_schema_comment, schema_prompt, table_names, table_prompt,
 )
-from metadoc.operators.relevance import contexts, with_context
+from metadoc.operators.relevance import contexts, stored, with_context
 from metadoc.operators.responses import ask, split_answers
 from metadoc.operators.results import level_of, result_rows, run_summary
 from metadoc.operators.sampling import table_sample_text
@@ -100,7 +100,7 @@ def generate(spark, config, sources, responder, answers_path=None, concurrency=N
     objects = tables.select(*TARGET).unionByName(
         schemas.select(*SCHEMA_KEY, F.lit("").alias("table_name"))
     )
-    packed = materialize(contexts(sources, objects, max_chars=config.max_context_chars), "contexts")
+    packed = stored(contexts(sources, objects, max_chars=config.max_context_chars))
     samples = table_samples(spark, tables, config.sampling_pct, config.seed) if config.sampling else \
         spark.createDataFrame([], "catalog_name string, schema_name string, table_name string, sample string")
 

@@ -11,6 +11,7 @@ from metadoc.operators.results import filter_results, snapshot_changes
 from metadoc.operators.review import apply_review, review_where
 from metadoc.plans import audit as audit_plan
 from metadoc.plans import generation, publication
+from metadoc.sinks.catalog import first_failures
 from metadoc.sinks.control_tables import create_control_tables, executions, log_state, update_results
 
 CONTROL = "spark_catalog.control_flow"
@@ -201,6 +202,8 @@ def test_publication_errors_do_not_stop(spark):
     errors = sorted(r["error"] for r in outcomes.filter("error IS NOT NULL").collect())
     assert errors[0] == "Fila sin nombre_catalogo (esquema=s, tabla=t, columna=c): se omite"
     assert errors[1].startswith("tabla spark_catalog.ventas.no_existe: ")
+    assert first_failures(outcomes, 1).count() == 1
+    assert first_failures(outcomes, fv.PRINTED_ERRORS).count() == 2
 
 
 def test_failed_run_is_logged(spark, control, sources):

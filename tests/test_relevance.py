@@ -14,6 +14,10 @@ NAMES = ["a", "ab", "abc", "ventas", "ventas_2024", "mart", "fact_pedidos", "dim
          "日本", "x", "cli", "2024", "[.*]", "😀"]
 
 
+def contexts(*args):
+    return relevance.context_rows(relevance.contexts(*args))
+
+
 def plain_score(source, schema, table, words):
     head = f"{source['description']} {source['name']} {source['content'][:500]}".lower()
     score = 1.0 + 10.0 * (schema != "" and schema.lower() in head)
@@ -79,7 +83,7 @@ def test_contexts_equal_plain_loop(spark, monkeypatch, seed, count, budget, broa
     wanted = spark.createDataFrame(objects, "catalog_name string, schema_name string, table_name string")
     got = {
         (row["schema_key"], row["table_key"]): row["context"]
-        for row in relevance.contexts(frame, wanted, fv.AUDITOR_KEYWORDS, budget).collect()
+        for row in contexts(frame, wanted, fv.AUDITOR_KEYWORDS, budget).collect()
     }
     keys = {(s.lower(), (t or "").lower()) for _, s, t in objects}
     assert set(got) == keys
@@ -100,7 +104,7 @@ def test_single_source_at_the_edge(spark, size, whole):
         [(1, "a.md", "b", "z" * size, "archivo")],
         "ord long, name string, description string, content string, kind string")
     objects = spark.createDataFrame([("c", "s", "")], "catalog_name string, schema_name string, table_name string")
-    text = relevance.contexts(frame, objects).first()["context"]
+    text = contexts(frame, objects).first()["context"]
     if whole:
         assert text == HEADER + "z" * size
     else:
@@ -116,7 +120,7 @@ def test_overflow_entry_needs_more_than_500_characters(spark, room, kept):
     frame = spark.createDataFrame(
         rows, "ord long, name string, description string, content string, kind string")
     objects = spark.createDataFrame([("c", "s", "")], "catalog_name string, schema_name string, table_name string")
-    text = relevance.contexts(frame, objects).first()["context"]
+    text = contexts(frame, objects).first()["context"]
     assert text.startswith(header) and ("zzz" in text) is kept and "tiny" not in text
 
 
@@ -124,7 +128,19 @@ def test_no_sources_give_the_empty_text(spark):
     empty = spark.createDataFrame(
         [], "ord long, name string, description string, content string, kind string")
     objects = spark.createDataFrame([("c", "s", "t")], "catalog_name string, schema_name string, table_name string")
-    assert relevance.contexts(empty, objects).collect()[0]["context"] == ""
+    assert contexts(empty, objects).collect()[0]["context"] == ""
+
+
+def test_objects_with_the_same_sources_share_a_text(spark):
+    frame = spark.createDataFrame(
+        [(1, "a.md", "b", "x", "archivo"), (2, "b.md", "ventas", "y", "archivo")],
+        "ord long, name string, description string, content string, kind string")
+    objects = spark.createDataFrame(
+        [("c", f"s{i}", f"t{i % 7}") for i in range(50)] + [("c", "ventas", "t")],
+        "catalog_name string, schema_name string, table_name string")
+    found = relevance.contexts(frame, objects)
+    assert found.keys.count() == 51 and found.texts.count() == 2
+    assert relevance.with_context(objects, found).filter("context = ''").count() == 0
 
 
 def test_many_names_join_by_shuffle(spark, monkeypatch):
