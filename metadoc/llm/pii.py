@@ -119,17 +119,37 @@ def shape(word):
 
 
 def _candidates(df):
-    """``(doc_id, base, start, end, value, pattern)``: words with digits or an at sign, in context."""
-    rows = _placed(df, {"word": (_WORD, "[0-9@]")}).select("doc_id", "base", F.explode("word").alias("c")).select(
-        "doc_id", "base", "c.*")
+    """``(doc_id, start, end, value, pattern, kind)``: words with digits or an at sign, in context.
+
+    ``kind`` is that of the first base span that touches the word. Base spans are looked through part by
+    part, as most parts lie elsewhere; nothing is copied per word.
+    """
+    parts = F.transform(
+        F.filter(F.sequence(F.lit(0), F.floor(F.size("base") / _PART).cast("int")), lambda k: k * _PART < F.size("base")),
+        lambda k: F.slice("base", k * _PART + 1, _PART))
+    ranged = F.transform("parts", lambda part: F.struct(
+        F.get(part, 0)["start"].alias("low"), F.array_max(F.transform(part, lambda s: s["end"])).alias("high"), part.alias("spans")))
+
+    def kind(c):
+        touches = lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])
+        near = F.filter("ranged", lambda p: (p["low"] < c["end"]) & (p["high"] > c["start"]))
+        return F.get(F.flatten(F.transform(near, lambda p: F.transform(F.filter(p["spans"], touches), lambda s: s["kind"]))), 0)
+
+    words = _placed(df.select("doc_id", "text", "base"), {"word": (_WORD, "[0-9@]")})
+    words = words.select("doc_id", "word", "base", parts.alias("parts")).select("doc_id", "word", ranged.alias("ranged"))
+    known = F.transform("word", lambda c: F.struct(
+        c["start"].alias("start"), c["value"].alias("value"), c["gap"].alias("gap"), kind(c).alias("kind")))
+    # With explode, Spark would put a filter under the steps above, and so take them many times over.
+    rows = words.select("doc_id", F.explode_outer(known).alias("c")).filter("c is not null").select("doc_id", "c.*")
     left = F.lower(F.regexp_extract("gap", r"(\S+)\s{1,3}$", 1))
-    bare = F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+|[^\p{L}\p{N}]+$", "")
-    lead = F.length("value") - F.length(F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+", ""))
-    rows = rows.select(
-        "doc_id", "base", (F.col("start") + lead).alias("start"), bare.alias("value"), left.alias("left"))
+    # What surrounds a word, brackets and stops for instance, does not belong to the identifier.
+    tail = F.regexp_replace("value", r"^[^\p{L}\p{N}+(]++", "")
+    rows = rows.select("doc_id", "kind", "start", "value", left.alias("left"), tail.alias("tail")).select(
+        "doc_id", "kind", "left", (F.col("start") + F.length("value") - F.length("tail")).alias("start"),
+        F.regexp_replace("tail", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "").alias("value"))
     return rows.filter((F.length("value") >= 7) & (F.col("left") != "")).select(
-        "doc_id", "base", "start", (F.col("start") + F.length("value")).alias("end"), "value",
-        F.concat_ws(" ", "left", shape(F.col("value"))).alias("pattern"))
+        "doc_id", "start", (F.col("start") + F.length("value")).alias("end"), "value",
+        F.concat_ws(" ", "left", shape(F.col("value"))).alias("pattern"), "kind")
 
 
 def bootstrap(candidates, rounds=3, confidence=0.8, support=3):
@@ -172,10 +192,8 @@ def personal_data(df, id_col="doc_id", text_col="text", rounds=3, confidence=0.8
     rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct("*").alias("row"))
     based = with_base(rows)
     candidates = materialize(_candidates(based), "candidates")
-    inside = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    seeds = candidates.select("pattern", "value", F.get(F.transform(inside, lambda s: s["kind"]), 0).alias("kind"))
-    trusted = bootstrap(seeds, rounds, confidence, support)
-    fresh = candidates.filter(F.size(inside) == 0).join(small(trusted), "pattern")
+    trusted = bootstrap(candidates.select("pattern", "value", "kind"), rounds, confidence, support)
+    fresh = candidates.filter("kind is null").drop("kind").join(small(trusted), "pattern")
     number = reduce(lambda acc, k: acc.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
     added = fresh.groupBy(F.col("doc_id").alias("added_id")).agg(
         F.collect_set(F.struct("start", number.alias("n"), "kind", "end", "value")).alias("added"))

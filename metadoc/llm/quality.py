@@ -67,6 +67,7 @@ def encode(texts):
     of = np.repeat(np.arange(len(texts)), per)
     out = np.zeros((n, FEATURES))
     if not len(first):
+        out[:, 19] = 1
         return out, of
     count = np.bincount(passage, minlength=n)
     length = (last - first).astype(float)

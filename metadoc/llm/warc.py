@@ -17,7 +17,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage)
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage)
 
 from metadoc.llm.shared import small
 from metadoc.runtime import shared_dir
@@ -54,7 +54,7 @@ class Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() != "false"
         self.per_partition = int(options.get("partitionbytes", 64 << 20))
-        self.wanted = {}
+        self.wanted, self.present = {}, set()
 
     def pushFilters(self, filters):
         for f in filters:
@@ -63,6 +63,8 @@ class Reader(DataSourceReader):
                 self._want(name, {f.value})
             elif isinstance(f, In) and name in HEADERS:
                 self._want(name, {v for v in f.value if v is not None})
+            elif isinstance(f, IsNotNull) and name in HEADERS:
+                self.present.add(name)
             else:
                 yield f
 
@@ -116,7 +118,8 @@ class Reader(DataSourceReader):
                 return
             length = int(header.get("content-length", 0))
             row = {column: header.get(line.lower()) for column, line in HEADERS.items()}
-            if any(row[name] not in values for name, values in self.wanted.items()):
+            if any(row[name] not in values for name, values in self.wanted.items()) or any(
+                    row[name] is None for name in self.present):
                 lines.skip(length, plain)
                 continue
             row |= {"content_length": length, "payload_length": None, "payload": None, "file": path, "position": at}
