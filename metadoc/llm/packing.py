@@ -11,6 +11,7 @@ their class and dealt out to the places that the patterns have for it.
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,56 +21,42 @@ from pyspark.sql import functions as F
 
 from metadoc.llm.shared import materialize
 
-#: Words a worker remembers before it starts anew.
+#: Parts of texts a worker remembers before it starts anew.
 MEMORY = 400_000
-_PLAIN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Texts of Latin-1 characters, without control characters and special tokens, can be split here.
+_ODD = re.compile(r"[^\t-\r -~\xa1-\xff]|<\|")
+_LETTERS, _NUMBERS = "a-zª\xb5ºß-öø-ÿ", "0-9²³¹¼-¾"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
 
 class WordIds:
-    """Token ids of texts, word by word; new words go to the tokenizer, many at a time.
+    """Token ids of texts, part by part; parts not seen before go to the tokenizer, many at a time.
 
-    White space separates words in this vocabulary's pre-tokenizer, so a text's ids are those of its
-    words. Plain ASCII words are split further as the pre-tokenizer does, into letters, single digits
-    and the rest.
+    A text's ids are those of the parts that the vocabulary's pre-tokenizer makes of it. For plain texts
+    these are split off here, after lower-casing, as the tokenizer does: contractions, letters, single
+    numbers, and the rest. Others are split at spaces, which never lie inside a part.
     """
 
     def __init__(self, path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = {"": b""}, {}
-
-    def _encode(self, texts):
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return {t: np.asarray(e.ids, "<u4").tobytes() for t, e in zip(texts, found)}
-
-    def learn(self, words):
-        plain = {w: _PLAIN.findall(w.lower()) for w in words if w.isascii() and "'" not in w and "<" not in w and w.isprintable()}
-        odd = [w for w in words if w not in plain]
-        if new := list({p for parts in plain.values() for p in parts if p not in self.parts}):
-            if len(self.parts) > MEMORY:
-                self.parts = {}
-                new = list({p for parts in plain.values() for p in parts})
-            self.parts.update(self._encode(new))
-        if len(self.words) > MEMORY:
-            self.words = {"": b""}
-        known = self.parts
-        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in plain.items())
-        if odd:
-            self.words.update(self._encode(odd))
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+
+    def _learn(self, parts):
+        if len(self.known) > MEMORY:
+            self.known = {}
+        new = list(set(parts).difference(self.known))
+        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+        self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, found))
 
     def __call__(self, text):
-        words = text.replace("\n", " ").split(" ")
-        if missing := set(words).difference(self.words):
-            self.learn(missing)
-            if len(self.words) < len(missing):  # it has just started anew
-                self.learn(set(words).difference(self.words))
+        parts = text.replace("\n", " ").split(" ") if _ODD.search(text) else _PARTS.findall(text.lower())
         try:
-            return b"".join(map(self.words.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            self.learn(set(words).difference(self.words))
-            return b"".join(map(self.words.__getitem__, words))
+            self._learn(parts)
+            return b"".join(map(self.known.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
