@@ -401,7 +401,7 @@ oracle("assign_ids", ["v_results"], """
            1000 + row_number() OVER (ORDER BY id_resultado) AS id_resultado FROM v_results""")
 oracle("results_filtered", ["v_results"], f"""
     SELECT id_resultado, {', '.join(N)} FROM v_results
-    WHERE id_ejecucion = 'src3' AND status = 'aprobado'""")
+    WHERE id_ejecucion = 'src1' AND status = 'aprobado'""")
 oracle("results_approved", ["v_results"],
        f"SELECT id_resultado, {', '.join(N)} FROM v_results WHERE status = 'aprobado'")
 
@@ -673,11 +673,11 @@ oracle("model_means", ["v_items"],
        "SELECT model, n_items, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM means",
        [MEANS])
 oracle("metrics_long", ["v_items"], """
-    SELECT 'eval-1' AS run_id, model, 'param' AS kind, key, value FROM means CROSS JOIN (VALUES
+    SELECT 'eval-1' AS run_id, model, 'param' AS kind, key, value, CAST(NULL AS DOUBLE) AS number FROM means CROSS JOIN (VALUES
         ('judge', 'juez'), ('temperature', '0.0'), ('n_consistency_runs', '3')) AS p(key, value)
-    UNION ALL SELECT 'eval-1', model, 'param', 'n_items', CAST(n_items AS VARCHAR) FROM means
+    UNION ALL SELECT 'eval-1', model, 'param', 'n_items', CAST(n_items AS VARCHAR), NULL FROM means
     """ + " ".join(f"""
-    UNION ALL SELECT 'eval-1', model, 'metric', '{m}', printf('%.6f', {m}) FROM means""" for m in METRICS),
+    UNION ALL SELECT 'eval-1', model, 'metric', '{m}', NULL, round(CAST({m} AS DOUBLE), 6) FROM means""" for m in METRICS),
        [MEANS])
 oracle("cost_per_1k", ["v_items"], "SELECT model, round(cost_1k, 6) AS cost_1k, priced FROM costed",
        [MEANS, COSTED])

@@ -417,7 +417,7 @@ def assign_ids(spark, d):
 
 @query
 def results_filtered(spark, d):
-    kept = results.filter_results(view(spark, d, "v_results"), "src3", only_approved=True)
+    kept = results.filter_results(view(spark, d, "v_results"), "src1", only_approved=True)
     return results.ordered_results(kept).select("id_resultado", *results.OBJECT_KEYS)
 
 
@@ -680,7 +680,7 @@ def model_means(spark, d):
 @query
 def metrics_long(spark, d):
     params = {"judge": "juez", "temperature": 0.0, "n_consistency_runs": 3}
-    return evaluation.metrics_long(_means(spark, d), "eval-1", params)
+    return _rounded(evaluation.metrics_long(_means(spark, d), "eval-1", params), "number")
 
 
 @query

@@ -82,14 +82,15 @@ def model_means(items, metrics=None):
 
 
 def metrics_long(means, run_id, params, metrics=None):
-    """(run_id, model, kind, key, value): parameters and metrics of every run as rows."""
+    """(run_id, model, kind, key, value, number): parameters as text, metrics as they are."""
     metrics = metrics or [name for name in means.columns if name not in ("model", "n_items")]
-    logged = [("param", key, F.lit(str(value))) for key, value in params.items()]
-    logged += [("param", "n_items", F.col("n_items").cast("string"))]
-    logged += [("metric", name, F.format_string("%.6f", F.col(name))) for name in metrics]
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    logged = [("param", key, F.lit(str(value)), number) for key, value in params.items()]
+    logged += [("param", "n_items", F.col("n_items").cast("string"), number)]
+    logged += [("metric", name, text, F.col(name).cast("double")) for name in metrics]
     rows = F.explode(F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), value.alias("value"))
-        for kind, key, value in logged
+        F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), value.alias("value"), n.alias("number"))
+        for kind, key, value, n in logged
     ]))
     return means.select(F.lit(run_id).alias("run_id"), "model", rows.alias("entry")).select(
         "run_id", "model", "entry.*"

@@ -32,13 +32,19 @@ def _calls(responder):
     """mapInPandas function over (prompt_id, model, prompt); failures become error values."""
     columns = ["prompt_id", *_ANSWER]
 
+    def counted(answers, n):
+        """Answers go by position: another number of them cannot be told apart."""
+        if len(answers) != n:
+            raise ValueError(f"{len(answers)} answers for {n} prompts")
+        return answers
+
     def one_by_one(respond, texts):
         import pandas as pd
 
         frames = []
         for text in texts:
             try:
-                frames.append(respond(pd.Series([text])))
+                frames.append(counted(respond(pd.Series([text])), 1))
             except Exception as problem:
                 frames.append(pd.DataFrame([{"error": (str(problem) or repr(problem))[:200]}]))
         return pd.concat(frames, ignore_index=True)
@@ -49,7 +55,7 @@ def _calls(responder):
                 respond = responder[model] if isinstance(responder, dict) else responder
                 texts = group["prompt"].reset_index(drop=True)
                 try:
-                    answers = respond(texts).reset_index(drop=True)
+                    answers = counted(respond(texts), len(texts)).reset_index(drop=True)
                 except Exception:  # find the prompts at fault, keep the others
                     answers = one_by_one(respond, texts)
                 answers["prompt_id"] = group["prompt_id"].reset_index(drop=True)

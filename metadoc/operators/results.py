@@ -88,8 +88,26 @@ def latest_approved(results):
     return approved.groupBy(*OBJECT_KEYS).agg(newest.alias("last")).select(*OBJECT_KEYS, "last.*")
 
 
-def replace_by_key(rows, changes, key, columns):
-    """``rows`` with ``columns`` taken from ``changes`` where the key is present, null included."""
+def one_per_key(changes, key, order_by=()):
+    """The last change per key by ``order_by``, then by the changed values themselves."""
+    values = [name for name in changes.columns if name != key]
+    order = [F.col(name) for name in order_by] + [F.struct(*values)]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("last")).select(
+        key, "last.*")
+
+
+def conflicts(changes, key):
+    """The keys with several different changes, and how many."""
+    values = [name for name in changes.columns if name != key]
+    return changes.groupBy(key).agg(F.count_distinct(F.struct(*values)).alias("changes")).filter("changes > 1")
+
+
+def replace_by_key(rows, changes, key, columns, order_by=()):
+    """``rows`` with ``columns`` taken from ``changes`` where the key is present, null included.
+
+    A key counts once, with its last change (see ``one_per_key``): rows never multiply.
+    """
+    changes = one_per_key(changes.select(key, *dict.fromkeys([*columns, *order_by])), key, order_by)
     marked = changes.select(
         key, *[F.col(name).alias(f"new_{name}") for name in columns], F.lit(True).alias("changed")
     )

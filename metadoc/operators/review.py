@@ -5,16 +5,21 @@ from pyspark.sql import functions as F
 from metadoc import fixed_values as fv
 from metadoc.functions.levels import object_level, target_label
 from metadoc.functions.text import blank_to_null, or_empty, quote_name, quote_path, sql_string
+from metadoc.operators.results import one_per_key
 
 _NAMES = ("nombre_catalogo", "nombre_esquema", "nombre_tabla", "nombre_columna")
 
 
-def apply_review(results, decisions):
+def apply_review(results, decisions, order_by=()):
     """Reviewers' decisions by ``id_resultado``: new status and, if given, a note.
 
-    Decisions with a status outside the allowed ones change nothing.
+    Decisions with a status outside the allowed ones change nothing. Of several decisions on a row the
+    last by ``order_by`` counts, else the last in the order of status and note; ``results.conflicts``
+    names such rows.
     """
-    allowed = decisions.filter(F.col("status").isin(*fv.STATUSES)).select(
+    allowed = one_per_key(decisions.filter(F.col("status").isin(*fv.STATUSES)).select(
+        "id_resultado", *dict.fromkeys(["status", "user_comments", *order_by])
+    ), "id_resultado", order_by).select(
         "id_resultado", F.col("status").alias("new_status"), F.col("user_comments").alias("note")
     )
     joined = results.join(allowed, "id_resultado", "left")

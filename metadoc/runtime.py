@@ -1,6 +1,5 @@
 """Session settings and the few helpers that touch the cluster: shared tables, checked broadcasts."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,7 +31,7 @@ def shared_dir(spark):
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="metadoc-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/metadoc-shared"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

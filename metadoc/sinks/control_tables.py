@@ -100,11 +100,19 @@ def create_control_tables(spark, catalog, schema, using="parquet"):
     )
 
 
+RESULT_CUT = " [...]"
+
+
 def log_state(spark, events_table, execution_id, state, result, at, seq):
-    """Append one state change of a run."""
+    """Append one state change of a run.
+
+    The column holds 4,000 characters; a longer result ends with ``RESULT_CUT``, so that the cut shows.
+    """
+    if result is not None and len(result) > 4000:
+        result = result[:4000 - len(RESULT_CUT)] + RESULT_CUT
     row = spark.range(1).select(
         F.lit(execution_id).alias("id_ejecucion"), F.lit(at).cast("timestamp_ntz").alias("fecha_ejecucion"),
-        F.lit(state).alias("estado"), F.substring(F.lit(result), 1, 4000).alias("resultado"),
+        F.lit(state).alias("estado"), F.lit(result).cast("string").alias("resultado"),
         F.lit(seq).cast("long").alias("seq"),
     )
     _insert(row, spark, events_table)

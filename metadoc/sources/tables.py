@@ -11,10 +11,14 @@ def table_text(table, columns=(), order_by=(), rows=fv.CONTEXT_TABLE_ROWS,
                width=fv.CONTEXT_CELL_CHARS):
     """One row ``content``: a header line and the first rows, or a fixed text for no rows.
 
-    Without ``order_by`` the rows are ordered by the shown columns, so that the text is repeatable.
+    Without ``order_by`` the rows are ordered by the shown columns, so that the text is repeatable. Columns
+    that have no order (maps and variants) go by their text.
     """
     shown = list(columns) or table.columns
-    order = [F.col(f"`{name}`") for name in (list(order_by) or shown)]
+    kinds = dict(table.dtypes)
+    order = [
+        F.to_json(F.col(f"`{name}`")) if kinds[name].startswith(("map<", "variant")) else F.col(f"`{name}`")
+        for name in (list(order_by) or shown)]
     first = table.orderBy(*order).limit(rows).select(
         F.row_number().over(Window.orderBy(*order)).alias("nth"), row_text(shown, width).alias("line")
     )

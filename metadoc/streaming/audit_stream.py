@@ -1,8 +1,9 @@
 """Checking comments as they arrive.
 
 Appended result rows are read as a stream; every micro-batch is checked and written to a folder of
-its own, and the newest row per id counts. A replayed batch writes the same folder again, so nothing
-changes. The id alone decides, hence no watermark and no state.
+its own, and the newest row per id counts. What is newest is told by the rows themselves (their date,
+then the time of their file), so a replay with other batches changes nothing. The id alone decides,
+hence no watermark and no state.
 """
 
 from pyspark.sql import functions as F
@@ -11,26 +12,49 @@ from metadoc.functions.levels import object_level
 from metadoc.functions.scorers import deterministic_scores, style_flags
 
 
+#: What orders the versions of a row, as far as rows have it.
+ORDER = ("fecha_resultado", "file_time")
+
+
 def result_stream(spark, path, schema, **options):
-    """New files of result rows below ``path``."""
-    return spark.readStream.schema(schema).options(**options).parquet(path)
+    """New files of result rows below ``path``, with the time of their file."""
+    rows = spark.readStream.schema(schema).options(**options).parquet(path)
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("file_time"))
+
+
+def _order(rows):
+    return [name for name in ORDER if name in rows.columns]
 
 
 def flagged(rows, key="id_resultado", max_chars=500):
-    """(key, flags) per result row; the same for a batch and for a stream."""
+    """(key, flags, order) per result row; the same for a batch and for a stream."""
     comment = F.coalesce("comentario", F.lit(""))
     level = object_level(F.col("nombre_tabla"), F.col("nombre_columna"))
     return rows.select(
-        key, *deterministic_scores(comment, max_chars), *style_flags(comment, level, max_chars)
+        key, *deterministic_scores(comment, max_chars), *style_flags(comment, level, max_chars),
+        *_order(rows)
     )
 
 
-def write_batches(rows, path, check=None):
+def newest_rows(rows, key, order):
+    """One row per key: the last by ``order``, equal ones by a hash of the row."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order, F.xxhash64(*rows.columns)))
+    return rows.groupBy(F.col(key).alias("of_key")).agg(last.alias("last")).select("last.*")
+
+
+def write_batches(rows, path, check=None, key="id_resultado"):
     """foreachBatch sink. ``check`` turns a batch of rows into what is stored, for instance verdicts
-    of ``plans.audit.audit``; by default the rows are stored as they are."""
+    of ``plans.audit.audit``; by default the rows are stored as they are. Of several versions of a row
+    in a batch the newest is checked, and its order is stored along."""
 
     def write(batch, batch_id):
+        order = _order(batch)
+        if order:
+            batch = newest_rows(batch, key, order)
         found = batch if check is None else check(batch)
+        missing = [name for name in order if name not in found.columns]
+        if missing:
+            found = found.join(batch.select(key, *missing), key)
         found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(write)
@@ -44,8 +68,9 @@ def run_available(writer, checkpoint):
 
 
 def current(spark, path, key="id_resultado"):
-    """The newest row per id out of all batches."""
+    """The newest row per id out of all batches; rows without an order go by their batch."""
     rows = spark.read.parquet(path)
-    values = [name for name in rows.columns if name not in (key, "batch")]
-    newest = F.max_by(F.struct(*values), "batch").alias("newest")
+    order = _order(rows)
+    values = [name for name in rows.columns if name not in (key, "batch", *order)]
+    newest = F.max_by(F.struct(*values), F.struct(*order, "batch")).alias("newest")
     return rows.groupBy(key).agg(newest).select(key, "newest.*")
