@@ -80,8 +80,8 @@ def test_base_spans_equal_plain_search(spark):
     rnd = random.Random(4)
     texts = ["a@b.c_d@e.f", "x.@y.z.@a-b.c", "1.2.3.4.5.6.7.8", "300.1.1.1 0000255.1.1.01", "4111 1111-1111 1111", "4111  1111", "+1 (017) 555-7713)",
              "😀 +49 30 1234567 😀a@b.co", "a@b", "9" * 30, None, "", "+1+2 3456789 012", "4" * 100000 + "@", "a" * 100000, "1 2 " * 3000]
-    texts += ["".join(rnd.choice("12 9.-+@ab()_%é4😀") for _ in range(rnd.randint(0, 90))) for _ in range(1500)]
-    texts += ["".join(rnd.choice(["4111111111111111", "a@b.c", "1.2.3.4", "+1 234 567 8901", " ", "-", "."]) for _ in range(rnd.randint(0, 700))) for _ in range(20)]
+    texts += ["".join(rnd.choice("12 9.-+@ab()_%é4😀") for _ in range(rnd.randint(0, 90))) for _ in range(400)]
+    texts += ["".join(rnd.choice(["4111111111111111", "a@b.c", "1.2.3.4", "+1 234 567 8901", " ", "-", "."]) for _ in range(rnd.randint(0, 300))) for _ in range(6)]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, word int")
     found = {r.doc_id: [tuple(s.asDict().values()) for s in r.base] for r in pii.personal_data(df).select("doc_id", "base").collect()}
     assert found == {i: plain_spans(t or "") for i, t in enumerate(texts)}
