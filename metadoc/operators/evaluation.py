@@ -1,12 +1,13 @@
 """Comparing candidate models on a golden set."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
 from metadoc.functions.answers import with_judge_flags
 from metadoc.functions.scorers import deterministic_scores, exact_ratio
 from metadoc.operators.prompts import judge_keys
-from metadoc.runtime import deal
+from metadoc.runtime import deal, materialize
 
 DET = ("det_non_empty", "det_within_len", "det_no_pii", "det_is_spanish")
 USAGE = ("latency_ms", "tokens_in", "tokens_out")
@@ -193,11 +194,45 @@ def best_model(card):
 
 def latency_percentiles(items, approximate=False):
     """Median and 95th percentile of the latency per model; exact, or from a bounded sketch."""
-    percentile = F.percentile_approx if approximate else F.percentile
-    return items.groupBy("model").agg(
-        percentile("latency_ms", F.lit(0.5)).alias("p50"),
-        percentile("latency_ms", F.lit(0.95)).alias("p95"),
+    if approximate:
+        return items.groupBy("model").agg(
+            F.percentile_approx("latency_ms", F.lit(0.5)).alias("p50"),
+            F.percentile_approx("latency_ms", F.lit(0.95)).alias("p95"),
+        )
+    return exact_percentiles(items, "model", "latency_ms", {"p50": 0.5, "p95": 0.95})
+
+
+def exact_percentiles(items, key, value, shares):
+    """Interpolated percentiles of ``value`` per ``key``, nulls left out.
+
+    Distinct values are counted and laid out in order over the partitions of a written table. A value's
+    place is its place in its partition behind the partitions before, so no task holds a whole key.
+    """
+    counts = items.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(value).alias("n"))
+    laid = materialize(
+        counts.orderBy(key, "v").withColumn("part", F.spark_partition_id()), "percentile-counts"
+    )
+    whole = Window.partitionBy(key)
+    ahead = laid.groupBy(key, "part").agg(F.sum("n").alias("size")).select(
+        F.col(key).alias("of"), F.col("part").alias("in_part"),
+        (F.sum("size").over(whole.orderBy("part")) - F.col("size")).alias("ahead"),
+        F.sum("size").over(whole).alias("total"),
     )
+    within = F.sum("n").over(Window.partitionBy(key, "part").orderBy("v"))
+    # A row per key and partition, and partitions are ranges of keys: no more than both in number.
+    placed = laid.withColumn("within", within).join(
+        F.broadcast(ahead), F.col(key).eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part"))
+    ).withColumn("upto", F.col("ahead") + F.col("within"))
+    found, picked = [], []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("total") - 1)
+        for side, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            here = (F.col("upto") - F.col("n") <= at) & (at < F.col("upto"))
+            found.append(F.max(F.when(here, F.col("v"))).alias(f"{name}_{side}"))
+        found.append(F.max(place - F.floor(place)).alias(f"{name}_rest"))
+        low, high, rest = (F.col(f"{name}_{part}") for part in ("low", "high", "rest"))
+        picked.append(F.when(low == high, low).otherwise((1 - rest) * low + rest * high).alias(name))
+    return placed.groupBy(key).agg(*found).select(key, *picked)
 
 
 def pii_by_sensitivity(items):

@@ -79,13 +79,14 @@ def latest_executions(events):
 
 
 def latest_approved(results):
-    """The newest approved comment per object."""
+    """The newest approved comment per object: found by dates and ids, the text joined by id."""
     approved = results.filter(F.col("status") == fv.STATUS_APPROVED)
-    newest = F.max_by(
-        F.struct("id_resultado", "id_ejecucion", "fecha_resultado", "comentario"),
-        F.struct("fecha_resultado", "id_resultado"),
+    newest = approved.groupBy(*OBJECT_KEYS).agg(
+        F.max(F.struct("fecha_resultado", "id_resultado")).alias("last")
+    ).select("last.id_resultado")
+    return approved.join(newest, "id_resultado", "left_semi").select(
+        *OBJECT_KEYS, "id_resultado", "id_ejecucion", "fecha_resultado", "comentario"
     )
-    return approved.groupBy(*OBJECT_KEYS).agg(newest.alias("last")).select(*OBJECT_KEYS, "last.*")
 
 
 def one_per_key(changes, key, order_by=()):

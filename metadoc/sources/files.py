@@ -4,16 +4,20 @@ Every reader takes a folder and returns ``(name, content)`` per file, ``name`` b
 the folder. Files are read in parallel; decoding of zipped formats is a small per-file helper.
 """
 
-from pyspark.sql import Window
+import re
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metadoc import fixed_values as fv
 from metadoc.functions.text import file_extension, or_empty
+from metadoc.runtime import materialize
 from metadoc.sources.tables import rows_text
 
 TEXT_EXTENSIONS = (".txt", ".md", ".json", ".yaml", ".yml")
 DELIMITERS = {".csv": ",", ".tsv": "\t"}
+OTHER_KINDS = {*DELIMITERS, ".docx", ".xlsx", ".xls"}
 
 
 def _relative(path, folder):
@@ -21,11 +25,37 @@ def _relative(path, folder):
     return F.substring_index(path, folder.rstrip("/").split(":")[-1] + "/", -1)
 
 
-def _binary(spark, folder, glob=None):
+#: Longer files cannot be one value of a column.
+MOST_BYTES = (1 << 31) - 16
+
+
+def _escaped(paths):
+    """Paths whose characters stand for themselves where Spark expects patterns."""
+    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", path) for path in paths]
+
+
+def _binary(spark, folder, glob=None, paths=None):
+    """Files below ``folder``, or those of the given ``paths``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
+    if glob and paths is None:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder).withColumn("name", _relative(F.col("path"), folder))
+    found = reader.load(folder if paths is None else _escaped(paths))
+    return found.withColumn("name", _relative(F.col("path"), folder))
+
+
+def _contents(spark, folder, glob=None, paths=None):
+    """Whole files; those that are too long are left out, unread."""
+    return _binary(spark, folder, glob, paths).filter(F.col("length") <= MOST_BYTES)
+
+
+def named_paths(spark, folder, entries):
+    """``{extension: paths}`` of the files that ``entries`` names. A listing; no content is read."""
+    listed = _binary(spark, folder).select("name", "path").join(
+        entries.select("name").distinct(), "name", "left_semi")
+    found = defaultdict(list)
+    for row in listed.select("path", file_extension(F.col("name")).alias("ext")).collect():
+        found[row["ext"]].append(row["path"])
+    return found
 
 
 def named_texts(spark, folder, names):
@@ -33,9 +63,9 @@ def named_texts(spark, folder, names):
     listed = _binary(spark, folder).filter(F.col("name").isin(*names)).select("path").collect()
     if not listed:
         return spark.createDataFrame([], "name string, text string")
-    files = spark.read.format("binaryFile").load([row["path"] for row in listed])
+    files = _contents(spark, folder, paths=[row["path"] for row in listed])
     return files.select(
-        _relative(F.col("path"), folder).alias("name"),
+        "name",
         unix_lines(F.col("content").cast("string")).alias("text"),
     )
 
@@ -55,15 +85,18 @@ def unix_lines(text):
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def text_files(spark, folder, present=None):
-    """UTF-8 texts, whole. Of files that are not valid UTF-8, those with a text extension give null
-    content (an error for the caller) and the others give the empty text."""
-    present = extensions(spark, folder) if present is None else present
-    others = sorted(present - set(DELIMITERS) - {".docx", ".xlsx", ".xls"})
+def text_files(spark, folder, paths=None):
+    """UTF-8 texts, whole: of the given paths, or of all files below ``folder`` that are no other kind.
+
+    Of files that are not valid UTF-8, those with a text extension give null content (an error for the
+    caller) and the others give the empty text. Too long files are left out."""
     frames = []
-    for ext in others:
-        files = _binary(spark, folder, _any_case(ext) if ext else None)
-        frames.append(files.filter(file_extension(F.col("name")) == ext))
+    if paths is None:
+        for ext in sorted(extensions(spark, folder) - OTHER_KINDS):
+            files = _contents(spark, folder, _any_case(ext) if ext else None)
+            frames.append(files.filter(file_extension(F.col("name")) == ext))
+    elif paths:
+        frames.append(_contents(spark, folder, paths=paths))
     if not frames:
         return spark.createDataFrame([], "name string, content string")
     text = unix_lines(F.try_validate_utf8(F.col("content").cast("string")))
@@ -74,34 +107,75 @@ def text_files(spark, folder, present=None):
     return files.select("name", F.when(known, text).otherwise(or_empty(text)).alias("content"))
 
 
-def delimited_rows(spark, folder, extension):
-    """(name, row_no, cells) of every record of the files with ``extension``, header included.
+def _decoded_path():
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
 
-    Lines are looked at once: for the widest record, and for one with an odd number of quotes. Only
-    if there is such a line can a record span lines; otherwise large files are read in splits.
+
+def _cells_in(record, separator):
+    """Number of cells of a record; separators inside quotes are none."""
+    return F.size(F.split(F.regexp_replace(record, '"[^"]*+"', ""), separator))
+
+
+def _shapes(spark, folder, separator, options, paths):
+    """``{(width, spanning): (paths, separators in the widest line)}``, each file on its own terms.
+
+    The width is that of the file's own header, rounded up to a power of two: cells beyond the header are
+    not shown, and few widths make few reads. ``spanning`` says whether a record of the file may span
+    lines. Files that are not valid UTF-8 are left out.
     """
-    separator, glob = DELIMITERS[extension], _any_case(extension)
-    options = {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
-    lines = spark.read.options(**options).text(folder)
+    lines = spark.read.options(**options).text(folder if paths is None else _escaped(paths)).select(
+        "value", _decoded_path().alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    widest, spanning = lines.agg(
-        F.max(F.size(F.split("value", separator))), F.max(quotes % 2 == 1)
-    ).first()
-    widest = widest or 1
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(widest)])
-    records = spark.read.schema(schema).options(
-        sep=separator, header="false", multiLine=str(bool(spanning)), quote='"', escape='"', **options
-    ).csv(folder)
-    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    cells = F.array(*[F.col(f"c{i}") for i in range(widest)])
-    # A split is read by one task, in order, and splits are ordered by where they start.
-    row_no = F.struct(
-        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")
-    )
-    return records.select(
-        _relative(path, folder).alias("name"), row_no.alias("row_no"),
-        _without_trailing_nulls(cells).alias("cells"),
-    )
+    files = lines.groupBy("path").agg(
+        F.max(F.size(F.split("value", separator))).alias("widest"),
+        F.max(quotes % 2 == 1).alias("spanning"), F.min(F.is_valid_utf8("value")).alias("valid"))
+    # Only the first split of a file, a bounded part, is looked through for the first line.
+    heads = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    quoted = F.length("head") - F.length(F.replace("head", F.lit('"'), F.lit("")))
+    files = files.join(heads, "path").select(
+        "path", "widest", "spanning", "valid", _cells_in(F.col("head"), separator).alias("width"),
+        (quoted % 2 == 1).alias("open")).filter("valid").collect()
+    widths = {row["path"]: row["width"] for row in files}
+    if unclosed := [row["path"] for row in files if row["open"]]:
+        # The header itself spans lines.
+        whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(_escaped(unclosed))
+        head = F.regexp_extract("value", r'\A(?:[^"\r\n]++|"[^"]*+")*+', 0)
+        widths |= dict(map(tuple, whole.select(_decoded_path(), _cells_in(head, separator)).collect()))
+    shapes = {}
+    for row in files:
+        width = 1 << (widths[row["path"]] - 1).bit_length()
+        own, widest = shapes.get((width, row["spanning"]), ([], 0))
+        shapes[width, row["spanning"]] = ([*own, row["path"]], max(widest, row["widest"]))
+    return shapes
+
+
+def delimited_rows(spark, folder, extension, paths=None):
+    """(name, row_no, cells) of every record of the files with ``extension``, header included.
+
+    ``paths`` limits it to these files. Lines are looked at once before, for the shape of each file
+    (see ``_shapes``); only files in which a record may span lines are read whole by one task.
+    """
+    separator = DELIMITERS[extension]
+    options = {"recursiveFileLookup": "true"} | ({"pathGlobFilter": _any_case(extension)} if paths is None else {})
+    found = spark.createDataFrame(
+        [], "name string, row_no struct<split:bigint,at:bigint>, cells array<string>")
+    for (width, spanning), (own, widest) in _shapes(spark, folder, separator, options, paths).items():
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+        records = spark.read.schema(schema).options(
+            sep=separator, header="false", multiLine=str(bool(spanning)), quote='"', escape='"',
+            maxColumns=str(max(20_480, widest + 1)), recursiveFileLookup="true",
+        ).csv(_escaped(own))
+        cells = F.array(*[F.col(f"c{i}") for i in range(width)])
+        # A split is read by one task, in order, and splits are ordered by where they start.
+        row_no = F.struct(
+            F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")
+        )
+        found = found.unionByName(records.select(
+            _relative(_decoded_path(), folder).alias("name"), row_no.alias("row_no"),
+            _without_trailing_nulls(cells).alias("cells"),
+        ))
+    return found
 
 
 def _without_trailing_nulls(cells):
@@ -111,8 +185,8 @@ def _without_trailing_nulls(cells):
     return F.slice(cells, F.lit(1), F.greatest(last, F.lit(1)))
 
 
-def delimited_files(spark, folder, extension):
-    return rows_text(delimited_rows(spark, folder, extension), ["name"])
+def delimited_files(spark, folder, extension, paths=None):
+    return rows_text(delimited_rows(spark, folder, extension, paths), ["name"])
 
 
 def _decoder(rows_of, columns, batch=5_000):
@@ -208,8 +282,8 @@ def xlsx_rows(content):
                     yield sheet_no, sheet.get("name"), row_no, cells
 
 
-def docx_files(spark, folder):
-    files = _binary(spark, folder, _any_case(".docx")).select("name", "content")
+def docx_files(spark, folder, paths=None):
+    files = _contents(spark, folder, _any_case(".docx"), paths).select("name", "content")
     rows = files.mapInPandas(
         _decoder(docx_paragraphs, ["name", "nth", "text", "error"]),
         "name string, nth int, text string, error string",
@@ -222,9 +296,9 @@ def docx_files(spark, folder):
     )
 
 
-def workbook_rows(spark, folder):
+def workbook_rows(spark, folder, paths=None):
     """(name, sheet_no, sheet, row_no, cells, error) of every workbook row."""
-    files = _binary(spark, folder, _any_case(".xlsx")).select("name", "content")
+    files = _contents(spark, folder, _any_case(".xlsx"), paths).select("name", "content")
     return files.mapInPandas(
         _decoder(xlsx_rows, ["name", "sheet_no", "sheet", "row_no", "cells", "error"]),
         "name string, sheet_no int, sheet string, row_no long, cells array<string>, error string",
@@ -267,17 +341,18 @@ def missing_sheets(rows, entries):
 
 
 def file_contents(spark, folder, entries):
-    """(name, content) of every file below ``folder`` that a manifest entry names.
+    """(name, content) of every file below ``folder`` that a manifest entry names; others stay unopened.
 
     ``entries`` holds ``(name, hint_tabs)``, one row per name.
     """
-    present = extensions(spark, folder)
-    found = text_files(spark, folder, present)
-    for extension in DELIMITERS:
-        if extension in present:
-            found = found.unionByName(delimited_files(spark, folder, extension))
-    if ".docx" in present:
-        found = found.unionByName(docx_files(spark, folder))
-    if ".xlsx" in present:
-        found = found.unionByName(workbook_files(workbook_rows(spark, folder), entries))
-    return found.join(entries.select("name").distinct(), "name", "left_semi")
+    paths = named_paths(spark, folder, entries)
+    found = text_files(spark, folder, [p for ext in sorted(paths.keys() - OTHER_KINDS) for p in paths[ext]])
+    for extension in sorted(paths.keys() & DELIMITERS.keys()):
+        found = found.unionByName(delimited_files(spark, folder, extension, paths[extension]))
+    if ".docx" in paths:
+        found = found.unionByName(docx_files(spark, folder, paths[".docx"]))
+    if ".xlsx" in paths:
+        # Its rows are used in several ways: each workbook is decoded once.
+        rows = materialize(workbook_rows(spark, folder, paths[".xlsx"]), "workbook-rows")
+        found = found.unionByName(workbook_files(rows, entries))
+    return found

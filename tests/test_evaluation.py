@@ -186,3 +186,17 @@ def test_three_part_names():
     for name, wrong in itertools.product(["golden"], ["a.b", "a.b.c.d", "a"]):
         with pytest.raises(ValueError):
             require_three_parts(**{name: wrong})
+
+
+def test_exact_percentiles_match_the_built_in(spark):
+    from pyspark.sql import functions as F
+
+    from metadoc.operators.evaluation import latency_percentiles
+
+    rows = [("a", float(i * 37 % 101)) for i in range(1000)] + [("b", 5.0), ("c", None), ("d", 1.0), ("d", 2.0), (None, 3.0)]
+    items = spark.createDataFrame(rows, "model string, latency_ms double").repartition(7)
+    want = items.groupBy("model").agg(F.percentile("latency_ms", F.lit(0.5)), F.percentile("latency_ms", F.lit(0.95)))
+    got = latency_percentiles(items)
+    rounded = lambda frame: {r[0]: tuple(x if x is None else round(x, 9) for x in r[1:]) for r in frame.collect()}
+    assert rounded(got) == rounded(want)
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString().replace("percentile-counts", "")

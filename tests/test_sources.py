@@ -226,3 +226,21 @@ def test_only_named_files_are_sources(spark, folder):
     (folder / "b.md").write_text("y")
     entries = spark.createDataFrame([("a.md", [])], "name string, hint_tabs array<string>")
     assert as_dict(file_contents(spark, str(folder), entries)) == {"a.md": "x"}
+
+
+def test_each_delimited_file_has_its_own_width(spark, folder):
+    """Neither an unnamed file nor a wide, quoted or invalid one touches the others."""
+    wide = "x," * 25_000
+    (folder / "unnamed.csv").write_text(f'k,v\n1,"{wide}"\n{wide}\n')
+    (folder / "a.csv").write_text("p,q\n1,2\n")
+    (folder / "long [1].csv").write_text(f'k,v\n1,"{wide}"\n{wide}\n')
+    (folder / "head.csv").write_text('"dos\nlíneas, una",b,c\n1,2,3\n', encoding="utf8")
+    (folder / "bad.csv").write_bytes(b"a,b\n\xff\xfe,1\n")
+    (folder / "roto.xlsx").write_bytes(b"no es un libro")
+    names = ["a.csv", "long [1].csv", "head.csv", "bad.csv"]
+    entries = spark.createDataFrame([(name, []) for name in names], "name string, hint_tabs array<string>")
+    got = as_dict(file_contents(spark, str(folder), entries))
+    assert got.keys() == {"a.csv", "long [1].csv", "head.csv"}
+    assert got["a.csv"] == "p | q\n1 | 2"
+    assert got["long [1].csv"].startswith("k | v\n1 | x,x,") and got["long [1].csv"].endswith("\nx | x")
+    assert got["head.csv"] == "dos\\nlíneas, una | b | c\n1 | 2 | 3"
