@@ -7,7 +7,6 @@ from checks.queries import MANIFESTS, MODELS, PRICES, PRODUCT
 from checks.views import duckdb_with
 from metadoc import fixed_values as fv
 from metadoc.functions.text import WHITESPACE
-from metadoc.operators.prompts import criteria_block, judge_keys
 
 SQL = {}
 
@@ -331,11 +330,14 @@ EVALUATION = ("asked", f"""
     FROM v_golden""")
 oracle("prompts_evaluation", ["v_golden"],
        f"SELECT object_id, {digest('prompt', 'prompt')} FROM asked", [EVALUATION])
-KEYS = judge_keys()
+KEYS = [name.lower() for name, _ in fv.CRITERIA]
+CRITERIA = "\n".join(
+    str(at + 1) + ". " + name + ": " + rule.replace("{manifests}", " / ".join(MANIFESTS))
+    for at, (name, rule) in enumerate(fv.CRITERIA))
 oracle("prompts_judge", ["v_golden"], f"""
     SELECT object_id, {digest('prompt', 'prompt')} FROM (
         SELECT object_id, {fill(
-            fv.JUDGE_PROMPT, catalog_product=text(PRODUCT), criteria=text(criteria_block(MANIFESTS)),
+            fv.JUDGE_PROMPT, catalog_product=text(PRODUCT), criteria=text(CRITERIA),
             context="substr(context_text, 1, 30000)", level="object_level",
             comment="coalesce(gold_comment, 'Objeto ' || object_id)", keys=text(", ".join(KEYS)),
             example=text(", ".join(f'"{k}": 1' for k in KEYS)))} AS prompt FROM v_golden)""")
@@ -354,7 +356,7 @@ N = ("nombre_catalogo", "nombre_esquema", "nombre_tabla", "nombre_columna")
 oracle("prompts_audit", ["v_results", "v_sources"], f"""
     SELECT id_resultado, {digest('prompt', 'prompt')} FROM (
         SELECT id_resultado, {fill(
-            fv.AUDIT_PROMPT, criteria=text(criteria_block(MANIFESTS)), context="context",
+            fv.AUDIT_PROMPT, criteria=text(CRITERIA), context="context",
             level_label=LEVEL_LABEL, comment="coalesce(comentario, '')",
             target=f"CASE level WHEN 'schema' THEN 'Esquema ' || {quoted(*N[:2])} "
                    f"WHEN 'table' THEN 'Tabla ' || {quoted(*N[:3])} ELSE 'Columna ' || {quoted(*N)} END")}

@@ -233,8 +233,38 @@ def docx_paragraphs(content):
             yield number, text
 
 
+#: The number formats that show a serial number as a date or a time.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _date_styles(styles, main):
+    """The styles of cells, by number, whose format shows a date or a time."""
+    own = {
+        int(node.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[(?!h|m|s)[^\]]*\]', "", node.get("formatCode") or "", flags=re.I)
+        for node in styles.iter(main + "numFmt")
+    }
+    cells = styles.find(main + "cellXfs")
+    kinds = [int(node.get("numFmtId") or 0) for node in (cells if cells is not None else ())]
+    return {
+        at for at, kind in enumerate(kinds)
+        if (re.search("[dmyhs]", own[kind], re.I) if kind in own else kind in DATE_FORMATS)
+    }
+
+
+def _date_text(serial, since_1904):
+    """A serial number of days as a date, a time or both, as far as it has such parts."""
+    from datetime import datetime, timedelta
+
+    days = float(serial)
+    start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30)
+    moment = start + timedelta(seconds=round(days * 86400))
+    if 0 <= days < 1:
+        return moment.strftime("%H:%M:%S")
+    return moment.strftime("%Y-%m-%d" if days == int(days) else "%Y-%m-%d %H:%M:%S")
+
+
 def xlsx_rows(content):
-    """(sheet_no, sheet, row_no, cells) of every row of a workbook."""
+    """(sheet_no, sheet, row_no, cells) of every row of a workbook; dates as ``2024-01-31 12:00:00``."""
     import io
     import re
     import xml.etree.ElementTree as xml
@@ -252,11 +282,17 @@ def xlsx_rows(content):
         if "xl/sharedStrings.xml" in parts:
             shared = [texts(item) for item in
                       xml.fromstring(archive.read("xl/sharedStrings.xml")).findall(main + "si")]
+        dates = set()
+        if "xl/styles.xml" in parts:
+            dates = _date_styles(xml.fromstring(archive.read("xl/styles.xml")), main)
         targets = {
             node.get("Id"): node.get("Target")
             for node in xml.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
         }
-        sheets = xml.fromstring(archive.read("xl/workbook.xml")).find(main + "sheets")
+        book = xml.fromstring(archive.read("xl/workbook.xml"))
+        setup = book.find(main + "workbookPr")
+        since_1904 = setup is not None and setup.get("date1904") in ("1", "true")
+        sheets = book.find(main + "sheets")
         for sheet_no, sheet in enumerate(sheets):
             target = targets[sheet.get(link)].lstrip("/")
             part = target if target.startswith("xl/") else "xl/" + target
@@ -277,6 +313,8 @@ def xlsx_rows(content):
                         value = texts(node)
                     elif kind == "b":
                         value = "True" if value == "1" else "False"
+                    elif kind in (None, "n") and value and int(node.get("s") or 0) in dates:
+                        value = _date_text(value, since_1904)
                     cells += [None] * (at - 1 - len(cells)) + [value]
                 if any(cell is not None for cell in cells):
                     yield sheet_no, sheet.get("name"), row_no, cells

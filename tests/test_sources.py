@@ -244,3 +244,28 @@ def test_each_delimited_file_has_its_own_width(spark, folder):
     assert got["a.csv"] == "p | q\n1 | 2"
     assert got["long [1].csv"].startswith("k | v\n1 | x,x,") and got["long [1].csv"].endswith("\nx | x")
     assert got["head.csv"] == "dos\\nlíneas, una | b | c\n1 | 2 | 3"
+
+
+def test_dates_in_workbooks(spark, folder):
+    import xml.etree.ElementTree as xml
+
+    from metadoc.sources.files import _date_styles, _date_text, xlsx_rows
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    styles = (
+        f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/>'
+        '<numFmt numFmtId="165" formatCode="0.0&quot; dias&quot;"/><numFmt numFmtId="166" formatCode="[Red]0.0"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="166"/></cellXfs></styleSheet>')
+    assert _date_styles(xml.fromstring(styles), "{" + main + "}") == {1, 2}
+    assert [_date_text(x, False) for x in ("45292", "45292.5", "0.25")] == ["2024-01-01", "2024-01-01 12:00:00", "06:00:00"]
+    assert _date_text("43830", True) == "2024-01-01"
+    book = io.BytesIO(xlsx(uno=[["a", 45292]]))
+    with zipfile.ZipFile(book, "a") as archive:
+        archive.writestr("xl/styles.xml", styles)
+    assert [r[3] for r in xlsx_rows(book.getvalue())] == [["a", "45292"]]
+    old = zipfile.ZipFile(book)
+    dated = io.BytesIO()
+    with zipfile.ZipFile(dated, "w") as archive:
+        for name in old.namelist():
+            archive.writestr(name, old.read(name).replace(b'<c r="B1">', b'<c r="B1" s="1">'))
+    assert [r[3] for r in xlsx_rows(dated.getvalue())] == [["a", "2024-01-01"]]
