@@ -94,6 +94,45 @@ def test_trusted_patterns_find_what_no_fixed_pattern_knows(spark):
     assert spans[50] == [(5, 1, "ip", 15, "10.0.999.7")] and spans[51] == []
 
 
+def spans_of(spark, texts):
+    found = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "base", "spans")
+    rows = {r.doc_id: r for r in found.collect()}
+    for i, r in rows.items():
+        assert all(texts[i][s.start:s.end] == s.value for s in r.spans)
+    return [{(s.kind, s.value) for s in rows[i].spans} - {(s.kind, s.value) for s in rows[i].base} for i in range(len(texts))]
+
+
+def test_identifiers_with_spaces_are_seeds_and_found(spark):
+    seeds = [f"tel +1 (0{i}) 555-77{i} x" for i in range(10, 30)] + [f"line2 10.0.{i}.7 x" for i in range(100, 120)]
+    seeds += [f"far{' ' * 60}10.1.{i}.7 x" for i in range(100, 112)] + [f"tag key=10.2.{i}.7/8 x" for i in range(100, 112)]
+    digits = [f"411111111111{i:04}" for i in range(400)]
+    seeds += [f"card {d[:4]} {d[4:8]} {d[8:12]} {d[12:]} x" for d in digits if luhn(d)]
+    fresh = {
+        "tel +1 (17) 55-77 x": {("phone", "+1 (17) 55-77")}, "née TEL: (+1 (017) 555-7713 4111 1111 1111 12)": {("phone", "+1 (017) 555-7713")},
+        "line2 10.0.999.7 x": {("ip", "10.0.999.7")}, f"far{' ' * 70}10.0.999.7": {("ip", "10.0.999.7")},
+        "line2 10.0.999.7 10.0.0.1": {("ip", "10.0.999.7")}, "card 4111 1111 1111 1112, x": {("card", "4111 1111 1111 1112")},
+        "key=10.0.999.7/8 x": {("ip", "10.0.999.7")}, "room +1 (17) 55-78 x": set(), "seats 4111 1111 1111 1113": set()}
+    found = spans_of(spark, seeds + list(fresh))
+    assert found[:len(seeds)] == [set()] * len(seeds)
+    assert dict(zip(fresh, found[len(seeds):])) == fresh
+
+
+def test_context_is_whole_at_any_number_of_matches(spark):
+    text = " ".join(f"a{i} 10.{i % 9}.999.{i}" for i in range(700))
+    rows = [r for d in [spark.createDataFrame([(1, text)], "doc_id long, text string")] for r in pii._placed(
+        d, {"word": (pii._WORD, "[0-9]")}).select(pii.F.explode("word").alias("w")).select("w.*").collect()]
+    assert len(rows) == 1400
+    assert all(r.before == text[:r.start][-48:] and r.value == text[r.start:r.end] for r in rows)
+
+
+def test_rounds_go_on_until_patterns_stay_the_same(spark):
+    # Each pattern knows four instances, which are enough for the next one: six rounds to the last.
+    known = [(f"p{k}", f"v{k}-{i}", "ip" if k == 0 else None) for k in range(6) for i in range(4)]
+    edges = known + [(f"p{k + 1}", f"v{k}-{i}", None) for k in range(5) for i in range(4)]
+    found = pii.bootstrap(spark.createDataFrame(edges, "pattern string, value string, kind string"), confidence=0.5)
+    assert {r.pattern for r in found.collect()} == {f"p{k}" for k in range(6)}
+
+
 def test_redaction(spark):
     rows = [(1, "😀 mail a@b.co, now", "x"), (2, None, "y"), (3, "nothing", "z"), (1, "😀 mail a@b.co, now", "x"), (None, "+49 30 1234567", None)]
     clean = pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, base string"))
