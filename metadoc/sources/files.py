@@ -111,17 +111,31 @@ def _decoded_path():
     return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
 
 
-def _cells_in(record, separator):
-    """Number of cells of a record; separators inside quotes are none."""
-    return F.size(F.split(F.regexp_replace(record, '"[^"]*+"', ""), separator))
+#: What the CSV reader skips as blank, and the blank lines ahead of a header.
+_NOT_BLANK = r"[^\x00-\x20]"
+_BLANK_LINES = r"\A(?:[\x00-\x09\x0b\x0c\x0e-\x20]*+[\r\n]++)++"
+#: A quoted cell. Quotes count only where a cell begins.
+_QUOTED = '"(?:[^"]++|"")*+"'
+
+
+def _cells_in(text, separator):
+    """Number of cells of the first record, at least: how many there are is for the CSV reader to say."""
+    cell = rf"\G(?:{_QUOTED})?+[^{separator}\r\n]*+{separator}"
+    return F.size(F.regexp_extract_all(text, F.lit(cell), F.lit(0))) + 1
+
+
+def _open(line, separator):
+    """Whether a quoted cell of ``line`` is not closed in it."""
+    closed = rf'(?:{_QUOTED}[^{separator}]*+|(?!")[^{separator}]*+){separator}'
+    return line.rlike(rf'\A(?:{closed})*+"(?:[^"]++|"")*+\z')
 
 
 def _shapes(spark, folder, separator, options, paths):
     """``{(width, spanning): (paths, separators in the widest line)}``, each file on its own terms.
 
-    The width is that of the file's own header, rounded up to a power of two: cells beyond the header are
-    not shown, and few widths make few reads. ``spanning`` says whether a record of the file may span
-    lines. Files that are not valid UTF-8 are left out.
+    The width is that of the file's own header, the first line that is not blank, rounded up to a power of
+    two: cells beyond the header are not shown, and few widths make few reads. ``spanning`` says whether a
+    record of the file may span lines. Files that are not valid UTF-8 are left out.
     """
     lines = spark.read.options(**options).text(folder if paths is None else _escaped(paths)).select(
         "value", _decoded_path().alias("path"), F.col("_metadata.file_block_start").alias("start"),
@@ -130,18 +144,21 @@ def _shapes(spark, folder, separator, options, paths):
     files = lines.groupBy("path").agg(
         F.max(F.size(F.split("value", separator))).alias("widest"),
         F.max(quotes % 2 == 1).alias("spanning"), F.min(F.is_valid_utf8("value")).alias("valid"))
-    # Only the first split of a file, a bounded part, is looked through for the first line.
-    heads = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("head"))
-    quoted = F.length("head") - F.length(F.replace("head", F.lit('"'), F.lit("")))
-    files = files.join(heads, "path").select(
-        "path", "widest", "spanning", "valid", _cells_in(F.col("head"), separator).alias("width"),
-        (quoted % 2 == 1).alias("open")).filter("valid").collect()
+    # Only the first split of a file, a bounded part, is looked through for the header; a file with blank
+    # lines only there is as wide as its widest line.
+    heads = lines.filter(F.col("value").rlike(_NOT_BLANK) & (F.col("start") == 0)).groupBy("path").agg(
+        F.min_by("value", "at").alias("head"))
+    files = files.join(heads, "path", "left").select(
+        "path", "widest", "spanning", "valid",
+        F.when(F.col("head").isNull(), F.col("widest")).otherwise(_cells_in(F.col("head"), separator)).alias("width"),
+        F.coalesce(_open(F.col("head"), separator), F.lit(False)).alias("open")).filter("valid").collect()
     widths = {row["path"]: row["width"] for row in files}
     if unclosed := [row["path"] for row in files if row["open"]]:
         # The header itself spans lines.
         whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(_escaped(unclosed))
-        head = F.regexp_extract("value", r'\A(?:[^"\r\n]++|"[^"]*+")*+', 0)
-        widths |= dict(map(tuple, whole.select(_decoded_path(), _cells_in(head, separator)).collect()))
+        head = F.regexp_replace("value", _BLANK_LINES, "")
+        wider = dict(map(tuple, whole.select(_decoded_path(), _cells_in(head, separator)).collect()))
+        widths |= {path: max(widths[path], width) for path, width in wider.items()}
     shapes = {}
     for row in files:
         width = 1 << (widths[row["path"]] - 1).bit_length()
@@ -167,6 +184,11 @@ def delimited_rows(spark, folder, extension, paths=None):
             maxColumns=str(max(20_480, widest + 1)), recursiveFileLookup="true",
         ).csv(_escaped(own))
         cells = F.array(*[F.col(f"c{i}") for i in range(width)])
+        if spanning and width > 1:
+            # Lines of white space, which are skipped where records do not span lines.
+            empty = F.forall(F.slice(cells, 2, width), lambda c: c.isNull()) & (
+                F.col("c0").rlike(r"\A[\x00-\x20]+\z") if separator != "\t" else ~F.coalesce(F.col("c0"), F.lit(" ")).rlike(rf"{_NOT_BLANK}|\A\z"))
+            records = records.filter(~F.coalesce(empty, F.lit(False)))
         # A split is read by one task, in order, and splits are ordered by where they start.
         row_no = F.struct(
             F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")

@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from metadoc.sources.files import (
-    docx_files, file_contents, missing_sheets, text_files, workbook_files, workbook_rows, delimited_files,
+    docx_files, file_contents, missing_sheets, text_files, workbook_files, workbook_rows, delimited_files, _cells_in,
 )
 from metadoc.sources.manifests import manifest_entries
 from metadoc.sources.merge import load_sources, merged_sources
@@ -246,6 +246,40 @@ def test_each_delimited_file_has_its_own_width(spark, folder):
     assert got["head.csv"] == "dos\\nlíneas, una | b | c\n1 | 2 | 3"
 
 
+def test_blank_lines_before_the_header(spark, folder):
+    texts = {
+        "one.csv": "\na,b,c\n1,2,3\n", "many.csv": "\r\n  \r\n\r\na,b,c\r\n1,2,3\r\n", "spans.csv": '\n  \na,b,c\n1,2,"3\n4"\n',
+        "head.csv": '\n \n"a, or\na",b,c\n1,2,3\n', "tabs.tsv": "\n\t\t\na\tb\tc\n1\t2\t3\n", "spans.tsv": '\n\t\t\na\tb\tc\n1\t2\t"3\n4"\n',
+        "blank.csv": "\n\n"}
+    for name, text in texts.items():
+        (folder / name).write_bytes(text.encode())
+    got = as_dict(delimited_files(spark, str(folder), ".csv")) | as_dict(delimited_files(spark, str(folder), ".tsv"))
+    assert {k: v for k, v in got.items() if k != "blank.csv"} == {
+        "one.csv": "a | b | c\n1 | 2 | 3", "many.csv": "a | b | c\n1 | 2 | 3", "spans.csv": "a | b | c\n1 | 2 | 3\\n4",
+        "head.csv": "a, or\\na | b | c\n1 | 2 | 3", "tabs.tsv": "a | b | c\n1 | 2 | 3", "spans.tsv": "a | b | c\n1 | 2 | 3\\n4"}
+
+
+def test_quotes_inside_unquoted_cells(spark, folder):
+    (folder / "a.csv").write_text('5" a,6" b,c\n1,2,3\n')
+    (folder / "b.csv").write_text('5" a,b,c\n1,2,3\n')
+    (folder / "c.csv").write_text('"5"" a, or 6""",b\n1,2\n')
+    got = as_dict(delimited_files(spark, str(folder), ".csv"))
+    assert got["a.csv"] == '5" a | 6" b | c\n1 | 2 | 3' and got["b.csv"] == '5" a | b | c\n1 | 2 | 3'
+    assert got["c.csv"] == '5" a, or 6" | b\n1 | 2'
+
+
+def test_width_is_never_below_what_the_reader_finds(spark):
+    rnd = random.Random(9)
+    heads = sorted({"".join(rnd.choice('a",, ') for _ in range(rnd.randint(1, 14))) + "z" for _ in range(3000)})
+    schema = ", ".join(f"c{i} string" for i in range(20))
+    cells = F.array(*(F.col(f"r.c{i}") for i in range(20)))
+    last = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
+    rows = spark.createDataFrame([(h,) for h in heads], "head string").withColumn(
+        "r", F.from_csv("head", schema, {"quote": '"', "escape": '"'}))
+    wrong = rows.select("head", _cells_in(F.col("head"), ",").alias("have"), last.alias("need")).filter("have < need")
+    assert wrong.collect() == []
+
+
 def test_dates_in_workbooks(spark, folder):
     import xml.etree.ElementTree as xml
 
