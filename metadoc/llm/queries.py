@@ -1,14 +1,17 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the operators, with production parameters, and their SQL."""
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from metadoc.llm import (
-    chat, decontamination, embeddings, packing, pii, quality, simhash, token_counts, url_filters, warc)
+    alignment, chat, decontamination, embeddings, mixing, packing, pii, quality, ranked, simhash, token_counts,
+    url_filters, warc)
 from metadoc.llm.shared import table
 
 #: Host, beginning of the path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: The weights of sources in turn, and how often a source's documents may be taken.
+WEIGHTS, EPOCHS = (5, 2, 1), 3
 #: A conversation whose texts consist of control strings.
 MARKED = "</s>[INST] ok [/INST]"
 
@@ -66,9 +69,25 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.cycled(docs, WEIGHTS), EPOCHS).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.link_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_embeddings, op3_decontamination, op4_warc, op5_chat, op6_personal_data, op7_token_counts,
-    op8_packing, op9_url_filters, op10_quality)}
+    op8_packing, op9_url_filters, op10_quality, op11_ranked_search, op12_mixing, op13_alignment)}
 
 
 SQL = {
@@ -130,4 +149,62 @@ best AS (
 SELECT p.page_id, p.host, p.path, b.rule AS rule,
     CASE WHEN b IS NOT NULL AND b.b THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN best USING (host, path)""",
+    "op11_ranked_search": """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0)::BIGINT AS n_docs, sum(len(t))::BIGINT AS total FROM d),
+i AS (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS times FROM i GROUP BY ALL),
+tf AS (
+    SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, s GROUP BY term, n_docs),
+scored AS (
+    SELECT i, item_id, doc_id, r,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // total))))::BIGINT AS score
+    FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL),
+ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10""",
+    "op12_mixing": f"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+drawn AS (
+    SELECT *, ('0x' || substr(md5(concat_ws(':', '42', doc_id::VARCHAR, size::VARCHAR)), 1, 15))::BIGINT AS draw FROM d),
+s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, {EPOCHS} * sum(size)::BIGINT AS capacity,
+        {list(WEIGHTS)}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INTEGER]::BIGINT AS weight
+    FROM d GROUP BY source),
+-- The sources that are held come first by capacity per weight.
+steps AS (
+    SELECT *, sum(weight) OVER (ORDER BY capacity / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den,
+        (SELECT sum(source_size) FROM s) - coalesce(sum(capacity) OVER (
+            ORDER BY capacity / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num
+    FROM s),
+level AS (SELECT num, den FROM steps WHERE capacity * den >= num * weight ORDER BY capacity / weight, source NULLS LAST LIMIT 1),
+aims AS (
+    SELECT source, source_size, CASE WHEN capacity * den < num * weight THEN capacity::DOUBLE
+        ELSE (num * weight)::DOUBLE / den::DOUBLE END AS target FROM s, level),
+wanted AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+        target - CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END * source_size AS want
+    FROM aims),
+placed AS (
+    SELECT doc_id, size, draw, w.*, sum(size) OVER (PARTITION BY w.source ORDER BY draw) AS upto
+    FROM drawn d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source),
+gaps AS (
+    SELECT *, want - coalesce(max(CASE WHEN upto <= want THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM placed),
+also AS (
+    SELECT source, draw FROM gaps WHERE upto > want AND abs(size - gap) < gap
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), draw) = 1)
+SELECT g.doc_id, g.size, g.source_size, g.target,
+    g.size * (g.whole + CASE WHEN g.upto <= g.want OR g.draw = a.draw THEN 1 ELSE 0 END) AS taken
+FROM gaps g LEFT JOIN also a ON g.source IS NOT DISTINCT FROM a.source""",
 }
