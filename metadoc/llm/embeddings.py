@@ -171,7 +171,8 @@ def near_duplicates(df, id_col="vec_id", vector_col="embedding", label_col="labe
     vectors = materialize(valid_vectors(df, id_col, vector_col, label_col), "vectors")
     classes = materialize(
         vectors.groupBy("label", "dim", "digest").agg(
-            F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")),
+            F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("unit").alias("unit")).withColumn(
+                "rep", F.monotonically_increasing_id()),  # an id may have several vectors, so it names no class
         "vector-classes")
     pivots, n_labels = _pivots(classes, cell_rows, most_pivots)
     per_label = {}
@@ -197,11 +198,13 @@ def near_duplicates(df, id_col="vec_id", vector_col="embedding", label_col="labe
     found = materialize(compared, "vector-links")
     counts = found.filter("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     roots = components(found.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")), "vector-components")
-    classes = classes.select("label", "dim", "digest", "rep", "copies").join(counts, "rep", "left").join(
-        roots.withColumnRenamed("node", "rep"), "rep", "left")
+    roots = roots.withColumnRenamed("node", "rep")
+    firsts = classes.select("rep", "first_id").join(roots, "rep").groupBy("root").agg(F.min("first_id").alias("joint_id"))
+    classes = classes.select("label", "dim", "digest", "rep", "first_id", "copies").join(counts, "rep", "left").join(
+        roots.join(firsts, "root"), "rep", "left")
     linked = vectors.select("vec_id", "label", "dim", "digest").join(classes, ["label", "dim", "digest"]).select(
         "vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-        F.coalesce("root", "rep").alias("component_id"))
+        F.coalesce("joint_id", "first_id").alias("component_id"))
     loose = _loose(df, id_col, vector_col, label_col)
     return linked.unionByName(loose).select(
         "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

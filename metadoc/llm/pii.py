@@ -153,7 +153,7 @@ def _seeds(df):
 
 
 def _candidates(df, shapes, most):
-    """``(doc_id, start, end, value, pattern, kind)``: words with digits or an at sign, and runs of pieces, in context.
+    """``(doc_id, name, start, end, value, pattern, kind)``: words with digits or an at sign, and runs of pieces, in context.
 
     ``kind`` is that of the first base span within a word, else null; what a base span touches otherwise is
     no candidate, as base spans are seeds as a whole. Trusted patterns have shapes of seeds, so of the runs
@@ -173,8 +173,8 @@ def _candidates(df, shapes, most):
         near = F.filter("ranged", lambda p: (p["low"] < c["end"]) & (p["high"] > c["start"]))
         return F.get(F.flatten(F.transform(near, lambda p: F.transform(F.filter(p["spans"], touches), name))), 0)
 
-    placed = _placed(df.select("doc_id", "text", "base"), {"word": (_WORD, "[0-9@]"), "piece": (_PIECE, "[0-9]")})
-    placed = placed.select("doc_id", "word", "piece", "base", parts.alias("parts")).select("doc_id", "word", "piece", ranged.alias("ranged"))
+    placed = _placed(df.select("doc_id", "name", "text", "base"), {"word": (_WORD, "[0-9@]"), "piece": (_PIECE, "[0-9]")})
+    placed = placed.select("doc_id", "name", "word", "piece", "base", parts.alias("parts")).select("doc_id", "name", "word", "piece", ranged.alias("ranged"))
     words = F.transform("word", lambda c: F.struct(
         c["start"].alias("start"), F.array(c["value"]).alias("values"), c["before"].alias("before"), touching(c).alias("kind"), F.lit(True).alias("word")))
     # A piece is glued to the one before it if there is only glue between them and none belongs to a base span.
@@ -190,19 +190,19 @@ def _candidates(df, shapes, most):
     runs = F.filter(F.transform("pieces", lambda c, i: F.struct(
         c["start"].alias("start"), F.when(c["value"].isNotNull(), ahead(c, i)).alias("values"), c["before"].alias("before"),
         F.lit(None).cast("string").alias("kind"), F.lit(False).alias("word"))), lambda r: r["values"].isNotNull())
-    found = placed.select("doc_id", words.alias("words"), pieces.alias("pieces"))
+    found = placed.select("doc_id", "name", words.alias("words"), pieces.alias("pieces"))
     # With explode, Spark would put a filter under the steps above, and so take them many times over.
-    rows = found.select("doc_id", F.explode_outer(F.concat("words", runs)).alias("c")).filter("c is not null").select("doc_id", "c.*")
+    rows = found.select("doc_id", "name", F.explode_outer(F.concat("words", runs)).alias("c")).filter("c is not null").select("doc_id", "name", "c.*")
     rows = rows.filter("kind IS NULL OR kind <> ''").select(
-        "doc_id", "kind", "start", "word", _left(F.col("before")).alias("left"), F.explode("values").alias("value")).filter("left <> ''")
+        "doc_id", "name", "kind", "start", "word", _left(F.col("before")).alias("left"), F.explode("values").alias("value")).filter("left <> ''")
     # What surrounds a word, brackets and stops for instance, does not belong to the identifier.
     tail = F.regexp_replace("value", r"^[^\p{L}\p{N}+(]++", "")
     rows = rows.withColumn("tail", tail).select(
-        "doc_id", "kind", "left", "word", (F.col("start") + F.length("value") - F.length("tail")).alias("start"),
+        "doc_id", "name", "kind", "left", "word", (F.col("start") + F.length("value") - F.length("tail")).alias("start"),
         F.regexp_replace("tail", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "").alias("value"))
     rows = rows.withColumn("shape", shape(F.col("value"))).join(small(shapes.withColumn("seed", F.lit(True))), "shape", "left")
     return rows.filter("seed OR (word AND length(value) >= 7)").select(
-        "doc_id", "start", (F.col("start") + F.length("value")).alias("end"), "value",
+        "doc_id", "name", "start", (F.col("start") + F.length("value")).alias("end"), "value",
         F.concat_ws(" ", "left", "shape").alias("pattern"), "kind")
 
 
@@ -241,10 +241,11 @@ def personal_data(df, id_col="doc_id", text_col="text", rounds=None, confidence=
     Both are arrays of ``(start, n, kind, end, value)`` in code points, end exclusive, by start and then
     kind. Base spans stay as they are; the method adds the words and runs of digit groups that a trusted
     pattern points at and that no base span touches. Null texts count as empty. Rows are kept as often as they occur: equal
-    rows have equal spans. ``row`` is the row itself; its other columns are not looked at.
+    rows have equal spans, and different texts of one id have their own. ``row`` is the row itself; its other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct("*").alias("row"))
+    # An id may have several texts: spans go by id and text.
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("name"), text.alias("text"), F.struct("*").alias("row"))
     based = with_base(rows)
     seeds = materialize(_seeds(rows.select("text")), "seeds")
     shapes = seeds.select("shape").distinct()
@@ -254,10 +255,10 @@ def personal_data(df, id_col="doc_id", text_col="text", rounds=None, confidence=
     trusted = bootstrap(instances, rounds, confidence, support)
     fresh = candidates.filter("kind is null").drop("kind").join(small(trusted), "pattern")
     number = reduce(lambda acc, k: acc.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
-    added = fresh.groupBy(F.col("doc_id").alias("added_id")).agg(
+    added = fresh.groupBy(F.col("doc_id").alias("added_id"), F.col("name").alias("added_name")).agg(
         F.collect_set(F.struct("start", number.alias("n"), "kind", "end", "value")).alias("added"))
     added = materialize(added, "added-spans")
-    return based.join(small(added), F.col("doc_id").eqNullSafe(F.col("added_id")), "left").select(
+    return based.join(small(added), F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("name") == F.col("added_name")), "left").select(
         "doc_id", "text", "base",
         F.when(F.col("added").isNull(), F.col("base")).otherwise(
             F.array_sort(F.array_union("base", "added"))).alias("spans"), "row")

@@ -65,13 +65,18 @@ def _fingerprints(words):
 
 
 def fingerprints(df, id_col="doc_id", text_col="text", words=4):
-    """``(doc_id, fp)`` per row of ``df``; null and blank texts have fingerprint zero.
+    """``(doc_id, fp, name)`` per row of ``df``; null and blank texts have fingerprint zero.
 
     A-Z is lower-cased, words are runs without ASCII white space, shingles of ``words`` words count as
     often as they occur, and a text with fewer words is one shingle.
     """
     text = F.col(text_col).cast("string").cast("binary")
-    return df.select(F.col(id_col).alias("doc_id"), _fingerprints(words)(text).alias("fp"))
+    return df.select(F.col(id_col).alias("doc_id"), _fingerprints(words)(text).alias("fp"), _name(text_col).alias("name"))
+
+
+def _name(text_col):
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _widths(blocks):
@@ -151,10 +156,11 @@ def links(fps, distance=4, blocks=2):
 
 
 def near_duplicates(df, id_col="doc_id", text_col="text", words=4, distance=4, blocks=2):
-    """``(doc_id, fp, fingerprint, component_id)`` for each row of ``df``.
+    """``(doc_id, fp, name, fingerprint, component_id, root)`` for each row of ``df``.
 
     Fingerprints link when they differ in ``distance`` bits at most; ``component_id`` is the smallest id
-    that can be reached over links, the row's own included. Equal fingerprints form one class, which is
+    that can be reached over links, the row's own included, and ``root`` names the component; ``name`` is a
+    hash of the text. Equal fingerprints form one class, which is
     compared once, so copies cost no pairs. Null and empty texts have fingerprint zero and link like any
     other. Rows are kept as often as they occur; a row without an id gets the component of its class
     (null if no row there has an id). Other columns are not looked at. No rows give no rows.
@@ -165,25 +171,36 @@ def near_duplicates(df, id_col="doc_id", text_col="text", words=4, distance=4, b
     roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "fingerprint-links")
     linked = classes.join(roots, classes.fp == roots.node)
     firsts = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_linked = linked.select("fp", "root").join(firsts, "root").select("fp", F.col("component_id").alias("joint_id"))
+    of_linked = linked.select("fp", "root").join(firsts, "root").select("fp", "root", F.col("component_id").alias("joint_id"))
     classes = classes.join(of_linked, "fp", "left").select(
-        "fp", F.coalesce("joint_id", "first_id").alias("component_id"))
+        "fp", F.coalesce("joint_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return rows.join(classes, "fp").select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", "fp", "name", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
 def kept(df, id_col="doc_id", text_col="text", **options):
     """The rows of ``df`` that stay when one document of each component does: the smallest id.
 
-    Rows without an id cannot be told apart and all stay; of several rows with the kept id one stays,
-    whichever comes first.
+    An id may come with several texts. Each is a document of its own: in a component that holds several
+    texts of its smallest id, the one with the smallest fingerprint and hash stays, and of rows equal in
+    both, one. Rows without an id cannot be told apart and all stay.
     """
     found = materialize(near_duplicates(df, id_col, text_col, **options), "near-duplicates")
-    ids = F.col("doc_id").alias(id_col)
-    gone = found.filter("doc_id <> component_id").select(ids).distinct()
-    stay = df.join(small(gone), id_col, "left_anti")
-    # Texts are shuffled for repeated ids only.
-    twice = found.filter("doc_id is not null").groupBy(ids).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
-    twice = materialize(twice, "repeated-ids")
-    return stay.join(small(twice), id_col, "left_anti").unionByName(
-        stay.join(small(twice), id_col, "left_semi").dropDuplicates([id_col]))
+    first = found.filter("doc_id = component_id")
+    own = F.struct("fp", "name")
+    # Only components whose smallest id has several texts, and rows that are repeated, need a second look.
+    several = materialize(first.groupBy(F.col("root").alias("of_root")).agg(
+        F.min(own).alias("stays"), F.max(own).alias("last"), F.count("*").alias("n")).filter("n > 1"), "repeated-ids")
+    others = first.join(small(several.filter("stays <> last").select("of_root", "stays")), F.col("root") == F.col("of_root")).filter(
+        own != F.col("stays"))
+    gone = found.filter("doc_id <> component_id").select("doc_id", "name").unionByName(others.select("doc_id", "name")).distinct()
+    named = df.withColumn("_name", _name(text_col))
+    as_gone = lambda rows: small(rows.select(F.col("doc_id").alias("_id"), F.col("name").alias("_text")))
+    on = (F.col(id_col) == F.col("_id")) & (F.col("_name") == F.col("_text"))
+    stay = named.join(as_gone(gone), on, "left_anti")
+    # Texts are shuffled for repeated rows only.
+    twice = first.join(small(several.select("of_root")), F.col("root") == F.col("of_root"), "left_semi").groupBy(
+        "doc_id", "name").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = as_gone(materialize(twice.select("doc_id", "name"), "repeated-rows"))
+    return stay.join(twice, on, "left_anti").unionByName(
+        stay.join(twice, on, "left_semi").dropDuplicates([id_col, "_name"])).drop("_name")

@@ -86,6 +86,19 @@ def test_kept_documents(spark):
     assert sorted(map(tuple, stay.select("doc_id", "source").collect()), key=repr) == [(1, "y"), (7, "w"), (None, "z")]
 
 
+def test_kept_loses_no_text_of_a_repeated_id(spark):
+    far = ["the first of three quite different texts", "second one that has nothing in common", "and a third, unlike the two before"]
+    rows = [(1, far[0], "a"), (1, far[1], "b"), (2, far[2], "c"), (1, far[0].upper(), "d"), (3, far[1], "e"), (1, None, "f"), (1, "", "f"), (4, " ", "g")]
+    stay = simhash.kept(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in stay) == sorted([(1, far[0]), (1, far[1]), (2, far[2]), (1, "")])
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (5, [1.0, 0.01], 0), (4, [0.01, 1.0], 0), (4, [0.02, 1.0], 0), (9, [-1.0, 0.0], 0)]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, found)) == sorted([(1, 1, 1, True), (1, 2, 1, True), (5, 1, 1, False), (4, 2, 1, False), (4, 2, 1, False), (9, 0, 9, True)])
+
+
 def test_empty_tables(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []

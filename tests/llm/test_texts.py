@@ -94,6 +94,13 @@ def test_trusted_patterns_find_what_no_fixed_pattern_knows(spark):
     assert spans[50] == [(5, 1, "ip", 15, "10.0.999.7")] and spans[51] == []
 
 
+def test_spans_stay_with_their_text(spark):
+    rows = [(i, f"addr 10.0.{100 + i}.7 x") for i in range(12)] + [(50, "addr 10.0.999.7 x"), (50, "hi"), (None, "addr 10.0.998.7 x"), (None, "ho")]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "spans").collect()
+    spans = {r.text: [(s.kind, s.start, s.end) for s in r.spans] for r in found}
+    assert spans["hi"] == spans["ho"] == [] and spans["addr 10.0.999.7 x"] == spans["addr 10.0.998.7 x"] == [("ip", 5, 15)]
+
+
 def spans_of(spark, texts):
     found = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "base", "spans")
     rows = {r.doc_id: r for r in found.collect()}
