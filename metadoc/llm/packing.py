@@ -23,6 +23,8 @@ from metadoc.llm.shared import materialize
 
 #: Parts of texts a worker remembers before it starts anew.
 MEMORY = 400_000
+#: Bytes of text whose pieces a worker hands on together.
+BATCH_BYTES = 1 << 20
 #: Texts of Latin-1 characters, without control characters and special tokens, can be split here.
 _ODD = re.compile(r"[^\t-\r -~\xa1-\xff]|<\|")
 _LETTERS, _NUMBERS = "a-zª\xb5ºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -75,15 +77,19 @@ def pieces(df, tokenizer_path, id_col="doc_id", text_col="text", size=2048, end_
 
     def cut(batches):
         encode = word_ids(tokenizer_path)
+        out, held = [], 0
         for pdf in batches:
-            out = []
             for name, data in zip(pdf["doc_id"], pdf["data"]):
                 ids = encode(data.decode("utf-8", "replace")) + end
                 n = len(ids) // 4
                 for at in range(0, n, size):
                     own = ids[4 * at:4 * (at + size)]
                     out.append((name, at, len(own) // 4, zlib.crc32(own), n, *[np.frombuffer(own, "<i4")] * with_ids))
-            yield pd.DataFrame(out, columns=columns)
+                held += len(data) + 64
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+        yield pd.DataFrame(out, columns=columns)
 
     kind = dict(df.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
