@@ -15,7 +15,7 @@ HEADLINE = (
     "scope_targets", "scope_found", "describe_cut", "manifest_entries", "sources_merged", "source_scores",
     "relevance_pairs", "relevance_rank", "context_budget", "context_text", "prompts_table", "prompts_column",
     "prompts_audit", "prompts_evaluation", "prompts_judge", "prompt_response", "table_sample", "verdicts",
-    "judge_flags", "audit_upsert", "det_scores", "pii_hits", "style_flags", "consistency",
+    "judge_flags", "audit_upsert", "det_scores", "pii_hits", "style_flags",
     "consistency_native", "eval_grid", "model_means", "scorecard", "latency_percentiles", "run_summary",
     "execution_latest", "latest_approved", "apply_statements", "results_changes", "dq_length", "assign_ids",
     "kpis", "stream_flags",

@@ -638,18 +638,6 @@ oracle("judge_flags", ["v_judge_answers"],
                    FROM v_judge_answers"""),
     ("parsed", "SELECT object_id, CASE WHEN json_valid(block) THEN block END AS j FROM blocks")])
 
-oracle("consistency_native", ["v_runs"], """
-    SELECT b.model, b.object_id, round(coalesce(avg(CASE
-               WHEN greatest(length(b.text), length(r.text)) = 0 THEN 1.0
-               ELSE 1.0 - CAST(levenshtein(b.text, r.text) AS DOUBLE)
-                          / greatest(length(b.text), length(r.text)) END), 1.0), 6) AS consistency
-    FROM base b LEFT JOIN good r ON r.model = b.model AND r.object_id = b.object_id AND r.run > b.run
-    GROUP BY b.model, b.object_id""", [
-    ("good", r"""SELECT model, object_id, run, regexp_replace(text, '[^ -~]', '', 'g') AS text
-                 FROM v_runs WHERE text IS NOT NULL"""),
-    ("base", """SELECT * FROM good QUALIFY row_number() OVER (
-                    PARTITION BY model, object_id ORDER BY run) = 1""")])
-
 METRICS = ["det_non_empty", "det_within_len", "det_no_pii", "det_is_spanish",
            *[f"judge_{key}" for key in KEYS], "consistency", "latency_ms", "tokens_in", "tokens_out"]
 MEANS = ("means", "SELECT model, count(*) AS n_items, " +

@@ -649,16 +649,9 @@ def judge_flags(spark, d):
     return with_judge_flags(view(spark, d, "v_judge_answers"), prompts.judge_keys()).drop("judge_text")
 
 
-@query
-def consistency(spark, d):
-    return evaluation.consistency(view(spark, d, "v_runs"))
-
-
 @query
 def consistency_native(spark, d):
-    ascii_only = F.regexp_replace("text", "[^ -~]", "")
-    runs = view(spark, d, "v_runs").withColumn("text", ascii_only)
-    return _rounded(evaluation.consistency(runs, native_ratio), "consistency")
+    return _rounded(evaluation.consistency(view(spark, d, "v_runs"), native_ratio), "consistency")
 
 
 _METRICS = evaluation.item_metrics()
@@ -765,19 +758,28 @@ def kpis_filtered(spark, d):
 # --- stream -------------------------------------------------------------------------------------
 
 
+STREAM_FILES = 8
+
+
 @query
 def stream_flags(spark, d):
-    """All documents as result rows of a stream, checked batch by batch until none is left."""
+    """All documents as result rows of a stream, in two versions each, checked batch by batch until none is left.
+
+    Three batches are merged into a base, the rest stays a delta; the newer version counts."""
     folder = f"{shared_dir(spark)}/metadoc/stream-{uuid.uuid4().hex}"
-    documents = result_stream(
-        spark, d, table(spark, d, "documents").schema, pathGlobFilter="documents.parquet"
-    )
     part = F.col("doc_id") % 10
-    rows = documents.select(
-        F.col("doc_id").alias("id_resultado"), F.col("text").alias("comentario"),
+    # Every row in two versions, dealt out so that the older one may well come later.
+    versions = F.explode(F.array(F.struct(F.lit(1).alias("n"), F.upper("text").alias("text")),
+                                 F.struct(F.lit(2).alias("n"), F.col("text").alias("text"))))
+    table(spark, d, "documents").select("doc_id", versions.alias("v")).select(
+        F.col("doc_id").alias("id_resultado"), F.expr("timestamp_ntz'2026-01-01 00:00:00'").alias("day"), "v.n",
+        F.col("v.text").alias("comentario"),
         F.when(part == 0, fv.SCHEMA_SENTINEL).otherwise("tab").alias("nombre_tabla"),
         F.when(part == 0, fv.SCHEMA_SENTINEL).when(part < 3, fv.TABLE_SENTINEL).otherwise("col")
         .alias("nombre_columna"),
-    )
-    run_available(write_batches(flagged(rows), f"{folder}/flags"), f"{folder}/checkpoint")
+    ).withColumn("fecha_resultado", F.expr("day + make_interval(0, 0, 0, n)")).drop("day", "n").repartition(
+        STREAM_FILES, F.xxhash64("id_resultado", "fecha_resultado")).write.parquet(f"{folder}/landing")
+    landed = spark.read.parquet(f"{folder}/landing")
+    rows = result_stream(spark, f"{folder}/landing", landed.schema, maxFilesPerTrigger=STREAM_FILES // 4)
+    run_available(write_batches(flagged(rows), f"{folder}/flags", merge_at=3), f"{folder}/checkpoint")
     return current(spark, f"{folder}/flags")

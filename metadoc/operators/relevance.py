@@ -4,8 +4,9 @@ An object's score for a source is the source's static score plus a boost when th
 or table name occurs in the source's head. Scoring every object against every source would be
 quadratic; this module never does that:
 
-1. names are looked up by equality: the places of a head where a name could begin yield tails, their
-   first characters meet the dictionary of name beginnings, and the cut must equal a name;
+1. names are looked up by equality of hashes: a head has prefix sums, from which the hash of any of its
+   stretches follows, so each place gives one number per name length, and no text is copied; where a
+   number is that of a name, the stretch itself is compared;
 2. per name (and per schema-table pair found in the same head) only the sources that can still fit
    into the budget are kept, in static order; the same for all sources without any name;
 3. an object's candidates are the union of those few lists, ranked and packed.
@@ -17,6 +18,8 @@ budget also lies past the point where the object's full ranking overflows.
 
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +28,9 @@ from metadoc.functions.relevance import haystack, source_header, static_score
 from metadoc.functions.text import blank_to_null, or_empty
 from metadoc.runtime import BROADCAST_ROWS, materialize, spread
 
-ANCHOR_CHARS = 4
 SALTS = 32
+#: Multiplier of the rolling hashes, odd and so invertible modulo 2**64, and heads hashed together, in characters.
+HASH_BASE, HASH_CHARS = 0x9E3779B97F4A7C15, 1 << 18
 
 _ENTRY = ("ord", "static", "header_len", "size")
 _PAIR = ["schema_key", "table_key"]
@@ -81,46 +85,84 @@ def object_names(keys):
     )
 
 
+def _powers(base, count):
+    powers = np.full(count, base, np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers, dtype=np.uint64)
+
+
+def stretch_hashes(texts, lengths):
+    """``(text, place, length, hash)`` arrays for every stretch of the given lengths in ``texts``.
+
+    With prefix sums ``S`` of ``code * base**i`` the hash of a stretch is ``(S[end] - S[begin]) / base**begin``
+    modulo 2**64, which does not depend on where the stretch lies.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(codes * _powers(HASH_BASE, max(1, len(codes)))[:len(codes)], dtype=np.uint64)]
+    back = _powers(pow(HASH_BASE, -1, 1 << 64), max(1, len(codes)))
+    for length in lengths:
+        begin = np.nonzero(np.arange(len(codes)) + length <= ends[owner])[0]
+        yield owner[begin], begin - (ends - sizes)[owner[begin]], length, (sums[begin + length] - sums[begin]) * back[begin]
+
+
+def _spots(index, lengths, known):
+    """``(ord, at, length, hash)``: the stretches of the heads that may be names, without their text.
+
+    ``known`` are the sorted hashes of all names, or None if there are too many to send them around.
+    """
+
+    def find(batches):
+        for pdf in batches:
+            sizes = pdf["haystack"].str.len().cumsum() // HASH_CHARS
+            for _, part in pdf.groupby(sizes, sort=False):
+                ords = part["ord"].to_numpy()
+                for owner, at, length, hashes in stretch_hashes(list(part["haystack"]), lengths):
+                    if known is not None and len(known):
+                        at_known = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                        hit = known[at_known] == hashes
+                        owner, at, hashes = owner[hit], at[hit], hashes[hit]
+                    yield pd.DataFrame({"ord": ords[owner], "at": at, "length": length, "hash": hashes.view(np.int64)})
+
+    kind = dict(index.dtypes)["ord"]
+    return spread(index).select("ord", "haystack").mapInPandas(find, f"ord {kind}, at long, length int, hash long")
+
+
+def _hashed(names):
+    """Names with the hash that a stretch equal to them has."""
+
+    @F.pandas_udf("long")
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([next(stretch_hashes([x], [len(x)]))[3].view(np.int64)[0] for x in column], dtype="int64")
+
+    return names.withColumn("hash", run("name")).withColumn("length", F.length("name"))
+
+
 def name_hits(index, names):
     """(name, source) pairs where the name occurs in the source's head, without comparing all pairs.
 
-    Every place of the head where a name could begin yields the text from there on, as long as the
-    longest name. The names are counted first: few enough are broadcast, more join by shuffle.
+    A head yields one hash per place and name length. The names are counted first: the hashes of few enough
+    go to the heads, and only matches leave them; else all meet the names in a shuffle. What matches is
+    compared as text, so equal hashes of different texts do no harm.
     """
-    profile = names.agg(
-        F.count("*").alias("names"), F.max(F.length("name")).alias("longest"),
-        F.countDistinct(F.substring("name", 1, ANCHOR_CHARS)).alias("beginnings"),
-        F.collect_set(F.least(F.length("name"), F.lit(ANCHOR_CHARS))).alias("anchors"),
-        F.collect_set(F.substring("name", 1, 1)).alias("initials"),
-    ).first()
+    hashed = materialize(_hashed(names), "names")
+    profile = hashed.agg(F.count("*").alias("names"), F.collect_set("length").alias("lengths")).first()
     if not profile["names"]:
         return index.select(
             F.lit("").alias("name"), F.lit(False).alias("is_schema"), F.lit(False).alias("is_table"),
             *_ENTRY,
         ).limit(0)
-    beginnings = names.groupBy(F.substring("name", 1, ANCHOR_CHARS).alias("anchor")).agg(
-        F.collect_set(F.length("name")).alias("lengths")
-    )
-    if profile["beginnings"] <= BROADCAST_ROWS:
-        beginnings = F.broadcast(beginnings)
+    known = None
     if profile["names"] <= BROADCAST_ROWS:
-        names = F.broadcast(names)
-    initials = "".join(f"\\x{{{ord(char):x}}}" for char in sorted(profile["initials"]))
-    tail_at = rf"(?s)(?=([{initials}].{{0,{profile['longest'] - 1}}}))"
-    tails = spread(index).select(
-        *_ENTRY, F.explode(F.regexp_extract_all("haystack", F.lit(tail_at), 1)).alias("tail")
-    )
-    anchors = F.array(*[F.substring("tail", 1, size) for size in sorted(profile["anchors"])])
-    grams = tails.select("*", F.explode(anchors).alias("anchor"))
-    begun = grams.join(beginnings, "anchor").select(
-        *_ENTRY, "tail", F.explode("lengths").alias("length")
-    )
-    return (
-        begun.withColumn("name", F.substr("tail", F.lit(1), F.col("length")))
-        .join(names, "name")
-        .select("name", "is_schema", "is_table", *_ENTRY)
-        .dropDuplicates(["name", "ord"])
-    )
+        known = np.array(sorted(r[0] for r in hashed.select("hash").collect()), np.int64).view(np.uint64)
+        known.sort()
+        hashed = F.broadcast(hashed)
+    spots = _spots(index, sorted(profile["lengths"]), known).join(hashed, ["length", "hash"]).select(
+        "ord", "at", "length", "name", "is_schema", "is_table")
+    same = F.substr("haystack", (F.col("at") + 1).cast("int"), F.col("length")) == F.col("name")
+    return index.join(spots, "ord").filter(same).select("name", "is_schema", "is_table", *_ENTRY).dropDuplicates(["name", "ord"])
 
 
 def _running_before(window):

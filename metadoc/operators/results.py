@@ -70,23 +70,34 @@ def ordered_results(results):
     return results.orderBy(*OBJECT_KEYS)
 
 
+def newest(rows, keys, order):
+    """One whole row per key (null keys included): the last by ``order``, then by a hash of the row.
+
+    Keys, order and hash decide; the other columns, long texts for instance, meet the choice in a semi-join.
+    Of rows equal in every column one stays, so nothing depends on ids being unique or present.
+    """
+    named = rows.withColumn("_row", F.xxhash64(*rows.columns))
+    last = named.groupBy(*[F.col(name).alias(f"_{name}") for name in keys]).agg(
+        F.max(F.struct(*order, "_row")).alias("_last"))
+    same = F.col("_row") == F.col("_last")["_row"]
+    for name in keys:
+        same &= F.col(name).eqNullSafe(F.col(f"_{name}"))
+    for name in order:
+        same &= F.col(name).eqNullSafe(F.col("_last")[name])
+    return named.join(last, same, "left_semi").drop("_row").dropDuplicates(list(keys))
+
+
 def latest_executions(events):
     """Last state per execution out of appended state changes ``(…, seq)``; newest time, then seq."""
-    return events.groupBy("id_ejecucion").agg(
-        F.max_by(F.struct("fecha_ejecucion", "estado", "resultado"),
-                 F.struct("fecha_ejecucion", "seq")).alias("last")
-    ).select("id_ejecucion", "last.*")
+    return newest(events, ["id_ejecucion"], ["fecha_ejecucion", "seq"]).select(
+        "id_ejecucion", "fecha_ejecucion", "estado", "resultado")
 
 
 def latest_approved(results):
-    """The newest approved comment per object: found by dates and ids, the text joined by id."""
-    approved = results.filter(F.col("status") == fv.STATUS_APPROVED)
-    newest = approved.groupBy(*OBJECT_KEYS).agg(
-        F.max(F.struct("fecha_resultado", "id_resultado")).alias("last")
-    ).select("last.id_resultado")
-    return approved.join(newest, "id_resultado", "left_semi").select(
-        *OBJECT_KEYS, "id_resultado", "id_ejecucion", "fecha_resultado", "comentario"
-    )
+    """The newest approved comment per object, one whatever the ids: by date, id, then the row itself."""
+    approved = results.filter(F.col("status") == fv.STATUS_APPROVED).select(
+        *OBJECT_KEYS, "id_resultado", "id_ejecucion", "fecha_resultado", "comentario")
+    return newest(approved, OBJECT_KEYS, ["fecha_resultado", "id_resultado"])
 
 
 def one_per_key(changes, key, order_by=()):

@@ -2,6 +2,7 @@
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -47,6 +48,53 @@ def materialize(df, label):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark, path):
+    """File system and path object of ``path``, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def folders(spark, path, marker="_SUCCESS"):
+    """Names of the folders in ``path`` that hold ``marker``, as a finished write does; none without ``path``."""
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at):
+        return []
+    child = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)
+                  if s.isDirectory() and fs.exists(child(s.getPath(), marker)))
+
+
+def remove(spark, path):
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def reserve_number(spark, path, least=0):
+    """A number from ``least`` up that no other call with this ``path`` gets, in any application.
+
+    Each number is a file in the folder ``path``; who creates it owns it, and a failed run wastes its number.
+    The file system has to create files exclusively, as HDFS and local disks do.
+    """
+    fs, folder = _hadoop(spark, path)
+    fs.mkdirs(folder)
+    jvm = spark._jvm
+    while True:
+        taken = [int(name) for s in fs.listStatus(folder) if (name := s.getPath().getName()).isdigit()]
+        number = max([least - 1, *taken]) + 1
+        file = jvm.org.apache.hadoop.fs.Path(folder, str(number))
+        try:
+            if fs.getScheme() == "file":
+                # Hadoop's local file system looks first and creates then.
+                attributes = spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0)
+                jvm.java.nio.file.Files.createFile(jvm.java.io.File(file.toUri().getPath()).toPath(), attributes)
+            else:
+                fs.create(file, False).close()
+            return number
+        except Py4JJavaError as problem:
+            if "AlreadyExists" not in problem.java_exception.getClass().getName():
+                raise
+
+
 def append_each(spark, path, makers, failed, batch=32):
     """Append one small frame per maker to the table at ``path``, many frames per Spark job.
 

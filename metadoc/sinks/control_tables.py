@@ -1,14 +1,14 @@
 """The control tables: creation, appends and updates by rewriting the runs concerned.
 
 Built-in table formats have no keys, checks, identity columns or updates; the rules are the checks of
-``operators.quality``, ids come from ``operators.results.assign_ids``, and an update writes the new
+``operators.quality``, ids come from a number per append and ``operators.results.assign_ids``, and an update writes the new
 rows of the runs it touches to a shared table first and then replaces those partitions.
 """
 
 from pyspark.sql import functions as F
 
 from metadoc.operators.results import as_results, assign_ids, latest_executions, replace_by_key
-from metadoc.runtime import materialize
+from metadoc.runtime import materialize, reserve_number
 
 # --- fixed values: names and descriptions of the control tables -----------------------------
 
@@ -123,10 +123,29 @@ def _insert(rows, spark, table, overwrite=False):
     rows.select(*columns).write.insertInto(table, overwrite=overwrite)
 
 
-def append_results(spark, table, rows):
-    """Give the rows ids after the highest one in the table and append them in one write."""
-    highest = spark.table(table).agg(F.coalesce(F.max("id_resultado"), F.lit(0))).first()[0]
-    numbered = assign_ids(rows, "id_resultado", start=highest)
+#: Ids are run number times this, plus position: two appends never meet, however they interleave.
+IDS_PER_RUN = 1 << 32
+
+
+def table_location(spark, table):
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").select("data_type")
+    return rows.first()[0].rstrip("/")
+
+
+def reserve_ids(spark, table, key="id_resultado"):
+    """Where the ids of one append to ``table`` begin; no other append gets an id of this range.
+
+    The numbers of appends lie in a folder beside the table. The highest id in the table is asked for only
+    to stay above ids that were given before there was such a folder.
+    """
+    log = f"{table_location(spark, table)}-appends"
+    highest = spark.table(table).agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    return reserve_number(spark, log, highest // IDS_PER_RUN + 1 if highest else 0) * IDS_PER_RUN
+
+
+def append_results(spark, table, rows, start=None):
+    """Give the rows ids of a range of their own (see ``reserve_ids``) and append them in one write."""
+    numbered = assign_ids(rows, "id_resultado", start=reserve_ids(spark, table) if start is None else start)
     _insert(as_results(numbered), spark, table)
     return numbered
 

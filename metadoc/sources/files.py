@@ -140,10 +140,11 @@ def _shapes(spark, folder, separator, options, paths):
     lines = spark.read.options(**options).text(folder if paths is None else _escaped(paths)).select(
         "value", _decoded_path().alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # The first line of a record that spans lines leaves a quoted cell open, whatever quotes its cells hold.
+    opened = F.contains("value", F.lit('"')) & F.coalesce(_open(F.col("value"), separator), F.lit(False))
     files = lines.groupBy("path").agg(
         F.max(F.size(F.split("value", separator))).alias("widest"),
-        F.max(quotes % 2 == 1).alias("spanning"), F.min(F.is_valid_utf8("value")).alias("valid"))
+        F.max(opened).alias("spanning"), F.min(F.is_valid_utf8("value")).alias("valid"))
     # Only the first split of a file, a bounded part, is looked through for the header; a file with blank
     # lines only there is as wide as its widest line.
     heads = lines.filter(F.col("value").rlike(_NOT_BLANK) & (F.col("start") == 0)).groupBy("path").agg(
@@ -155,7 +156,7 @@ def _shapes(spark, folder, separator, options, paths):
     widths = {row["path"]: row["width"] for row in files}
     if unclosed := [row["path"] for row in files if row["open"]]:
         # The header itself spans lines.
-        whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(_escaped(unclosed))
+        whole = spark.read.text(_escaped(unclosed), wholetext=True, recursiveFileLookup=True)
         head = F.regexp_replace("value", _BLANK_LINES, "")
         wider = dict(map(tuple, whole.select(_decoded_path(), _cells_in(head, separator)).collect()))
         widths |= {path: max(widths[path], width) for path, width in wider.items()}

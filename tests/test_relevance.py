@@ -189,3 +189,25 @@ def test_no_pairwise_plan(spark, sf_dir):
     plan = relevance.rank_and_pack(found)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "TakeOrderedAndProject" in plan
+
+
+def test_names_are_found_wherever_they_lie(spark, monkeypatch):
+    rng = random.Random(8)
+    heads = ["".join(rng.choices("abñ日😀_", k=rng.randint(0, 60))) for _ in range(200)] + ["", "abc"]
+    names = ["a", "ab", "ñ日", "😀", "_ab_", "zz", "a" * 40, "".join(rng.choices("ab", k=5))]
+    index = spark.createDataFrame([(i, 1.0, 10, len(h), h) for i, h in enumerate(heads)],
+                                  "ord long, static double, header_len int, size int, haystack string")
+    frame = spark.createDataFrame([(n, True, False) for n in names], "name string, is_schema boolean, is_table boolean")
+    want = sorted((n, i) for i, h in enumerate(heads) for n in names if n in h)
+    for most, chars in ((200_000, 1 << 18), (0, 100)):
+        monkeypatch.setattr(relevance, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(relevance, "HASH_CHARS", chars)
+        assert sorted((r.name, r.ord) for r in relevance.name_hits(index, frame).collect()) == want
+    assert relevance.name_hits(index, frame.limit(0)).collect() == []
+
+
+def test_no_text_leaves_the_heads(spark):
+    """What the name search shuffles or explodes holds numbers only, until a hash has matched."""
+    index = spark.createDataFrame([(1, 1.0, 1, 1, "x")], "ord long, static double, header_len int, size int, haystack string")
+    spots = relevance._spots(index, [1, 2], None)
+    assert [kind for _, kind in spots.dtypes] == ["bigint", "bigint", "int", "bigint"]

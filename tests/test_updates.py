@@ -6,11 +6,14 @@ import pandas as pd
 
 from metadoc.operators.evaluation import metrics_long
 from metadoc.operators.responses import ask
-from metadoc.operators.results import conflicts, replace_by_key
+from metadoc.operators.results import conflicts, latest_approved, latest_executions, replace_by_key
 from metadoc.operators.review import apply_review
 from metadoc.schemas import RESULTS
 from metadoc.sources.tables import table_text
-from metadoc.streaming.audit_stream import current, result_stream, run_available, write_batches
+from metadoc.runtime import folders, reserve_number
+from metadoc.sinks.control_tables import RESULTS as RESULTS_TABLE
+from metadoc.sinks.control_tables import append_results, create_control_tables, reserve_ids
+from metadoc.streaming.audit_stream import current, merge_deltas, result_stream, run_available, write_batches
 
 
 def test_one_change_per_key(spark):
@@ -62,3 +65,72 @@ def test_metrics_keep_their_digits(spark):
     means = spark.createDataFrame([("m", 2, 1 / 3)], "model string, n_items long, quality double")
     found = {r.key: (r.value, r.number) for r in metrics_long(means, "e", {"a": 1}).collect()}
     assert found == {"a": ("1", None), "n_items": ("2", None), "quality": (None, 1 / 3)}
+
+
+def approved(spark, *rows):
+    at = lambda day: day and datetime.datetime(2024, 1, day)
+    return spark.createDataFrame(
+        [(i, "r", at(day), "c", "s", table, "col", text, "aprobado", None, None, None) for i, day, table, text in rows], RESULTS)
+
+
+def test_one_comment_per_object_whatever_the_ids(spark):
+    rows = approved(
+        spark, (1, 1, "a", "old"), (1, 2, "a", "new"), (1, 1, "b", "other object"), (None, 1, "d", "no id"), (None, 2, "d", "no id, newer"),
+        (7, None, "e", "no date"), (7, None, "e", "no date"), (8, 3, "f", "x"), (8, 3, "f", "y"), (9, 3, "f", "last"), (4, 5, None, "no table"), (3, 5, None, "less"))
+    found = [(r.nombre_tabla, r.comentario) for r in latest_approved(rows).collect()]
+    assert sorted(found, key=repr) == sorted([
+        ("a", "new"), ("b", "other object"), ("d", "no id, newer"), ("e", "no date"), ("f", "last"), (None, "no table")], key=repr)
+
+
+def test_latest_state_with_equal_and_missing_times(spark):
+    events = spark.createDataFrame(
+        [("a", None, "x", "1", 1), ("a", None, "y", "2", 2), ("b", None, "z", None, None), ("b", None, "z", None, None)],
+        "id_ejecucion string, fecha_ejecucion timestamp_ntz, estado string, resultado string, seq long")
+    assert sorted((r.id_ejecucion, r.estado) for r in latest_executions(events).collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_numbers_are_given_once(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda _: reserve_number(spark, str(folder / "numbers"), 5), range(40)))
+    assert sorted(found) == list(range(5, 45))
+
+
+def test_interleaved_appends_get_different_ids(spark):
+    schema = f"ids_{abs(hash(str(spark)))}"
+    create_control_tables(spark, "spark_catalog", schema)
+    table = f"{schema}.{RESULTS_TABLE}"
+    rows = approved(spark, *[(None, 1, "a", f"t{i}") for i in range(20)]).drop("id_resultado").repartition(3)
+    # Both runs have read the table before either writes.
+    first, second = reserve_ids(spark, table), reserve_ids(spark, table)
+    append_results(spark, table, rows, second)
+    append_results(spark, table, rows, first)
+    append_results(spark, table, rows)
+    ids = [r[0] for r in spark.table(table).select("id_resultado").collect()]
+    assert len(ids) == len(set(ids)) == 60 and min(ids) >= 1
+    spark.sql(f"DROP SCHEMA {schema} CASCADE")
+
+
+def test_deltas_are_merged_and_replays_change_nothing(spark, folder):
+    landing, out = str(folder / "landing"), str(folder / "out")
+    rows = lambda day, ids: approved(spark, *[(i, day, "a", f"v{day} {i}") for i in ids])
+    days = [(1, range(10)), (3, range(5)), (2, range(8)), (5, [9, 20]), (4, range(7, 12)), (None, [0, 30])]
+    for day, ids in days:
+        rows(day, ids).coalesce(1).write.mode("append").parquet(landing)
+        run_available(write_batches(result_stream(spark, landing, RESULTS), out, merge_at=2), str(folder / "first"))
+    want = {}
+    for day, ids in days:
+        for i in ids:
+            want[i] = max(want.get(i, (0, "")), (day or 0, f"v{day} {i}"))
+    state = lambda: {r.id_resultado: r.comentario for r in current(spark, out).collect()}
+    assert state() == {i: text for i, (_, text) in want.items()}
+    assert len(folders(spark, f"{out}/base", "covers")) <= 2 and len(folders(spark, f"{out}/delta")) <= 4
+    for name in ("again", "and-again"):
+        run_available(write_batches(result_stream(spark, landing, RESULTS, maxFilesPerTrigger=1), out, merge_at=3), str(folder / name))
+        assert state() == {i: text for i, (_, text) in want.items()}
+    # A base without its list of deltas was not finished.
+    rows(9, [1]).write.parquet(f"{out}/base/99/rows")
+    assert state() == {i: text for i, (_, text) in want.items()}
+    merge_deltas(spark, out)
+    assert state() == {i: text for i, (_, text) in want.items()}
