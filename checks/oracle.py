@@ -559,6 +559,28 @@ oracle("dq_length", ["v_results"], " UNION ALL ".join(
 oracle("dq_domain", ["v_results"], """
     SELECT CAST(id_resultado AS VARCHAR) AS row_key, 'status' AS column_name, status AS detail
     FROM v_results WHERE status NOT IN ('por revisar', 'aprobado', 'rechazado')""")
+
+
+def broken_rules(view, key, null, limits, domains):
+    """One SELECT per rule and column."""
+    parts = [f"SELECT CAST({key} AS VARCHAR) AS row_key, 'null' AS rule, '{c}' AS column_name, CAST(NULL AS VARCHAR) AS detail "
+             f"FROM {view} WHERE {c} IS NULL" for c in null]
+    parts += [f"SELECT CAST({key} AS VARCHAR), 'length', '{c}', CAST(length({c}) AS VARCHAR) FROM {view} WHERE length({c}) > {n}"
+              for c, n in limits.items()]
+    parts += [f"SELECT CAST({key} AS VARCHAR), 'domain', '{c}', {c} FROM {view} WHERE {c} NOT IN ({', '.join(map(text, values))})"
+              for c, values in domains.items()]
+    return " UNION ALL ".join(parts)
+
+
+oracle("dq_results", ["v_results"], broken_rules(
+    "v_results", "id_resultado", ["id_ejecucion", "status"], LIMITS, {"status": ["por revisar", "aprobado", "rechazado"]}))
+oracle("dq_executions", ["v_exec_raw"], broken_rules(
+    "v_exec_raw", "seq", ["id_ejecucion"], {"estado": 50, "resultado": 4000}, {}))
+oracle("dq_golden", ["v_golden_raw"], broken_rules(
+    "v_golden_raw", "object_id", ["object_id", "object_level"], {"object_level": 20, "domain": 255},
+    {"object_level": ["schema", "table", "column"]}))
+oracle("dq_golden_keys", ["v_golden_raw"], """
+    SELECT object_id, count(*) AS "rows" FROM v_golden_raw GROUP BY object_id HAVING count(*) > 1""")
 oracle("dq_unique", ["v_exec_events"], """
     SELECT id_ejecucion, count(*) AS "rows" FROM v_exec_events GROUP BY id_ejecucion
     HAVING count(*) > 1""")

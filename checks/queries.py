@@ -579,6 +579,26 @@ def dq_domain(spark, d):
     )
 
 
+@query
+def dq_results(spark, d):
+    return quality.rule_violations(view(spark, d, "v_results"), "results", "id_resultado")[0]
+
+
+@query
+def dq_executions(spark, d):
+    return quality.rule_violations(view(spark, d, "v_exec_raw"), "executions", "seq")[0]
+
+
+@query
+def dq_golden(spark, d):
+    return quality.rule_violations(view(spark, d, "v_golden_raw"), "golden", "object_id")[0]
+
+
+@query
+def dq_golden_keys(spark, d):
+    return quality.duplicate_keys(view(spark, d, "v_golden_raw"), ["object_id"])
+
+
 @query
 def dq_unique(spark, d):
     return quality.duplicate_keys(view(spark, d, "v_exec_events"), ["id_ejecucion"])

@@ -19,13 +19,15 @@ DIALECT = {
     "spark": {
         "t0": "TIMESTAMP_NTZ'2026-01-01 00:00:00'",
         "props_k": "get_json_object(props, '$.k')",
-        "plain_text": "regexp_replace(text, '[^A-Za-z0-9 ]', '')",
+        "json_text": "substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)",
+        "json_padded": "substring(to_json(named_struct('t', '  ' || text || ' ')), 6, length(to_json(named_struct('t', '  ' || text || ' '))) - 6)",
         "detail_rows": "explode(array(90, 92, 95, 96))",
     },
     "duckdb": {
         "t0": "TIMESTAMP '2026-01-01 00:00:00'",
         "props_k": "json_extract_string(props, '$.k')",
-        "plain_text": "regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')",
+        "json_text": "CAST(to_json(text) AS VARCHAR)",
+        "json_padded": "CAST(to_json('  ' || text || ' ') AS VARCHAR)",
         "detail_rows": "unnest([90, 92, 95, 96])",
     },
 }
@@ -160,11 +162,11 @@ VIEWS = {
         SELECT d.doc_id AS id_resultado,
                CASE d.doc_id % 14
                  WHEN 0 THEN '{"ok": true, "criterio": null, "detalles": null}'
-                 WHEN 1 THEN '{"ok": false, "criterio": "GRANULARIDAD", "detalles": "  ' || <plain_text> || ' "}'
+                 WHEN 1 THEN '{"ok": false, "criterio": "GRANULARIDAD", "detalles": ' || <json_padded> || '}'
                  WHEN 2 THEN '```json' || chr(10) || '{"ok": false, "criterio": "IDIOMA_O_ESTILO", "detalles": ""}' || chr(10) || '```'
-                 WHEN 3 THEN <plain_text> || ' {"ok": false, "criterio": "INFORMACION_FALTANTE", "detalles": "x"} fin'
-                 WHEN 4 THEN '{"ok": false, "criterio": "INVENTADO", "detalles": "' || <plain_text> || '"}'
-                 WHEN 5 THEN <plain_text>
+                 WHEN 3 THEN text || ' {"ok": false, "criterio": "INFORMACION_FALTANTE", "detalles": "x"} fin'
+                 WHEN 4 THEN '{"ok": false, "criterio": "INVENTADO", "detalles": ' || <json_text> || '}'
+                 WHEN 5 THEN text
                  WHEN 6 THEN '{"ok": "false", "criterio": "GRANULARIDAD"}'
                  WHEN 7 THEN ''
                  WHEN 8 THEN '{"ok": 0, "criterio": "FUERA_DE_CONTEXTO", "detalles": "cero"}'
@@ -179,10 +181,10 @@ VIEWS = {
         SELECT doc_id AS object_id,
                CASE doc_id % 8
                  WHEN 0 THEN '{"fuera_de_contexto": 1, "terminologia_incorrecta": 1.0, "granularidad": true, "idioma_o_estilo": "1", "informacion_faltante": 0}'
-                 WHEN 1 THEN <plain_text> || '{"fuera_de_contexto": 0, "terminologia_incorrecta": 1}' || chr(10)
+                 WHEN 1 THEN text || '{"fuera_de_contexto": 0, "terminologia_incorrecta": 1}' || chr(10)
                  WHEN 2 THEN '{"fuera_de_contexto": false, "granularidad": 2, "idioma_o_estilo": 1}'
-                 WHEN 3 THEN <plain_text>
-                 WHEN 4 THEN '{' || <plain_text> || '}'
+                 WHEN 3 THEN text
+                 WHEN 4 THEN '{' || text || '}'
                  WHEN 5 THEN '```json' || chr(10) || '{"granularidad": null,' || chr(10) || '"informacion_faltante": 1}' || chr(10) || '```'
                  WHEN 6 THEN NULL
                  ELSE '{"fuera_de_contexto": 1, "terminologia_incorrecta": 1, "granularidad": 1, "idioma_o_estilo": 1, "informacion_faltante": 1}' END AS judge_text
@@ -195,6 +197,18 @@ VIEWS = {
                text AS context_text, CASE WHEN quality = 1 THEN text END AS gold_comment,
                lang AS domain, coalesce(toxic, 0) = 1 AS is_sensitive
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    # An execution log and a golden set that break the rules of their tables here and there.
+    "v_exec_raw": """
+        SELECT event_id AS seq, CASE WHEN user_id % 37 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR(20)) END AS id_ejecucion,
+               CASE WHEN event_id % 53 = 0 THEN 'EN_PROCESO ' || repeat(event_type, 12) ELSE 'EN_PROCESO' END AS estado,
+               CASE WHEN event_id % 101 = 0 THEN repeat(props || '-', 600) ELSE props END AS resultado
+        FROM events""",
+    "v_golden_raw": """
+        SELECT CASE WHEN doc_id % 41 = 0 THEN NULL ELSE 'doc_' || CAST(doc_id AS VARCHAR(20)) END AS object_id,
+               CASE WHEN doc_id % 29 = 0 THEN 'vista' WHEN doc_id % 31 = 0 THEN 'columna de una vista ' || lang
+                    WHEN doc_id % 43 = 0 THEN NULL ELSE 'table' END AS object_level,
+               text AS context_text, CASE WHEN doc_id % 7 = 0 THEN text ELSE source END AS domain
+        FROM documents""",
     # Per-item metrics: the event types are the candidate models.
     "v_items": """
         SELECT event_type AS model, CAST(event_id AS VARCHAR(20)) AS object_id,

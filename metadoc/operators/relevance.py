@@ -197,13 +197,46 @@ def _unboosted_list(index, max_chars):
     return kept.agg(F.collect_list(F.struct(*_ENTRY)).alias("entries"))
 
 
+def _by_role(hits):
+    return (hits.filter("is_schema").select(F.col("name").alias("schema_key"), *_ENTRY),
+            hits.filter("is_table").select(F.col("name").alias("table_key"), "ord"))
+
+
+def pair_ways(hits, keys):
+    """(ord, way, rows): how to find the keys of which a source has both names, and the rows that this makes.
+
+    Its schema names can be matched with its table names (``both``), or the keys of its table names (``tables``)
+    or of its schema names (``schemas``) with the names of the other kind. Which is least differs from source
+    to source: one may hold many names, another a table name that every schema has.
+    """
+    schemas, tables = _by_role(hits)
+    of_schema = keys.groupBy("schema_key").agg(F.count("*").alias("n"))
+    of_table = keys.groupBy("table_key").agg(F.count("*").alias("n"))
+    left = schemas.join(of_schema, "schema_key").groupBy("ord").agg(F.sum("n").alias("schemas"), F.count("*").alias("s"))
+    right = tables.join(of_table, "table_key").groupBy("ord").agg(F.sum("n").alias("tables"), F.count("*").alias("t"))
+    rows = F.least(F.col("s") * F.col("t"), F.col("schemas"), F.col("tables"))
+    way = F.when(F.col("s") * F.col("t") == rows, "both").when(F.col("tables") == rows, "tables").otherwise("schemas")
+    return left.join(right, "ord").select("ord", way.alias("way"), rows.alias("rows"))
+
+
+def _pairs(hits, keys):
+    """(schema_key, table_key, entry) of every key whose two names lie in the head of one source."""
+    schemas, tables = _by_role(hits)
+    ways = materialize(pair_ways(hits, keys).select("ord", "way"), "pair-ways")
+    # Sources without a name of either kind end here.
+    here = lambda rows, way: rows.join(ways.filter(F.col("way") == way).select("ord"), "ord", "left_semi")
+    keys = keys.select(*_PAIR)
+    columns = [*_PAIR, *_ENTRY]
+    both = here(schemas, "both").join(tables, "ord").join(keys, _PAIR, "left_semi").select(*columns)
+    by_table = here(tables, "tables").join(keys, "table_key").join(schemas, ["ord", "schema_key"]).select(*columns)
+    by_schema = here(schemas, "schemas").join(keys, "schema_key").join(tables, ["ord", "table_key"], "left_semi").select(*columns)
+    return both.unionByName(by_table).unionByName(by_schema)
+
+
 def _boosted_lists(hits, keys, max_chars):
     """(first, second, entries): the lists of single names (second is '') and of name pairs."""
     single = hits.select(F.col("name").alias("first"), F.lit("").alias("second"), *_ENTRY)
-    # A head holds a bounded number of names, so pairing them within one source stays bounded.
-    schemas = hits.filter("is_schema").select(F.col("name").alias("schema_key"), *_ENTRY)
-    tables = hits.filter("is_table").select(F.col("name").alias("table_key"), "ord")
-    pairs = schemas.join(tables, "ord").join(keys, ["schema_key", "table_key"], "left_semi").select(
+    pairs = _pairs(hits, keys).select(
         F.col("schema_key").alias("first"), F.col("table_key").alias("second"), *_ENTRY
     )
     kept = fitting_head(single.unionByName(pairs), ["first", "second"], max_chars)

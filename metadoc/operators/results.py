@@ -76,7 +76,7 @@ def newest(rows, keys, order):
     Keys, order and hash decide; the other columns, long texts for instance, meet the choice in a semi-join.
     Of rows equal in every column one stays, so nothing depends on ids being unique or present.
     """
-    named = rows.withColumn("_row", F.xxhash64(*rows.columns))
+    named = rows.withColumn("_row", F.xxhash64(*rows.columns, *[F.col(name).isNull() for name in rows.columns]))
     last = named.groupBy(*[F.col(name).alias(f"_{name}") for name in keys]).agg(
         F.max(F.struct(*order, "_row")).alias("_last"))
     same = F.col("_row") == F.col("_last")["_row"]
@@ -136,19 +136,35 @@ def apply_verdicts(results, verdicts):
     return replace_by_key(results, verdicts, "id_resultado", _VERDICT)
 
 
+def _digest(names):
+    """128 bits of a row's values. Hashes pass over nulls, so which values are null is a value too."""
+    missing = [F.col(name).isNull() for name in names]
+    return F.struct(F.xxhash64(*names, *missing).alias("a"), F.xxhash64(F.lit(1), *missing, *names).alias("b"))
+
+
 def snapshot_changes(old, new, key="id_resultado"):
-    """Row changes between two snapshots: insert, update or delete, with the new or last values."""
+    """Row changes between two snapshots: insert, update or delete, with the new or last values.
+
+    Keys are compared by digests of their rows; only rows whose digests differ are fetched whole.
+    """
     values = [name for name in new.columns if name != key]
-    left = old.select(F.col(key), F.struct(*values).alias("old"))
-    right = new.select(F.col(key), F.struct(*values).alias("new"))
+    named = lambda rows: rows.select(key, *values, _digest(values).alias("_digest"))
+    left = old.select(F.col(key), _digest(values).alias("old"))
+    right = new.select(F.col(key), _digest(values).alias("new"))
     kind = (
         F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete")
-        .when(~F.col("old").eqNullSafe(F.col("new")), "update")
+        .when(F.col("old") != F.col("new"), "update")
     )
-    return (
+    changes = materialize(
         left.join(right, key, "full").withColumn("change", kind).filter(F.col("change").isNotNull())
-        .withColumn("row", F.coalesce("new", "old")).select(key, "change", "row.*")
-    )
+        .select(F.col(key).alias("_key"), "change", F.coalesce("new", "old").alias("_of")).distinct(), "changes")
+    deleted = F.col("change") == "delete"
+
+    def fetched(rows, which):
+        same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest.a") == F.col("_of.a")) & (F.col("_digest.b") == F.col("_of.b"))
+        return named(rows).join(changes.filter(which), same).select(key, "change", *values)
+
+    return fetched(new, ~deleted).unionByName(fetched(old, deleted))
 
 
 def with_execution(results, executions):

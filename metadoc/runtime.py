@@ -1,6 +1,8 @@
 """Session settings and the few helpers that touch the cluster: shared tables, checked broadcasts."""
 
 import uuid
+from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -95,6 +97,27 @@ def reserve_number(spark, path, least=0):
                 raise
 
 
+def in_order(rows, call, lane=None, lanes=16, waiting=64):
+    """``call(row)`` for each row, ``lanes`` at a time; results come in the order of the rows.
+
+    No more than ``waiting`` calls are begun ahead of the result that is asked for, so rows stream. Rows with
+    equal ``lane(row)`` are called one after another, in order. ``call`` should not raise.
+    """
+    pools = [ThreadPoolExecutor(1) for _ in range(lanes)]
+    begun = deque()
+    try:
+        for at, row in enumerate(rows):
+            pool = pools[(at if lane is None else hash(lane(row))) % lanes]
+            begun.append(pool.submit(call, row))
+            if len(begun) >= waiting:
+                yield begun.popleft().result()
+        while begun:
+            yield begun.popleft().result()
+    finally:
+        for pool in pools:
+            pool.shutdown(wait=True, cancel_futures=True)
+
+
 def append_each(spark, path, makers, failed, batch=32):
     """Append one small frame per maker to the table at ``path``, many frames per Spark job.
 

@@ -1,16 +1,18 @@
 """What the catalog says about schemas, tables and columns.
 
-Only the driver can ask the catalog, so the reading loops run there: they stream the names, hold one
-batch of answers at a time and append it to a shared table. Everything after that is a DataFrame.
+Only the driver can ask the catalog, so the reading loops run there: they stream the names, ask for
+several at a time, hold one batch of answers and append it to a shared table. Everything after that is a
+DataFrame.
 """
 
 import uuid
+from itertools import chain
 
 from pyspark.sql import functions as F
 
 from metadoc import schemas
 from metadoc.functions.text import or_empty, strip
-from metadoc.runtime import shared_dir
+from metadoc.runtime import in_order, shared_dir
 from metadoc.sources.scope import TARGET
 
 BATCH = 1_000
@@ -42,35 +44,30 @@ def _in_batches(rows, size=BATCH):
 def read_describe(spark, targets):
     """DESCRIBE rows of every readable table of ``targets``; unreadable tables give no rows."""
 
-    def rows():
-        for target in targets.select(*TARGET).toLocalIterator():
-            try:
-                found = spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(*target)}").collect()
-            except Exception:  # not found or not allowed: reported by missing_tables
-                continue
-            for pos, row in enumerate(found):
-                yield (*target, pos, row["col_name"], row["data_type"])
+    def ask(target):
+        try:
+            found = spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(*target)}").collect()
+        except Exception:  # not found or not allowed: reported by missing_tables
+            return []
+        return [(*target, pos, row["col_name"], row["data_type"]) for pos, row in enumerate(found)]
 
-    return _append_batches(spark, _in_batches(rows()), schemas.DESCRIBE_ROWS, "describe")
+    rows = chain.from_iterable(in_order(targets.select(*TARGET).toLocalIterator(), ask))
+    return _append_batches(spark, _in_batches(rows), schemas.DESCRIBE_ROWS, "describe")
 
 
 def read_schema_comments(spark, schema_names):
     """Current comment of every schema, '' when it has none or cannot be read."""
     schema = "catalog_name string, schema_name string, schema_comment string"
 
-    def rows():
-        for target in schema_names.select(*TARGET[:2]).toLocalIterator():
-            comment = ""
-            try:
-                for row in spark.sql(f"DESCRIBE SCHEMA EXTENDED {_quoted(*target)}").collect():
-                    if (row[0] or "").strip() == "Comment":
-                        comment = (row[1] or "").strip()
-                        break
-            except Exception:
-                comment = ""
-            yield (*target, comment)
-
-    return _append_batches(spark, _in_batches(rows()), schema, "schema-comments")
+    def ask(target):
+        try:
+            found = spark.sql(f"DESCRIBE SCHEMA EXTENDED {_quoted(*target)}").collect()
+        except Exception:
+            found = []
+        return (*target, next(((row[1] or "").strip() for row in found if (row[0] or "").strip() == "Comment"), ""))
+
+    rows = in_order(schema_names.select(*TARGET[:2]).toLocalIterator(), ask)
+    return _append_batches(spark, _in_batches(rows), schema, "schema-comments")
 
 
 def described_columns(rows):

@@ -211,3 +211,22 @@ def test_no_text_leaves_the_heads(spark):
     index = spark.createDataFrame([(1, 1.0, 1, 1, "x")], "ord long, static double, header_len int, size int, haystack string")
     spots = relevance._spots(index, [1, 2], None)
     assert [kind for _, kind in spots.dtypes] == ["bigint", "bigint", "int", "bigint"]
+
+
+def test_pairs_take_the_shortest_way(spark):
+    """A source with many names, a table name that every schema has, a schema with every table."""
+    keys = [(f"s{i}", "common") for i in range(200)] + [("big", f"t{i}") for i in range(200)] + [("s1", "t1"), ("s2", "")]
+    heads = {1: ["s1", "common", "t1"], 2: [f"s{i}" for i in range(60)] + [f"t{i}" for i in range(60)], 3: ["big", "t5", "t6", "s9"],
+             4: ["common"], 5: ["big", *(f"t{i}" for i in range(0, 300, 2))], 6: [*(f"s{i}" for i in range(150)), "common", "t1"]}
+    schemas, tables = {s for s, _ in keys}, {t for _, t in keys if t}
+    hits = spark.createDataFrame(
+        [(n, n in schemas, n in tables, o, 1.0, 10, 20) for o, names in heads.items() for n in names if n in schemas or n in tables],
+        "name string, is_schema boolean, is_table boolean, ord long, static double, header_len int, size int")
+    frame = spark.createDataFrame(keys, "schema_key string, table_key string")
+    found = relevance._pairs(hits, frame).collect()
+    want = sorted((s, t, o) for o, names in heads.items() for s, t in keys if t and s in names and t in names)
+    assert sorted((r.schema_key, r.table_key, r.ord) for r in found) == want
+    ways = {r.ord: (r.way, r.rows) for r in relevance.pair_ways(hits, frame).collect()}
+    all_pairs = sum(len([n for n in names if n in schemas]) * len([n for n in names if n in tables]) for names in heads.values())
+    assert {w for w, _ in ways.values()} == {"both", "tables", "schemas"} or len({w for w, _ in ways.values()}) >= 2
+    assert sum(n for _, n in ways.values()) < all_pairs / 4

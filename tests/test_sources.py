@@ -259,6 +259,18 @@ def test_blank_lines_before_the_header(spark, folder):
         "head.csv": "a, or\\na | b | c\n1 | 2 | 3", "tabs.tsv": "a | b | c\n1 | 2 | 3", "spans.tsv": "a | b | c\n1 | 2 | 3\\n4"}
 
 
+def test_headers_and_records_that_span_lines(spark, folder):
+    (folder / "a.csv").write_text('a,"b\nx",c\n1,2,"3\n4"\n')
+    (folder / "b.csv").write_text('a,b,"c\n\nd","e\nf"\n1\n')
+    # Every line of the record has an even number of quotes.
+    (folder / "c.csv").write_text('a,b,c\n5" x,"one\ntwo"" "" 6"" ",3\n7,8,9\n')
+    (folder / "d.tsv").write_text('a\t"b\nx"\tc\n1\t2\n')
+    got = as_dict(delimited_files(spark, str(folder), ".csv")) | as_dict(delimited_files(spark, str(folder), ".tsv"))
+    assert got == {
+        "a.csv": "a | b\\nx | c\n1 | 2 | 3\\n4", "b.csv": "a | b | c\\n\\nd | e\\nf\n1 | NULL | NULL | NULL",
+        "c.csv": 'a | b | c\n5" x | one\\ntwo" " 6"  | 3\n7 | 8 | 9', "d.tsv": "a | b\\nx | c\n1 | 2 | NULL"}
+
+
 def test_quotes_inside_unquoted_cells(spark, folder):
     (folder / "a.csv").write_text('5" a,6" b,c\n1,2,3\n')
     (folder / "b.csv").write_text('5" a,b,c\n1,2,3\n')

@@ -6,11 +6,12 @@ import pandas as pd
 
 from metadoc.operators.evaluation import metrics_long
 from metadoc.operators.responses import ask
-from metadoc.operators.results import conflicts, latest_approved, latest_executions, replace_by_key
+from metadoc.operators.quality import rule_violations
+from metadoc.operators.results import conflicts, latest_approved, latest_executions, replace_by_key, snapshot_changes
 from metadoc.operators.review import apply_review
 from metadoc.schemas import RESULTS
 from metadoc.sources.tables import table_text
-from metadoc.runtime import folders, reserve_number
+from metadoc.runtime import folders, in_order, reserve_number
 from metadoc.sinks.control_tables import RESULTS as RESULTS_TABLE
 from metadoc.sinks.control_tables import append_results, create_control_tables, reserve_ids
 from metadoc.streaming.audit_stream import current, merge_deltas, result_stream, run_available, write_batches
@@ -134,3 +135,53 @@ def test_deltas_are_merged_and_replays_change_nothing(spark, folder):
     assert state() == {i: text for i, (_, text) in want.items()}
     merge_deltas(spark, out)
     assert state() == {i: text for i, (_, text) in want.items()}
+
+
+def test_totals_come_with_the_violations(spark):
+    rows = spark.createDataFrame(
+        [("a", "table", "x" * 300), (None, None, "d"), ("b", "vista", None), ("c", "y" * 30, "z" * 256)], "object_id string, object_level string, domain string")
+    found, totals = rule_violations(rows, "golden", "object_id")
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == sorted([
+        ("a", "length", "domain", "300"), (None, "null", "object_id", None), (None, "null", "object_level", None),
+        ("b", "domain", "object_level", "vista"), ("c", "domain", "object_level", "y" * 30), ("c", "length", "object_level", "30"),
+        ("c", "length", "domain", "256")], key=repr)
+    assert totals.get == {"rows": 4, "null": 2, "length": 3, "domain": 2}
+
+
+def test_changes_tell_which_values_are_null(spark):
+    kind = "id_resultado long, a string, b string"
+    old = spark.createDataFrame([(1, None, "x"), (2, "same", None), (3, "gone", None), (4, "", None), (None, "n", "n")], kind)
+    new = spark.createDataFrame([(1, "x", None), (2, "same", None), (4, None, ""), (5, "new", None)], kind)
+    found = sorted(map(tuple, snapshot_changes(old, new).collect()), key=repr)
+    assert found == sorted([(1, "update", "x", None), (4, "update", None, ""), (3, "delete", "gone", None), (5, "insert", "new", None),
+                            (None, "delete", "n", "n")], key=repr)
+
+
+def test_calls_run_side_by_side_and_answer_in_order():
+    import threading
+    import time
+
+    running, most, by_lane, lock = 0, 0, {}, threading.Lock()
+
+    def call(i):
+        nonlocal running, most
+        with lock:
+            running, most = running + 1, max(most, running + 1)
+            by_lane.setdefault(i % 5, []).append(i)
+        time.sleep(0.02)
+        with lock:
+            running -= 1
+        return i * i
+
+    began = time.time()
+    assert list(in_order(range(100), call, lanes=8)) == [i * i for i in range(100)]
+    assert time.time() - began < 100 * 0.02 / 2 and 1 < most <= 8
+    by_lane.clear()
+    assert list(in_order(iter(range(60)), call, lambda i: i % 5, lanes=8, waiting=10)) == [i * i for i in range(60)]
+    assert all(ids == sorted(ids) for ids in by_lane.values())
+    begun = []
+    stream = in_order(iter(range(1000)), lambda i: begun.append(i), lanes=4, waiting=10)
+    next(stream)
+    assert len(begun) <= 10
+    stream.close()
