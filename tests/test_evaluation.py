@@ -4,6 +4,7 @@ import itertools
 from difflib import SequenceMatcher
 from statistics import mean
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,19 +21,47 @@ GOLDEN = "object_id string, object_level string, context_text string, gold_comme
 RUNS = "model string, object_id string, run int, text string"
 
 
-def test_consistency_equals_plain_ratio(spark, sf_dir):
-    """The registered query against a plain loop over the whole table."""
+def run_groups(spark, sf_dir):
     groups = {}
     for row in view(spark, sf_dir, "v_runs").orderBy("run").collect():
         if row["text"] is not None:
             groups.setdefault((row["model"], row["object_id"]), []).append(row["text"])
-    got = {(r["model"], r["object_id"]): r["consistency"] for r in QUERIES["consistency"](spark, sf_dir).collect()}
+    return groups
+
+
+def test_consistency_equals_plain_ratio(spark, sf_dir):
+    """The exact ratio, an option, against a plain loop over the whole table."""
+    groups = run_groups(spark, sf_dir)
+    found = evaluation.consistency(view(spark, sf_dir, "v_runs")).collect()
+    got = {(r["model"], r["object_id"]): r["consistency"] for r in found}
     assert set(got) == set(groups)
     for key, texts in groups.items():
         ratios = [SequenceMatcher(None, texts[0], text).ratio() for text in texts[1:]]
         assert got[key] == pytest.approx(mean(ratios) if ratios else 1.0)
 
 
+def plain_distance(a, b):
+    """Edit distance in code points."""
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    left, right = codes(a), codes(b)
+    at = np.arange(len(right) + 1)
+    row = at.copy()
+    for n, c in enumerate(left, 1):
+        row = np.r_[n, np.minimum(row[1:] + 1, row[:-1] + (right != c))]
+        row = np.minimum.accumulate(row - at) + at
+    return int(row[-1])
+
+
+def test_registered_consistency_equals_plain_distances(spark, sf_dir):
+    """The registered query, on whole texts, against a plain loop over the whole table."""
+    groups = run_groups(spark, sf_dir)
+    got = {(r["model"], r["object_id"]): r["consistency"] for r in QUERIES["consistency_native"](spark, sf_dir).collect()}
+    assert set(got) == set(groups) and any(not t.isascii() for texts in groups.values() for t in texts)
+    for key, texts in groups.items():
+        ratios = [1 - plain_distance(texts[0], t) / n if (n := max(len(texts[0]), len(t))) else 1 for t in texts[1:]]
+        assert got[key] == pytest.approx(mean(ratios) if ratios else 1.0, abs=1e-6)
+
+
 @pytest.mark.parametrize("texts,expected", [
     (["a"], 1.0), (["abc", "abc", "abc"], 1.0), (["abc", "xyz"], 0.0), (["", ""], 1.0), (["", "a"], 0.0),
     ([None, "abc", "abd"], 2 / 3), (["ab", None], 1.0)])
