@@ -1,5 +1,6 @@
 """Tables as text."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -7,19 +8,46 @@ from metadoc import fixed_values as fv
 from metadoc.functions.text import cell, header_text, row_text
 
 
+def first_rows(table, columns, rows):
+    """The first ``rows`` rows of a stored table, with ``_file`` and ``_at``; None if it has no files with row numbers.
+
+    Files go by name. Only as many of the first files are opened as are needed, which their row counts, kept
+    in the footers, tell: a large table costs no more than a small one.
+    """
+    try:
+        placed = table.select(
+            *[F.col(f"`{name}`") for name in columns], F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return None
+    files, some = sorted(table.inputFiles()), 1
+    if not files:
+        return placed.limit(0)
+    # Without a host, paths are written with one slash or with three.
+    among = lambda n: F.col("_file").isin([x for f in files[:n] for x in (f, f.replace(":///", ":/"))])
+    while some < len(files) and placed.filter(among(some)).count() < rows:
+        some *= 4
+    return placed.filter(among(some) & (F.col("_at") < rows)).orderBy("_file", "_at").limit(rows)
+
+
 def table_text(table, columns=(), order_by=(), rows=fv.CONTEXT_TABLE_ROWS,
                width=fv.CONTEXT_CELL_CHARS):
     """One row ``content``: a header line and the first rows, or a fixed text for no rows.
 
-    Without ``order_by`` the rows are ordered by the shown columns, so that the text is repeatable. Columns
-    that have no order (maps and variants) go by their text.
+    Without ``order_by`` the rows of a stored table come by file and position (see ``first_rows``). Other
+    frames are ordered by the shown columns, so that the text is repeatable; columns that have no order
+    (maps and variants) go by their text.
     """
     shown = list(columns) or table.columns
     kinds = dict(table.dtypes)
-    order = [
-        F.to_json(F.col(f"`{name}`")) if kinds[name].startswith(("map<", "variant")) else F.col(f"`{name}`")
-        for name in (list(order_by) or shown)]
-    first = table.orderBy(*order).limit(rows).select(
+    if not order_by and (stored := first_rows(table, shown, rows)) is not None:
+        first, order = stored, [F.col("_file"), F.col("_at")]
+    else:
+        order = [
+            F.to_json(F.col(f"`{name}`")) if kinds[name].startswith(("map<", "variant")) else F.col(f"`{name}`")
+            for name in (list(order_by) or shown)]
+        first = table.orderBy(*order).limit(rows)
+    first = first.select(
         F.row_number().over(Window.orderBy(*order)).alias("nth"), row_text(shown, width).alias("line")
     )
     body = F.array_join(

@@ -3,15 +3,17 @@
 import io
 import random
 import zipfile
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
+from metadoc import fixed_values as fv
 from metadoc.sources.files import (
     docx_files, file_contents, missing_sheets, text_files, workbook_files, workbook_rows, delimited_files, _cells_in,
 )
 from metadoc.sources.manifests import manifest_entries
 from metadoc.sources.merge import load_sources, merged_sources
-from metadoc.sources.tables import table_text
+from metadoc.sources.tables import first_rows, table_text
 
 
 def plain_entries(text):
@@ -259,6 +261,26 @@ def test_blank_lines_before_the_header(spark, folder):
         "head.csv": "a, or\\na | b | c\n1 | 2 | 3", "tabs.tsv": "a | b | c\n1 | 2 | 3", "spans.tsv": "a | b | c\n1 | 2 | 3\\n4"}
 
 
+def test_first_rows_open_the_first_files_only(spark, folder):
+    path = str(folder / "a table")
+    for n in range(5):
+        spark.range(n * 100, n * 100 + 100, 1, 1).selectExpr("1000 - id AS k", "id % 3 AS v", "map('m', id) AS m").write.mode("append").parquet(path)
+    table = spark.read.parquet(path)
+    files = sorted(table.inputFiles())
+    first = [spark.read.parquet(unquote(f)).collect() for f in files]
+    for rows, opened in ((30, 1), (100, 1), (101, 4), (1000, 5)):
+        want = [f"{r.k} | {r.v}" for part in first for r in part][:rows]
+        assert table_text(table, ["k", "v"], rows=rows).first()[0].split("\n")[1:] == want
+        read = first_rows(table, ["k"], rows).select("_file").distinct().collect()
+        assert 1 <= len(read) <= opened
+    plan = first_rows(table, ["k", "v"], 30)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "m#" not in plan and "orderBy=[_file" in plan
+    assert table_text(spark.read.parquet(path).limit(3), ["k"]).first()[0].count("\n") == 3
+    assert first_rows(spark.range(3), ["id"], 2) is None
+    spark.range(0).write.parquet(str(folder / "empty"))
+    assert table_text(spark.read.parquet(str(folder / "empty"))).first()[0] == fv.EMPTY_TABLE_TEXT
+
+
 def test_headers_and_records_that_span_lines(spark, folder):
     (folder / "a.csv").write_text('a,"b\nx",c\n1,2,"3\n4"\n')
     (folder / "b.csv").write_text('a,b,"c\n\nd","e\nf"\n1\n')
