@@ -21,15 +21,15 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from metadoc.llm.shared import materialize
+from metadoc.llm.shared import materialize, small
 
 #: The strings that mark turns, and how a turn of each role begins and ends.
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
 OTHER = ("<<ROLE>>", "<</ROLE>>")
 _CONTROL = (re.compile(r"(<)(\\*)(/?s>|</?(?:SYS|ROLE)>>)"), re.compile(r"(\[)(\\*)(/?INST\])"))
 _ESCAPED = (re.compile(r"(<)\\(\\*)(/?s>|</?(?:SYS|ROLE)>>)"), re.compile(r"(\[)\\(\\*)(/?INST\])"))
-#: Readers look nodes up by stretches of the sequence of so many tokens.
-STRETCH = 1 << 16
+#: A node that more conversations read than this is dealt out in copies, one per so many of them.
+READERS = 1 << 12
 
 
 def escape(text):
@@ -126,26 +126,27 @@ def _ordered(paths):
 
 
 def _attention(paths):
-    """``(node, position, ancestors)`` of owned nodes; ``paths`` has ``(conv, seq, node, owner, start, n)``."""
+    """``(node, position, ancestors)`` of owned nodes; ``paths`` has ``(conv, seq, node, owner, nth, start, n_tokens)``."""
 
     def walk(batches):
         conv, position, spans = None, 0, []
         for pdf in batches:
             out = []
-            for c, node, o, start, n in zip(pdf["conv"], pdf["node"], pdf["owner"], pdf["start"], pdf["n_tokens"]):
+            for c, node, o, nth, start, n in zip(
+                    pdf["conv"], pdf["node"], pdf["owner"], pdf["nth"], pdf["start"], pdf["n_tokens"]):
                 if c != conv:
                     conv, position, spans = c, 0, []
                 if o == c:
-                    out.append((node, position, [{"start": a, "end": b} for a, b in spans]))
+                    out.append((node, position, [dict(zip(("start", "end", "first", "last"), s)) for s in spans]))
                 position += n
                 if spans and spans[-1][1] == start:
-                    spans[-1] = (spans[-1][0], start + n)
+                    spans[-1] = (spans[-1][0], start + n, spans[-1][2], nth)
                 else:
-                    spans.append((start, start + n))
+                    spans.append((start, start + n, nth, nth))
             yield pd.DataFrame(out, columns=["node", "position", "ancestors"])
 
     return paths.repartition("conv").sortWithinPartitions("conv", "seq").mapInPandas(
-        walk, "node binary, position long, ancestors array<struct<start:long,end:long>>")
+        walk, "node binary, position long, ancestors array<struct<start:long,end:long,first:long,last:long>>")
 
 
 def _coded(rows, path, pattern):
@@ -170,10 +171,11 @@ def _coded(rows, path, pattern):
 def forest(df, vocabulary, pattern, conv="conv_id", turn="turn", role="role", text="text"):
     """The nodes of all conversations, and the node each conversation ends with.
 
-    Nodes: ``(tree, node, parent, depth, role, start, n_tokens, position, ancestors, loss_start, loss_end,
-    ids)``; ``start`` counts tokens along the whole sequence, the loss is on tokens ``loss_start`` to
-    ``loss_end`` of the node (an assistant's text), ``ids`` are little-endian 32-bit integers. Ends:
-    ``(conv_id, node)``. Turns go by ``turn``, equal ones by role and text; null roles and texts are empty;
+    Nodes: ``(tree, node, parent, depth, role, nth, start, n_tokens, position, ancestors, loss_start,
+    loss_end, ids)``; ``nth`` counts nodes and ``start`` tokens along the whole sequence, an interval of
+    ``ancestors`` has the tokens ``start`` to before ``end``, which are those of the nodes ``first`` to
+    ``last``; the loss is on tokens ``loss_start`` to ``loss_end`` of the node (an assistant's text),
+    ``ids`` are little-endian 32-bit integers. Ends: ``(conv_id, node)``. Turns go by ``turn``, equal ones by role and text; null roles and texts are empty;
     rows without a conversation form one. Other columns are not looked at; no rows give no rows.
     ``vocabulary`` is a file of byte-level ranks at the same place on all executors.
     """
@@ -185,11 +187,16 @@ def forest(df, vocabulary, pattern, conv="conv_id", turn="turn", role="role", te
     rows = content.join(_ordered(paths), "node").repartitionByRange("order").sortWithinPartitions("order")
     coded = materialize(_coded(rows, vocabulary, pattern).withColumn("part", F.spark_partition_id()), "nodes")
     # Places along the sequence: sums within the parts of the sort, behind the sums of the parts before.
-    parts = coded.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    ahead = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("order")) - F.col("n_tokens")
-    places = coded.select("node", "n_tokens", "part", within.alias("within")).join(F.broadcast(ahead), "part").select(
-        "node", "n_tokens", (F.col("ahead") + F.col("within")).alias("start"))
+    parts = coded.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("nodes"))
+    before = Window.orderBy("part")
+    ahead = parts.select(
+        "part", (F.sum("n").over(before) - F.col("n")).alias("ahead"), (F.sum("nodes").over(before) - F.col("nodes")).alias("nodes"))
+    inside = Window.partitionBy("part").orderBy("order")
+    places = coded.select(
+        "node", "n_tokens", "part", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("within"),
+        F.row_number().over(inside).alias("row")).join(F.broadcast(ahead), "part").select(
+            "node", "n_tokens", (F.col("ahead") + F.col("within")).alias("start"),
+            (F.col("nodes") + F.col("row") - 1).alias("nth"))
     places = materialize(places, "places")
     seen = _attention(paths.join(places, "node"))
     nodes = coded.drop("part", "order", "n_tokens").join(places, "node").join(seen, "node")
@@ -199,18 +206,41 @@ def forest(df, vocabulary, pattern, conv="conv_id", turn="turn", role="role", te
     return materialize(nodes, "forest"), materialize(ends.join(names, "conv").select("conv_id", "node"), "ends")
 
 
+def _wanted(nodes, ends):
+    """``(tip, nth)``: the nodes that make up each conversation, by their places; one row per turn read."""
+    own = F.struct(F.col("nth").alias("first"), F.col("nth").alias("last"))
+    spans = F.transform("ancestors", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    tips = ends.select("node").distinct().join(nodes.select("node", "nth", "ancestors"), "node")
+    return tips.select(F.col("node").alias("tip"), F.explode(F.concat(spans, F.array(own))).alias("span")).select(
+        "tip", F.explode(F.sequence("span.first", "span.last")).alias("nth"))
+
+
+def _read(nodes, ends, readers=READERS):
+    """``(tip, nth, ids, loss_start, loss_end)``: as many rows as ``_wanted`` has.
+
+    Places are dense, so nodes are found by equality. A node that over ``readers`` conversations share, such
+    as a common first turn, is stored in as many copies as keep each below that, and its readers are dealt
+    out to the copies.
+    """
+    wanted = materialize(_wanted(nodes, ends), "turns-to-read")
+    shared = wanted.groupBy("nth").agg(F.count("*").alias("n")).filter(F.col("n") > readers).select(
+        F.col("nth").alias("hot"), F.ceil(F.col("n") / readers).cast("int").alias("copies"))
+    shared = materialize(shared, "shared-turns")
+    dealt = wanted.join(small(shared), F.col("nth") == F.col("hot"), "left").select(
+        "tip", "nth", F.coalesce(F.pmod(F.xxhash64("tip"), F.col("copies")).cast("int"), F.lit(0)).alias("copy"))
+    stored = nodes.select("nth", "ids", "loss_start", "loss_end").join(small(shared), F.col("nth") == F.col("hot"), "left").select(
+        "nth", "ids", "loss_start", "loss_end",
+        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies") - 1, F.lit(0)))).alias("copy"))
+    return dealt.join(stored, ["nth", "copy"]).drop("copy")
+
+
 def read_back(nodes, ends, vocabulary, pattern):
     """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)`` from a forest.
 
     The tokens of a conversation are those of the intervals its last node attends to, in the order of
     the sequence, and the node's own. Conversations that end with the same node are read once.
     """
-    own = F.struct(F.col("start"), (F.col("start") + F.col("n_tokens")).alias("end"))
-    tips = ends.select("node").distinct().join(nodes.select("node", "start", "n_tokens", "ancestors"), "node").select(
-        F.col("node").alias("tip"), F.explode(F.concat("ancestors", F.array(own))).alias("span")).select(
-        "tip", "span.*", F.explode(F.expr(f"sequence(span.start div {STRETCH}, (span.end - 1) div {STRETCH})")).alias("stretch"))
-    stored = nodes.select(F.col("start").alias("at"), "ids", "loss_start", "loss_end", F.expr(f"start div {STRETCH}").alias("stretch"))
-    rows = tips.join(stored, "stretch").filter("at >= start and at < end").select("tip", "at", "ids", "loss_start", "loss_end")
+    rows = _read(nodes, ends)
 
     def digest(batches):
         tip, state = None, None
@@ -242,6 +272,6 @@ def read_back(nodes, ends, vocabulary, pattern):
         if tip is not None:
             yield pd.DataFrame([row()], columns=columns)
 
-    read = rows.repartition("tip").sortWithinPartitions("tip", "at").mapInPandas(
+    read = rows.repartition("tip").sortWithinPartitions("tip", "nth").mapInPandas(
         digest, "tip binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return ends.join(read, F.col("node") == F.col("tip")).drop("node", "tip")

@@ -134,6 +134,22 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN payload_bytes >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN payload_bytes >= 1000 AND page_id <> m THEN m END AS refers_to
 FROM k""",
+    "op5_chat": f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '{MARKED}'), (-1, 1, 'assistant', '{MARKED}')),
+e AS (
+    SELECT *, regexp_replace(regexp_replace(text, '(<)(\\\\*)(/?s>|</?(?:SYS|ROLE)>>)', '\\1\\\\\\2\\3', 'g'),
+        '(\\[)(\\\\*)(/?INST\\])', '\\1\\\\\\2\\3', 'g') AS escaped,
+        replace(replace(to_json(role)::VARCHAR, '<<ROLE>>', '<\\<ROLE>>'), '<</ROLE>>', '<\\</ROLE>>') AS named
+    FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(escaped) + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6
+        ELSE 18 + length(named) END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op9_url_filters": """
 WITH r(host, path, verdict) AS (VALUES """ + ", ".join(str(x) for x in RULES) + """),
 p AS (

@@ -150,3 +150,19 @@ def test_conversations_come_back(spark):
 def test_no_conversations(spark):
     nodes, ends = chat.forest(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), VOCABULARY, PATTERN)
     assert nodes.collect() == [] and chat.read_back(nodes, ends, VOCABULARY, PATTERN).collect() == []
+
+
+def test_reading_makes_a_row_per_turn_and_deals_shared_turns_out(spark):
+    rows = [(c, i, r, t) for c in range(300) for i, (r, t) in enumerate(
+        [("system", "the same for all"), ("user", f"question {c % 100}"), ("assistant", f"answer {c % 150}")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes, ends = chat.forest(df, VOCABULARY, PATTERN)
+    tips = ends.select("node").distinct().count()
+    assert chat._wanted(nodes, ends).count() == 3 * tips
+    for readers in (7, 1 << 12):
+        read = chat._read(nodes, ends, readers)
+        assert read.count() == 3 * tips == read.select("tip", "nth").distinct().count()
+    places = sorted(r.nth for r in nodes.select("nth").collect())
+    assert places == list(range(len(places)))
+    found = chat.read_back(nodes, ends, VOCABULARY, PATTERN)
+    assert found.count() == 300 and {r.n_turns for r in found.select("n_turns").distinct().collect()} == {3}
