@@ -89,6 +89,7 @@ QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_embeddings, op3_decontamination, op4_warc, op5_chat, op6_personal_data, op7_token_counts,
     op8_packing, op9_url_filters, op10_quality, op11_ranked_search, op12_mixing, op13_alignment)}
 
+_SPACELESS = "([" + "".join(f"\\p{{{name}}}" for name in decontamination.SPACELESS) + "])"
 
 SQL = {
     "op2_embeddings": """
@@ -108,23 +109,36 @@ SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(l
 FROM v LEFT JOIN degree d ON v.vec_id = d.a LEFT JOIN least l ON v.vec_id = l.a""",
     "op3_decontamination": f"""
 WITH d AS (
-    SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') IF x <> ''] AS t
+    SELECT doc_id, [x FOR x IN regexp_split_to_array(
+        regexp_replace(lower(coalesce(text, '')), '{_SPACELESS}', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+') IF x <> ''] AS t
     FROM documents),
 i AS (
-    SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') IF x <> ''] AS t
+    SELECT item_id, [x FOR x IN regexp_split_to_array(
+        regexp_replace(lower(coalesce(text, '')), '{_SPACELESS}', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+') IF x <> ''] AS t
     FROM benchmark),
 dt AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM d),
-it AS (SELECT item_id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) AS q FROM i WHERE len(t) >= {decontamination.LEAST_TOKENS}),
-same AS (SELECT doc_id, item_id, n, q, p - q AS shift FROM dt JOIN it USING (w)),
+it AS (
+    SELECT item_id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) AS q,
+        CASE WHEN len(t) >= {decontamination.WINDOW} THEN {decontamination.NEEDED}
+            WHEN len(t) >= {decontamination.TOLERANT} THEN len(t) - 1 ELSE len(t) END AS needed
+    FROM i WHERE len(t) >= {decontamination.LEAST_TOKENS}),
+same AS (SELECT doc_id, item_id, n, needed, q, p - q AS shift FROM dt JOIN it USING (w)),
 long AS (
-    SELECT doc_id, item_id, n, q, shift FROM same
-    QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= least(n, {decontamination.NEEDED})),
+    SELECT doc_id, item_id, n, needed, q, shift FROM same
+    QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= needed),
 ends AS (
-    SELECT doc_id, item_id, n, count(*) OVER (
+    SELECT doc_id, item_id, n, needed, count(*) OVER (
         PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN least(n, {decontamination.WINDOW}) - 1 PRECEDING AND CURRENT ROW) AS m
-    FROM long)
-SELECT doc_id, item_id, max(m)::BIGINT AS matched, max(n)::BIGINT AS item_tokens FROM ends
-WHERE m >= CASE WHEN n >= {decontamination.WINDOW} THEN {decontamination.NEEDED} ELSE n END GROUP BY doc_id, item_id""",
+    FROM long),
+lines AS (
+    SELECT doc_id, [x FOR x IN regexp_split_to_array(
+        regexp_replace(lower(line), '{_SPACELESS}', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+') IF x <> ''] AS t
+    FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM documents)),
+found AS (
+    SELECT doc_id, item_id, m, n FROM ends WHERE m >= needed
+    UNION ALL SELECT doc_id, item_id, len(i.t), len(i.t) FROM lines JOIN i USING (t)
+    WHERE len(i.t) BETWEEN 1 AND {decontamination.LEAST_TOKENS - 1})
+SELECT doc_id, item_id, max(m)::BIGINT AS matched, max(n)::BIGINT AS item_tokens FROM found GROUP BY doc_id, item_id""",
     "op4_warc": """
 WITH p AS (
     SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),

@@ -16,9 +16,17 @@ def table(spark, sf_dir, name):
 BROADCAST_ROWS = 200_000
 
 
-def small(df, rows=BROADCAST_ROWS):
-    """``df`` with a broadcast hint if it is counted to be small, else as it is (joined by shuffle)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Sides with arrays are broadcast only if these hold no more elements than this in all, some 40 MB of words.
+BROADCAST_ELEMENTS = 2_000_000
+
+
+def small(df, elements=None, rows=BROADCAST_ROWS):
+    """``df`` with a broadcast hint if it is counted to be small, else as it is (joined by shuffle).
+
+    ``elements`` is the number of array elements of a row, for rows that are not of one width.
+    """
+    counted = df.limit(rows + 1).agg(F.count("*"), F.sum(F.lit(0) if elements is None else elements)).first()
+    return F.broadcast(df) if counted[0] <= rows and (counted[1] or 0) <= BROADCAST_ELEMENTS else df
 
 
 def dealt(df, *keys):

@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -46,7 +46,58 @@ def test_overlaps(spark):
     both = {(d, i): (13, 40) for d in (1, 3, None, 11) for i in (1, None)} | {(2, i): (12, 40) for i in (1, None)}
     # With one token missing only twelve of a window can be equal.
     both |= {(4, i): (12, 40) for i in (1, None)}
-    assert found == both | {(8, 2): (5, 5)}
+    assert found == both | {(8, 2): (5, 5), (12, 3): (1, 1)}
+
+
+def test_short_seeds_fit_around_any_substitution():
+    for n in range(decontamination.TOLERANT, decontamination.WINDOW):
+        for changed in range(n):
+            assert any(all(at + o != changed for o in mask) for mask in decontamination.SHORT_MASKS for at in range(n - mask[-1]))
+
+
+def plain_tokens(text):
+    spaced = "".join(f" {c} " if "\u4e00" <= c <= "\u9fff" or "\u3040" <= c <= "\u30ff" else c for c in (text or "").lower())
+    return re.findall(r"[^\W_]+", spaced)
+
+
+def plain_overlaps(docs, items):
+    """All alignments of all documents with all items."""
+    out = {}
+    for (doc, text), (item, asked) in product(docs, items):
+        t, want = plain_tokens(text), plain_tokens(asked)
+        n, best = len(want), 0
+        if 0 < n < 5:
+            best = n if any(plain_tokens(line) == want for line in re.split(r"[\r\n]+", text or "")) else 0
+        elif n:
+            for shift in range(-n, len(t) + 1):
+                equal = [0 <= shift + i < len(t) and t[shift + i] == want[i] for i in range(n)]
+                best = max(best, max(sum(equal[s:s + 13]) for s in range(max(1, n - 12))))
+        if best and best >= (11 if n >= 13 else n - 1 if n >= 8 else n):
+            out[doc, item] = (max(best, out.get((doc, item), (0,))[0]), n)
+    return out
+
+
+def test_items_of_any_length_equal_plain_search(spark):
+    rnd = random.Random(5)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 20)]
+    items += [(30, "今日は天気がいいので散歩に行く"), (31, "犬が好き"), (32, "... !"), (33, None)]
+    docs = []
+    for n, text in items:
+        words = plain_tokens(text)
+        for changed in range(4):
+            for place in range(6):
+                some = list(words)
+                for at in rnd.sample(range(len(some)), min(changed, len(some))):
+                    some[at] = "zz"
+                if changed and place == 5:
+                    some = some[rnd.randint(0, 1):]
+                ahead, behind = ([f"n{rnd.randint(0, 99)}" for _ in range(rnd.choice([0, 0, 3, 30]))] for _ in range(2))
+                glue = rnd.choice([" ", "\n", "\r\n"])
+                docs.append((len(docs), glue.join([" ".join(ahead), " ".join(some), " ".join(behind)])))
+    docs += [(len(docs), "前置き。今日は天気がよいので散歩に行く。"), (len(docs) + 1, "x " * 200000 + items[8][1] + " y" * 1000), (len(docs) + 2, None)]
+    found = decontamination.overlaps(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.matched, r.item_tokens) for r in found.collect()} == plain_overlaps(docs, items)
 
 
 def test_no_items_and_no_documents(spark):
