@@ -258,7 +258,7 @@ def personal_data(df, id_col="doc_id", text_col="text", rounds=None, confidence=
     added = fresh.groupBy(F.col("doc_id").alias("added_id"), F.col("name").alias("added_name")).agg(
         F.collect_set(F.struct("start", number.alias("n"), "kind", "end", "value")).alias("added"))
     added = materialize(added, "added-spans")
-    return based.join(small(added), F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("name") == F.col("added_name")), "left").select(
+    return based.join(small(added, 10 * F.size("added")), F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("name") == F.col("added_name")), "left").select(
         "doc_id", "text", "base",
         F.when(F.col("added").isNull(), F.col("base")).otherwise(
             F.array_sort(F.array_union("base", "added"))).alias("spans"), "row")
