@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metadoc.llm.shared import materialize
@@ -169,6 +170,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights["c"] + self.weights["c0"], -30, 30)))
 
 
+def gradients(k, x, sizes, y, weight, decay):
+    """The weighted cross-entropy of bags under the weights ``k``, and its gradients with their decay.
+
+    ``x`` has the scaled features of all passages, bag after bag; ``sizes`` the passages of each bag.
+    """
+    start = np.cumsum(sizes) - sizes
+    h = np.tanh(x @ k["w1"] + k["b1"])
+    t, s = np.tanh(h @ k["v"]), 1 / (1 + np.exp(-np.clip(h @ k["u"], -30, 30)))
+    e = (t * s) @ k["w"]
+    e = np.exp(e - np.repeat(np.maximum.reduceat(e, start), sizes))
+    a = e / np.repeat(np.add.reduceat(e, start), sizes)
+    z = np.add.reduceat(a[:, None] * h, start, axis=0)
+    p = 1 / (1 + np.exp(-np.clip(z @ k["c"] + k["c0"], -30, 30)))
+    loss = -(weight * np.log(np.where(y == 1, p, 1 - p))).sum() / len(y)
+    d_out = (p - y) * weight / len(y)
+    d_z = np.repeat(d_out[:, None] * k["c"], sizes, axis=0)
+    d_a = (d_z * h).sum(axis=1)
+    d_e = a * (d_a - np.repeat(np.add.reduceat(a * d_a, start), sizes))
+    d_gate = d_e[:, None] * k["w"]
+    d_t, d_s = d_gate * s * (1 - t * t), d_gate * t * s * (1 - s)
+    d_h = a[:, None] * d_z + d_t @ k["v"].T + d_s @ k["u"].T
+    d_pre = d_h * (1 - h * h)
+    found = {
+        "w1": x.T @ d_pre, "b1": d_pre.sum(axis=0), "v": h.T @ d_t, "u": h.T @ d_s,
+        "w": (t * s).T @ d_e, "c": z.T @ d_out, "c0": np.array([d_out.sum()]),
+    }
+    return loss, {n: g + decay * k[n] for n, g in found.items()}
+
+
 def train(bags, labels, hidden=16, attention=8, steps=600, batch=512, rate=0.01, decay=1e-4, seed=7):
     """Fits a model to bags of passage features by Adam; the gradients are written out."""
     rng = np.random.default_rng(seed)
@@ -187,32 +217,12 @@ def train(bags, labels, hidden=16, attention=8, steps=600, batch=512, rate=0.01,
             pick = rng.integers(0, len(bags), batch)
             sizes = np.array([len(bags[i]) for i in pick])
             x = (np.concatenate([bags[i] for i in pick]) - mean) / scale
-            start = np.cumsum(sizes) - sizes
-            h = np.tanh(x @ k["w1"] + k["b1"])
-            t, s = np.tanh(h @ k["v"]), 1 / (1 + np.exp(-np.clip(h @ k["u"], -30, 30)))
-            e = (t * s) @ k["w"]
-            e = np.exp(e - np.repeat(np.maximum.reduceat(e, start), sizes))
-            a = e / np.repeat(np.add.reduceat(e, start), sizes)
-            z = np.add.reduceat(a[:, None] * h, start, axis=0)
-            p = 1 / (1 + np.exp(-np.clip(z @ k["c"] + k["c0"], -30, 30)))
-            d_out = (p - y[pick]) * weight[pick] / batch
-            d_z = np.repeat(d_out[:, None] * k["c"], sizes, axis=0)
-            d_a = (d_z * h).sum(axis=1)
-            d_e = a * (d_a - np.repeat(np.add.reduceat(a * d_a, start), sizes))
-            d_gate = d_e[:, None] * k["w"]
-            d_t, d_s = d_gate * s * (1 - t * t), d_gate * t * s * (1 - s)
-            d_h = a[:, None] * d_z + d_t @ k["v"].T + d_s @ k["u"].T
-            d_pre = d_h * (1 - h * h)
-            grads = {
-                "w1": x.T @ d_pre, "b1": d_pre.sum(axis=0), "v": h.T @ d_t, "u": h.T @ d_s,
-                "w": (t * s).T @ d_e, "c": z.T @ d_out, "c0": np.array([d_out.sum()]),
-            }
+            grads = gradients(k, x, sizes, y[pick], weight[pick], decay)[1]
             for n, g in grads.items():
-                g = g + decay * k[n]
                 one[n] = 0.9 * one[n] + 0.1 * g
                 two[n] = 0.999 * two[n] + 0.001 * g * g
                 k[n] = k[n] - rate * (one[n] / (1 - 0.9**step)) / (np.sqrt(two[n] / (1 - 0.999**step)) + 1e-8)
-        # Undo the weighting of the classes: a score is then the chance of label 1.
+    # Undo the weighting of the classes: a score is then the chance of label 1.
         k["c0"] = k["c0"] + np.log(y.mean() / (1 - y.mean()))
     elif len(bags):
         k["c"], k["c0"] = np.zeros(hidden), np.array([4.0 if y.mean() == 1 else -4.0])
@@ -229,12 +239,14 @@ def _data(text_col):
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
 
-def fit(df, labels, id_col="doc_id", text_col="text", label_col="quality", sample=6000, passages=48):
+def fit(df, labels, id_col="doc_id", text_col="text", label_col="quality", sample=6000, passages=200_000):
     """A model of ``label_col`` (0 or 1), from at most ``sample`` labelled rows that are not held out.
 
-    The sample is the rows whose ids have the smallest hashes; each gives up to ``passages`` passages,
-    evenly spaced. Rows with contradicting labels, null labels or null ids are not used. Without any
-    label all scores are one half; with one kind of label only, all scores are the same.
+    The sample is the rows whose ids have the smallest hashes, as far as they have no more than ``passages``
+    passages together; rows are used with all their passages or not at all, and those with more than a
+    sixteenth of ``passages`` (800,000 words) are not. Rows with contradicting labels, null labels or null
+    ids are not used. Without any label all scores are one half; with one kind of label only, all scores
+    are the same.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id"))
@@ -248,26 +260,39 @@ def fit(df, labels, id_col="doc_id", text_col="text", label_col="quality", sampl
     near = known.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     chosen = materialize(near.orderBy(order).limit(sample).select("doc_id", "y"), "quality-sample")
     texts = df.select(F.col(id_col).alias("doc_id"), _data(text_col).alias("data")).join(F.broadcast(chosen), "doc_id")
+    longest = max(1, passages // 16)
 
     def features(batches):
         for pdf in batches:
             out = []
             for data in pdf["data"]:
-                bag = np.concatenate([encode(t)[0] for _, t in _slabs([data])])
-                keep = np.unique(np.linspace(0, len(bag) - 1, passages).round().astype(int))
-                out.append(bag[keep].astype("<f4").tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "y": pdf["y"], "bag": out})
+                bag, n = [], 0
+                for _, slab in _slabs([data]):
+                    bag.append(encode(slab)[0])
+                    n += len(bag[-1])
+                    if n > longest:
+                        break
+                out.append((n, np.concatenate(bag).astype("<f4").tobytes() if n <= longest else b""))
+            made = pd.DataFrame(out, columns=["n", "bag"])
+            yield pd.concat([pdf[["doc_id", "y"]].astype({"doc_id": str}).reset_index(drop=True), made], axis=1)
+
+    bags = materialize(texts.mapInPandas(features, "doc_id string, y int, n long, bag binary"), "quality-bags")
+    # Of repeated rows one bag counts. These are at most ``sample`` ids and numbers.
+    usable = bags.filter(F.col("n") <= longest).groupBy("doc_id").agg(F.max("n").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id"))
+    usable = usable.withColumn("upto", upto).filter(F.col("upto") <= passages).select("doc_id", "n")
+    rows = bags.join(F.broadcast(usable), ["doc_id", "n"]).drop("n")
 
-    rows = texts.mapInPandas(features, "doc_id string, y int, bag binary")
     # The sample is bounded: one task trains on it. (Not the driver, whose threads of linear algebra may
     # not survive the start of the JVM.)
     def run(batches):
         held = pd.concat([pd.DataFrame({"doc_id": [], "y": [], "bag": []}), *batches])
-        held = held.drop_duplicates("doc_id").sort_values("doc_id")
+        held = held.sort_values(["doc_id", "bag"]).drop_duplicates("doc_id")
         bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(float) for b in held["bag"]]
         yield pd.DataFrame({"model": [pickle.dumps(train(bags, held["y"].to_numpy(float)))]})
 
-    return pickle.loads(rows.repartition(1).mapInPandas(run, "model binary").first()["model"])
+    made = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], [])
 
 
 def scored(model, text_col="text"):

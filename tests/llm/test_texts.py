@@ -1,5 +1,6 @@
 """Decontamination, personal data, token counts, packing and quality."""
 
+import math
 import random
 import re
 import zlib
@@ -310,3 +311,55 @@ def test_quality_of_held_out_documents(spark, sf_dir):
     assert quality.score(rows.limit(0), model).collect() == []
     no_labels = quality.fit(rows, labels.limit(0))
     assert [r.score for r in quality.score(rows, no_labels).collect()] == [0.5] * 3
+
+
+def plain_score(k, x):
+    """The chance of label 1 of one bag, a passage at a time."""
+    codes = [np.tanh(row @ k["w1"] + k["b1"]) for row in x]
+    logits = [float((np.tanh(h @ k["v"]) / (1 + np.exp(-(h @ k["u"])))) @ k["w"]) for h in codes]
+    weights = [math.exp(v) for v in logits]
+    z = sum(w * h for w, h in zip(weights, codes)) / sum(weights)
+    return 1 / (1 + math.exp(-float(z @ k["c"] + k["c0"][0])))
+
+
+def some_weights(rnd, hidden=5, attention=3):
+    f = quality.FEATURES
+    shapes = {"w1": (f, hidden), "b1": hidden, "v": (hidden, attention), "u": (hidden, attention), "w": attention, "c": hidden, "c0": 1}
+    return {n: rnd.normal(0, 0.5, shape) for n, shape in shapes.items()}
+
+
+def test_score_equals_plain_attention():
+    rnd = np.random.default_rng(3)
+    model = quality.Model(rnd.normal(0, 1, quality.FEATURES), rnd.uniform(0.5, 2, quality.FEATURES), some_weights(rnd))
+    texts = [b"", b"one two", b"Some words, and 12 more. " * 40, b"a" * 500, "é ü 日本 ".encode() * 100]
+    want = [plain_score(model.weights, (quality.encode([t])[0] - model.mean) / model.scale) for t in texts]
+    assert np.allclose(model.scores(texts), want, atol=1e-9)
+
+
+def test_gradients_equal_differences():
+    rnd = np.random.default_rng(4)
+    k, sizes = some_weights(rnd), np.array([1, 4, 2, 7])
+    x = rnd.normal(0, 1, (sizes.sum(), quality.FEATURES))
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.7, 2.0, 0.7, 2.0])
+    loss, found = quality.gradients(k, x, sizes, y, weight, 0.0)
+    bags = np.split(x, np.cumsum(sizes)[:-1])
+    chances = [plain_score(k, bag) for bag in bags]
+    assert np.isclose(loss, -sum(w * math.log(p if t else 1 - p) for w, p, t in zip(weight, chances, y)) / 4)
+    for name, values in k.items():
+        for at in np.ndindex(values.shape):
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = {n: v.copy() for n, v in k.items()}
+                moved[name][at] += step
+                ends.append(quality.gradients(moved, x, sizes, y, weight, 0.0)[0])
+            assert np.isclose((ends[0] - ends[1]) / 2e-5, found[name][at], atol=1e-6), (name, at)
+
+
+def test_training_uses_whole_documents_within_its_bound(spark):
+    docs = [(i, ("good words here. " if i % 2 else "BUY!!! 99 ") * (40 * (1 + i % 7))) for i in range(60)] + [(60, "x " * 200000), (3, "other")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for passages in (200_000, 400, 1):
+        scores = quality.score(df, quality.fit(df, labels, passages=passages)).collect()
+        assert len(scores) == 62 and all(0 <= r.score <= 1 for r in scores)
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality.score(df, quality.fit(df, labels)).collect() if r.doc_id < 60 and r.doc_id != 3)
