@@ -381,6 +381,11 @@ oracle("responder_answers", ["v_golden"], """
            CAST(length(prompt) // 4 AS INTEGER) AS tokens_in,
            CASE WHEN length(prompt) % 11 = 0 THEN 'sin respuesta' END AS error FROM asked""",
        [EVALUATION])
+oracle("responder_settings", ["v_golden"], """
+    SELECT object_id, length(prompt) || ':300:0.0' AS text,
+           CAST(CASE WHEN length(prompt) % 7 > 0 THEN length(prompt) ELSE 0 END AS INTEGER) AS tokens_in,
+           CAST(CASE WHEN length(prompt) % 7 > 0 THEN 3 ELSE 0 END AS INTEGER) AS tokens_out, true AS timed FROM asked""",
+       [EVALUATION])
 
 # --- results ------------------------------------------------------------------------------------
 

@@ -386,6 +386,28 @@ def responder_answers(spark, d):
     return answers.select("object_id", "prompt_id", "text", "tokens_in", "error")
 
 
+@query
+def responder_settings(spark, d):
+    """The settings of a call as its responder sees them, tokens out of usage blocks, and latency by the engine."""
+
+    def describe(texts, settings):
+        import json
+
+        import pandas as pd
+
+        return pd.DataFrame({
+            "text": [f"{len(t)}:{settings['max_tokens']}:{settings['temperature']}" for t in texts],
+            "usage": [json.dumps({"prompt_tokens": len(t), "completion_tokens": 3}) if len(t) % 7 else None for t in texts],
+        })
+
+    def build(rows):
+        return rows.withColumn("prompt", prompts.evaluation_prompt(400))
+
+    answers = responses.ask(view(spark, d, "v_golden"), ["object_id"], build, describe, kind="judge")
+    return answers.select(
+        "object_id", "text", "tokens_in", "tokens_out", (F.col("latency_ms") >= 0).alias("timed"))
+
+
 # --- results ------------------------------------------------------------------------------------
 
 

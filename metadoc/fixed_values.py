@@ -87,6 +87,13 @@ GOLDEN_COLUMNS = (
     "object_id", "object_level", "context_text", "gold_comment", "domain", "is_sensitive",
 )
 
+# --- fixed values: texts of the execution log and of failed samples -------------------------------
+WAVE_TEXTS = {
+    "schema": "Procesando esquemas", "table": "Procesando tablas", "column": "Procesando columnas",
+}
+UNEXPECTED_TEXT = "Error inesperado: {}"
+SAMPLE_FAILED_TEXT = "(error al obtener muestra: {})"
+
 # Answer length in tokens and temperature a responder is meant to use, per kind of prompt; the
 # temperature of an evaluation is a parameter of the run.
 CALL_SETTINGS = {

@@ -29,7 +29,7 @@ def audit(spark, results, sources, responder, manifests, config=None, answers_pa
     def build(part):
         return with_context(part, packed).withColumn("prompt", audit_prompt(manifests))
 
-    answers = ask(rows, ["id_resultado"], build, responder, answers_path, concurrency)
+    answers = ask(rows, ["id_resultado"], build, responder, answers_path, concurrency, kind="audit")
     answers = answers.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
     claimed = claimed_verdicts(answers.select("id_resultado", "text"))
     return materialize(

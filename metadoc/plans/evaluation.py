@@ -39,7 +39,8 @@ def evaluate(spark, golden, config, responders, manifests, run_id="evaluation",
     def build(rows):
         return rows.withColumn("prompt", evaluation_prompt(config.max_comment_chars))
 
-    answers = ask(grid, key, build, responders, answers_path, concurrency, identity=["run"])
+    answers = ask(grid, key, build, responders, answers_path, concurrency, identity=["run"],
+                  temperature=config.temperature)
     comment = F.when(F.col("error").isNull(), strip(F.col("text")))
     answers = materialize(
         answers.select(*key, comment.alias("comment"), "latency_ms", "tokens_in", "tokens_out"),
@@ -54,7 +55,7 @@ def evaluate(spark, golden, config, responders, manifests, run_id="evaluation",
 
     judged = ask(
         generated.withColumnRenamed("model", "candidate"), ["candidate", "object_id"],
-        judge_build, responders[config.judge], answers_path, concurrency,
+        judge_build, responders[config.judge], answers_path, concurrency, kind="judge",
     ).select(F.col("candidate").alias("model"), "object_id",
              F.when(F.col("error").isNull(), F.col("text")).alias("judge_text"))
     stability = consistency(answers.filter("run >= 0").withColumnRenamed("comment", "text"))

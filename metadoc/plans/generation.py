@@ -58,7 +58,7 @@ def table_samples(spark, tables, pct, seed):
         return table_sample_text(source, pct, seed).select(*labels(names), "sample")
 
     def failed(names, problem):
-        text = f"(error al obtener muestra: {str(problem)[:100]})"
+        text = fv.SAMPLE_FAILED_TEXT.format(str(problem)[:100])
         return spark.range(1).select(*labels(names), F.lit(text).alias("sample"))
 
     wanted = tables.select(*TARGET).toLocalIterator()
@@ -104,17 +104,17 @@ def generate(spark, config, sources, responder, answers_path=None, concurrency=N
     samples = table_samples(spark, tables, config.sampling_pct, config.seed) if config.sampling else \
         spark.createDataFrame([], "catalog_name string, schema_name string, table_name string, sample string")
 
-    def wave(rows, key, build):
+    def wave(kind, rows, key, build):
         return split_answers(rows.join(
-            ask(rows, key, build, responder, answers_path, concurrency), key, "left"
+            ask(rows, key, build, responder, answers_path, concurrency, kind=kind), key, "left"
         ))
 
     def schema_build(rows):
         return with_context(rows, packed).withColumn("prompt", schema_prompt())
 
-    progress("Procesando esquemas")
+    progress(fv.WAVE_TEXTS["schema"])
     schema_rows = schemas.withColumn("table_name", F.lit(""))
-    good_schemas, bad_schemas = wave(schema_rows, list(SCHEMA_KEY), schema_build)
+    good_schemas, bad_schemas = wave("schema", schema_rows, list(SCHEMA_KEY), schema_build)
     generated = good_schemas.select(*SCHEMA_KEY, F.col("comentario").alias("generated_schema_comment"))
     schema_notes = materialize(
         existing.join(generated, list(SCHEMA_KEY), "left"), "schema-notes"
@@ -130,16 +130,16 @@ def generate(spark, config, sources, responder, answers_path=None, concurrency=N
         "schema_comment",
         effective_schema_comment(F.col("existing_schema_comment"), F.col("generated_schema_comment")),
     ).select(*TARGET, "schema_comment")
-    progress("Procesando tablas")
-    good_tables, bad_tables = wave(table_rows, list(TARGET), child_build(table_prompt()))
+    progress(fv.WAVE_TEXTS["table"])
+    good_tables, bad_tables = wave("table", table_rows, list(TARGET), child_build(table_prompt()))
     table_notes = materialize(
         good_tables.select(*TARGET, F.col("comentario").alias("generated_table_comment")), "table-notes"
     )
 
-    progress("Procesando columnas")
+    progress(fv.WAVE_TEXTS["column"])
     column_rows = child_context(columns, schema_notes, table_notes)
     column_key = [*TARGET, "column_name"]
-    good_columns, bad_columns = wave(column_rows, column_key, child_build(column_prompt()))
+    good_columns, bad_columns = wave("column", column_rows, column_key, child_build(column_prompt()))
 
     comments = (
         _rows(good_schemas, F.lit(fv.SCHEMA_SENTINEL), F.lit(fv.SCHEMA_SENTINEL))
@@ -197,6 +197,6 @@ def run(spark, config, sources, responder, events_table, results_table, answers_
         summary = done.summary.first()
         log(summary["estado"], summary["resultado"])
     except Exception as problem:
-        log(fv.RUN_FAILED, f"Error inesperado: {str(problem)[:500]}")
+        log(fv.RUN_FAILED, fv.UNEXPECTED_TEXT.format(str(problem)[:500]))
         raise
     return done

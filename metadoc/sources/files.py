@@ -286,8 +286,24 @@ def _date_text(serial, since_1904):
     return moment.strftime("%Y-%m-%d" if days == int(days) else "%Y-%m-%d %H:%M:%S")
 
 
+def _elements(stream, parent, tag):
+    """The ``tag`` elements below the ``parent`` one as they are read; each is dropped before the next comes."""
+    import xml.etree.ElementTree as xml
+
+    holder = None
+    for event, node in xml.iterparse(stream, ("start", "end")):
+        if event == "start" and node.tag == parent:
+            holder = node
+        elif event == "end" and node.tag == tag and holder is not None:
+            yield node
+            holder.clear()
+
+
 def xlsx_rows(content):
-    """(sheet_no, sheet, row_no, cells) of every row of a workbook; dates as ``2024-01-31 12:00:00``."""
+    """(sheet_no, sheet, row_no, cells) of every row of a workbook; dates as ``2024-01-31 12:00:00``.
+
+    Rows are read one after another. A sheet without any rows has one row without a number or cells.
+    """
     import io
     import re
     import xml.etree.ElementTree as xml
@@ -303,8 +319,8 @@ def xlsx_rows(content):
         parts = set(archive.namelist())
         shared = []
         if "xl/sharedStrings.xml" in parts:
-            shared = [texts(item) for item in
-                      xml.fromstring(archive.read("xl/sharedStrings.xml")).findall(main + "si")]
+            with archive.open("xl/sharedStrings.xml") as stream:
+                shared = [texts(item) for item in _elements(stream, main + "sst", main + "si")]
         dates = set()
         if "xl/styles.xml" in parts:
             dates = _date_styles(xml.fromstring(archive.read("xl/styles.xml")), main)
@@ -319,7 +335,8 @@ def xlsx_rows(content):
         for sheet_no, sheet in enumerate(sheets):
             target = targets[sheet.get(link)].lstrip("/")
             part = target if target.startswith("xl/") else "xl/" + target
-            for row_no, row in enumerate(xml.fromstring(archive.read(part)).iter(main + "row")):
+            seen = False
+            for row_no, row in enumerate(_elements(archive.open(part), main + "sheetData", main + "row")):
                 cells = []
                 for node in row.findall(main + "c"):
                     letters = re.match(r"[A-Z]+", node.get("r") or "")
@@ -340,7 +357,10 @@ def xlsx_rows(content):
                         value = _date_text(value, since_1904)
                     cells += [None] * (at - 1 - len(cells)) + [value]
                 if any(cell is not None for cell in cells):
+                    seen = True
                     yield sheet_no, sheet.get("name"), row_no, cells
+            if not seen:
+                yield sheet_no, sheet.get("name"), None, None
 
 
 def docx_files(spark, folder, paths=None):
@@ -373,7 +393,7 @@ def workbook_files(rows, entries):
     ``missing_sheets``.
     """
     broken = rows.filter(F.col("error").isNotNull()).select("name").distinct()
-    rows = rows.join(broken, "name", "left_anti")
+    rows = rows.filter("cells IS NOT NULL").join(broken, "name", "left_anti")
     hinted = entries.select("name", F.posexplode_outer("hint_tabs").alias("at", "sheet"))
     whole = hinted.filter(F.col("sheet").isNull()).select("name")
     single = rows.filter("sheet_no = 0").join(whole, "name", "left_semi")
@@ -396,18 +416,21 @@ def workbook_files(rows, entries):
 
 
 def missing_sheets(rows, entries):
-    """Hinted sheets that the workbook does not have."""
+    """``(name, sheet)``: hinted sheets that a readable workbook does not have."""
     hinted = entries.select("name", F.explode("hint_tabs").alias("sheet"))
-    return hinted.join(rows.select("name", "sheet").distinct(), ["name", "sheet"], "left_anti")
+    readable = rows.groupBy("name").agg(F.max("error").alias("error")).filter("error IS NULL").select("name")
+    return hinted.join(readable, "name", "left_semi").join(rows.select("name", "sheet").distinct(), ["name", "sheet"], "left_anti")
 
 
-def file_contents(spark, folder, entries):
-    """(name, content) of every file below ``folder`` that a manifest entry names; others stay unopened.
+def load_files(spark, folder, entries):
+    """The files below ``folder`` that a manifest entry names; others stay unopened.
 
-    ``entries`` holds ``(name, hint_tabs)``, one row per name.
+    ``entries`` holds ``(name, hint_tabs)``, one row per name. Returns ``(name, content)`` of every file,
+    and ``(name, sheet)`` of the hinted sheets that workbooks do not have.
     """
     paths = named_paths(spark, folder, entries)
     found = text_files(spark, folder, [p for ext in sorted(paths.keys() - OTHER_KINDS) for p in paths[ext]])
+    missing = spark.createDataFrame([], "name string, sheet string")
     for extension in sorted(paths.keys() & DELIMITERS.keys()):
         found = found.unionByName(delimited_files(spark, folder, extension, paths[extension]))
     if ".docx" in paths:
@@ -416,4 +439,10 @@ def file_contents(spark, folder, entries):
         # Its rows are used in several ways: each workbook is decoded once.
         rows = materialize(workbook_rows(spark, folder, paths[".xlsx"]), "workbook-rows")
         found = found.unionByName(workbook_files(rows, entries))
-    return found
+        missing = missing_sheets(rows, entries)
+    return found, missing
+
+
+def file_contents(spark, folder, entries):
+    """``(name, content)`` of every file below ``folder`` that a manifest entry names."""
+    return load_files(spark, folder, entries)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
 from metadoc.runtime import append_each, materialize, shared_dir
-from metadoc.sources.files import file_contents, named_texts
+from metadoc.sources.files import load_files, named_texts
 from metadoc.sources.manifests import manifest_entries
 from metadoc.sources.tables import table_text
 
@@ -72,7 +72,8 @@ def load_sources(spark, folder, manifests):
     """Sources of the given manifest files below ``folder``, and the entries that failed.
 
     A missing manifest counts as empty. Returns ``(sources, failed)``; ``failed`` has
-    ``(manifest, name, error)``.
+    ``(manifest, name, error)``, hinted sheets that a workbook does not have included: it is then read
+    without them.
     """
     texts = named_texts(spark, folder, manifests).withColumnRenamed("name", "manifest")
     entries = with_order(manifest_entries(texts), manifests)
@@ -80,7 +81,7 @@ def load_sources(spark, folder, manifests):
     files = entries.filter(F.col("kind") == fv.KIND_FILE)
     # With several hints for one workbook the last entry decides, as it does for the values.
     by_name = files.groupBy("name").agg(F.max_by("hint_tabs", "ord").alias("hint_tabs"))
-    file_texts = file_contents(spark, folder, by_name)
+    file_texts, missing = load_files(spark, folder, by_name)
     table_texts = table_contents(spark, entries.filter(F.col("kind") == fv.KIND_TABLE))
     loaded = files.join(file_texts, "name", "left").withColumn(
         "error", F.when(F.col("content").isNull(), "not found or not readable")
@@ -89,7 +90,9 @@ def load_sources(spark, folder, manifests):
         .join(table_texts, ["name", "hint_columns"], "left")
     )
     loaded = materialize(loaded, "sources")
-    failed = loaded.filter(F.col("error").isNotNull()).select("manifest", "name", "error")
+    failed = loaded.filter(F.col("error").isNotNull()).select("manifest", "name", "error").unionByName(
+        files.select("manifest", "name").distinct().join(missing, "name").select(
+            "manifest", "name", F.concat(F.lit("sheet not found: "), "sheet").alias("error")))
     merged = merged_sources(loaded.filter(F.col("error").isNull()).drop("error"))
     sources = merged.select(
         "ord", "name", "description", "content", F.length("content").alias("size"), "kind",

@@ -117,3 +117,29 @@ def test_judge_texts(spark, raw):
 def test_judge_duplicate_key_is_unreadable(spark):
     frame = spark.createDataFrame([('{"granularidad": 1, "granularidad": 1}',)], "judge_text string")
     assert sum(with_judge_flags(frame, judge_keys()).drop("judge_text").first()) == 0
+
+
+def test_responders_get_settings_and_may_leave_figures_out(spark):
+    import pandas as pd
+
+    from metadoc.operators.responses import ask, call_settings
+
+    def bare(texts):
+        return pd.DataFrame({"text": list(texts)})
+
+    def told(texts, settings):
+        if (texts == "bad").any():
+            raise RuntimeError("bad prompt")
+        return pd.DataFrame({
+            "text": [f"{t}/{settings['max_tokens']}/{settings['temperature']}" for t in texts], "latency_ms": [None if t == "b" else 5.0 for t in texts],
+            "tokens_in": [9 if t == "a" else None for t in texts], "usage": ['{"prompt_tokens": 4, "completion_tokens": 2}', "no json", None][:1] * len(texts)})
+
+    objects = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "bad"])], "id int, p string")
+    build = lambda rows: rows.withColumn("prompt", F.col("p"))
+    found = {r.id: r for r in ask(objects, ["id"], build, told, kind="evaluation", temperature=0.7).collect()}
+    assert found[0].text == "a/1024/0.7" and (found[0].latency_ms, found[0].tokens_in, found[0].tokens_out) == (5.0, 9, 2)
+    assert found[1].latency_ms >= 0 and (found[1].tokens_in, found[1].tokens_out) == (4, 2)
+    assert found[2].text is None and found[2].error == "bad prompt" and found[2].tokens_in == 0
+    for r in ask(objects, ["id"], build, bare, kind="schema").collect():
+        assert r.text is not None and r.error is None and r.latency_ms >= 0 and (r.tokens_in, r.tokens_out) == (0, 0)
+    assert call_settings("schema") == {"max_tokens": 500, "temperature": 0.2}

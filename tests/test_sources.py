@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
 from metadoc.sources.files import (
-    docx_files, file_contents, missing_sheets, text_files, workbook_files, workbook_rows, delimited_files, _cells_in,
+    docx_files, file_contents, missing_sheets, text_files, workbook_files, workbook_rows, xlsx_rows, delimited_files, _cells_in,
 )
 from metadoc.sources.manifests import manifest_entries
 from metadoc.sources.merge import load_sources, merged_sources
@@ -191,6 +191,34 @@ def test_workbooks(spark, folder):
     assert [tuple(r) for r in missing_sheets(rows, entries).collect()] == [("some.xlsx", "tres")]
 
 
+def test_missing_sheets_are_reported_and_empty_ones_are_there(spark, folder):
+    book = xlsx(uno=[["a"], ["x"]], nada=[])
+    (folder / "some.xlsx").write_bytes(book)
+    (folder / "broken.xlsx").write_bytes(book[:200])
+    (folder / "general.md").write_text(
+        "# Archivos\nsome.xlsx: libro [tabs: uno, tres, nada]\nbroken.xlsx: roto [tabs: uno]\n", encoding="utf-8")
+    sources, failed = load_sources(spark, str(folder), ["general.md"])
+    assert [r.content for r in sources.collect()] == ["--- Hoja: uno ---\na\nx"]
+    assert sorted(map(tuple, failed.collect())) == [
+        ("general.md", "broken.xlsx", "not found or not readable"), ("general.md", "some.xlsx", "sheet not found: tres")]
+
+
+def test_a_large_sheet_is_never_one_tree():
+    import tracemalloc
+
+    book = xlsx(uno=[[str(i), i] for i in range(60_000)])
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        last = None
+        for last in xlsx_rows(book):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert last[2] == 59_999 and peak < 8_000_000
+
+
 def test_table_text(spark):
     frame = spark.createDataFrame([(2, "b"), (1, None), (3, "c" * 300)], "k int, v string")
     assert table_text(frame, order_by=["k"]).first()[0] == \
