@@ -22,7 +22,8 @@ LEAST_TOKENS = 5
 EXACT_MASKS = (tuple(range(LEAST_TOKENS)),)
 #: Scripts written without spaces; each of their characters is a token.
 SPACELESS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
-_SPACELESS = "([" + "".join(f"\\p{{Is{name}}}" for name in SPACELESS) + "])"
+#: All of them lie beyond U+0E00; looking at that first spares other characters the search for their script.
+_SPACELESS = "([\\x{0E00}-\\x{10FFFF}&&[" + "".join(f"\\p{{Is{name}}}" for name in SPACELESS) + "]])"
 
 
 def tokens(text):
