@@ -18,6 +18,7 @@ from metadoc.functions.text import (
 from metadoc.operators import audit, evaluation, kpis, prompts, quality, relevance, results
 from metadoc.operators import responses, review, sampling
 from metadoc.runtime import materialize, shared_dir
+from metadoc.sinks.text_files import write_texts
 from metadoc.sources import catalog, manifests, merge, scope, tables
 from metadoc.sources.files import delimited_files, text_files
 from metadoc.streaming.audit_stream import (
@@ -163,9 +164,8 @@ def text_file_content(spark, d):
     """One text file per conversation, written by Spark and read back as context files."""
     folder = f"{shared_dir(spark)}/metadoc/texts-{uuid.uuid4().hex}"
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").drop("turn").write.partitionBy(
-        "conv_id"
-    ).text(folder)
+    file = F.concat(F.lit("conv_id="), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(".txt"))
+    write_texts(turns, folder, file, F.col("text"), ["turn"])
     return text_files(spark, folder).select(
         F.regexp_extract("name", r"conv_id=([0-9]+)", 1).cast("long").alias("conv_id"),
         *_digest("content"),

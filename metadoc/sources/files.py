@@ -70,12 +70,6 @@ def named_texts(spark, folder, names):
     )
 
 
-def extensions(spark, folder):
-    """Extensions present below ``folder``: a listing, no content is read."""
-    found = _binary(spark, folder).select(file_extension(F.col("name")).alias("ext")).distinct()
-    return {row["ext"] for row in found.collect()}
-
-
 def _any_case(extension):
     """Glob for an extension in any mix of cases."""
     return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
@@ -90,20 +84,14 @@ def text_files(spark, folder, paths=None):
 
     Of files that are not valid UTF-8, those with a text extension give null content (an error for the
     caller) and the others give the empty text. Too long files are left out."""
-    frames = []
-    if paths is None:
-        for ext in sorted(extensions(spark, folder) - OTHER_KINDS):
-            files = _contents(spark, folder, _any_case(ext) if ext else None)
-            frames.append(files.filter(file_extension(F.col("name")) == ext))
-    elif paths:
-        frames.append(_contents(spark, folder, paths=paths))
-    if not frames:
+    if paths is not None and not paths:
         return spark.createDataFrame([], "name string, content string")
+    files = _contents(spark, folder, paths=paths)
+    if paths is None:
+        # Told by the listing alone: files of other kinds are not opened.
+        files = files.filter(~file_extension(F.col("_metadata.file_name")).isin(*OTHER_KINDS))
     text = unix_lines(F.try_validate_utf8(F.col("content").cast("string")))
     known = file_extension(F.col("name")).isin(*TEXT_EXTENSIONS)
-    files = frames[0]
-    for frame in frames[1:]:
-        files = files.unionByName(frame)
     return files.select("name", F.when(known, text).otherwise(or_empty(text)).alias("content"))
 
 

@@ -3,11 +3,14 @@
 import io
 import random
 import zipfile
+from pathlib import Path
 from urllib.parse import unquote
 
+import pytest
 from pyspark.sql import functions as F
 
 from metadoc import fixed_values as fv
+from metadoc.runtime import shared_dir
 from metadoc.sources.files import (
     docx_files, file_contents, missing_sheets, text_files, workbook_files, workbook_rows, xlsx_rows, delimited_files, _cells_in,
 )
@@ -140,6 +143,45 @@ def test_text_files(spark, folder):
         "noext": "sin extensión"}
 
 
+def test_text_files_take_one_listing_and_open_no_other_kind(spark, folder):
+    for name in ("a.md", "b.TXT", "c", "e.CSV", "f.xlsx"):
+        (folder / name).write_text(name)
+    found = text_files(spark, str(folder))
+    plan = found._jdf.queryExecution().executedPlan()
+    assert {r["name"]: r["content"] for r in found.collect()} == {"a.md": "a.md", "b.TXT": "b.TXT", "c": "c"}
+    leaves = plan.collectLeaves()
+    assert leaves.size() == 1
+    assert leaves.head().metrics().apply("numFiles").value() == 3
+
+
+def test_many_texts_share_folders(spark, folder):
+    from metadoc.sinks.text_files import write_texts
+
+    rows = spark.createDataFrame(
+        [(f"t{i}.txt", n, None if n == 2 else f"ñ{i} {n}") for i in range(500) for n in (3, 1, 2)], "name string, n int, line string")
+    write_texts(rows, str(folder / "new"), F.col("name"), F.col("line"), ["n"])
+    got = {name.rpartition("/")[2]: content for name, content in as_dict(text_files(spark, str(folder / "new"))).items()}
+    assert got == {f"t{i}.txt": f"ñ{i} 1\n\nñ{i} 3\n" for i in range(500)}
+    assert len(list((folder / "new").iterdir())) <= 8
+    with pytest.raises(Exception, match="no name of a file"):
+        write_texts(rows.withColumn("name", F.lit("a/b")), str(folder / "bad"), F.col("name"), F.col("line"), ["n"])
+
+
+def test_conversations_as_text_files_share_folders(spark, folder):
+    """A folder per file took the listing, and the commands that set its mode, as long as there are files."""
+    from checks.queries import QUERIES
+
+    rows = spark.createDataFrame([(i, n, "user", f"{i}\r\n{n}") for i in range(300) for n in (2, 1)],
+                                 "conv_id long, turn long, role string, text string")
+    rows.write.parquet(str(folder / "conversations.parquet"))
+    shared = Path(shared_dir(spark).removeprefix("file:")) / "metadoc"
+    before = set(shared.glob("texts-*"))
+    got = {r["conv_id"]: r["content_chars"] for r in QUERIES["text_file_content"](spark, str(folder)).collect()}
+    assert got == {i: 2 * len(f"{i}\n1\n") for i in range(300)}
+    written, = set(shared.glob("texts-*")) - before
+    assert len([p for p in written.rglob("*") if p.is_dir()]) <= 8
+
+
 def test_delimited_files(spark, folder):
     (folder / "a.csv").write_text('x,y\n1,"a, b"\n2,"dos\nlíneas"\n3,\n', encoding="utf8")
     (folder / "b b+.csv").write_text("k\n" + "".join(f"{i}\n" for i in range(450)))
