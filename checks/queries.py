@@ -801,6 +801,7 @@ def kpis_filtered(spark, d):
 
 
 STREAM_FILES = 8
+STREAM_BATCHES = 4
 
 
 @query
@@ -813,6 +814,9 @@ def stream_flags(spark, d):
     # Every row in two versions, dealt out so that the older one may well come later.
     versions = F.explode(F.array(F.struct(F.lit(1).alias("n"), F.upper("text").alias("text")),
                                  F.struct(F.lit(2).alias("n"), F.col("text").alias("text"))))
+    # As many files in each batch as the table has splits, so that what a task reads does not grow with the table.
+    splits = spark.read.parquet(f"{d}/documents.parquet").rdd.getNumPartitions()
+    files = max(STREAM_FILES, STREAM_BATCHES * splits)
     table(spark, d, "documents").select("doc_id", versions.alias("v")).select(
         F.col("doc_id").alias("id_resultado"), F.expr("timestamp_ntz'2026-01-01 00:00:00'").alias("day"), "v.n",
         F.col("v.text").alias("comentario"),
@@ -820,8 +824,10 @@ def stream_flags(spark, d):
         F.when(part == 0, fv.SCHEMA_SENTINEL).when(part < 3, fv.TABLE_SENTINEL).otherwise("col")
         .alias("nombre_columna"),
     ).withColumn("fecha_resultado", F.expr("day + make_interval(0, 0, 0, n)")).drop("day", "n").repartition(
-        STREAM_FILES, F.xxhash64("id_resultado", "fecha_resultado")).write.parquet(f"{folder}/landing")
+        files, F.xxhash64("id_resultado", "fecha_resultado")).write.parquet(f"{folder}/landing")
     landed = spark.read.parquet(f"{folder}/landing")
-    rows = result_stream(spark, f"{folder}/landing", landed.schema, maxFilesPerTrigger=STREAM_FILES // 4)
+    # Partitions without rows make no files, so what was written is counted.
+    at_once = -(-len(landed.inputFiles()) // STREAM_BATCHES)
+    rows = result_stream(spark, f"{folder}/landing", landed.schema, maxFilesPerTrigger=max(1, at_once))
     run_available(write_batches(flagged(rows), f"{folder}/flags", merge_at=3), f"{folder}/checkpoint")
     return current(spark, f"{folder}/flags")

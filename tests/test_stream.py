@@ -1,5 +1,8 @@
 """The stream gives what the batch gives, also after a replay and with later corrections."""
 
+from pathlib import Path
+
+from metadoc.runtime import shared_dir
 from metadoc.schemas import RESULTS
 from metadoc.streaming.audit_stream import current, flagged, result_stream, run_available, write_batches
 
@@ -54,3 +57,25 @@ def test_verdicts_on_a_stream(spark, folder):
                   str(folder / "checkpoint"))
     got = {r["id_resultado"]: r["criterio"] for r in current(spark, out).collect()}
     assert got == {i: ("GRANULARIDAD" if i > 4 else None) for i in range(9)}
+
+
+def test_landing_files_follow_the_splits_of_the_table(spark, folder):
+    """A fixed number of files made each task read a fixed share of all texts."""
+    from checks.queries import QUERIES
+
+    texts = spark.range(4_000).selectExpr("id AS doc_id", "concat_ws(' ', md5(string(id)), md5(string(-id))) AS text")
+    texts.coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    shared = Path(shared_dir(spark).removeprefix("file:")) / "metadoc"
+    seen, before = set(shared.glob("stream-*")), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        splits = spark.read.parquet(str(folder / "documents.parquet")).rdd.getNumPartitions()
+        got = QUERIES["stream_flags"](spark, str(folder)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["id_resultado"] for r in got) == list(range(4_000))
+    written, = set(shared.glob("stream-*")) - seen
+    assert splits > 4 and len(list((written / "landing").glob("*.parquet"))) == 4 * splits
+    # Three batches in the base, one open.
+    assert len(list((written / "flags" / "delta").iterdir())) == 4
+    assert [p.name for p in (written / "flags" / "base").iterdir()] == ["0"]
